@@ -158,10 +158,11 @@ class Scratch:
     """Tables written to the shared folder, so that a lost executor loses no lineage; drop() removes the named ones."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
+        self.spark, self.base, self.paths, self.count = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", {}, 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}-{len(self.paths)}"
+        self.count += 1
+        path = f"{self.base}/{name}-{self.count}"
         df.write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
