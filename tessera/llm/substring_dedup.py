@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.repeats import earlier_owners
 from tessera.llm.textkit import Scratch, hash_spans, mix, slices, strings
 
-LEAST, MOST, RUN = 8, 512, 80
+LEAST, MOST, RUN = 8, 512, 64
 #: One byte in 2^5 ends a chunk.
 CUT_BITS = 5
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32)
