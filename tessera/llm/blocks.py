@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Record
             change = np.zeros(batch.num_rows - 1, bool)
             for c in cols:
                 a, b = c.slice(0, len(c) - 1), c.slice(1)
-                change |= pa.compute.not_equal(a, b).to_numpy(zero_copy_only=False).astype(bool)
+                change |= pc.not_equal(a, b).to_numpy(zero_copy_only=False).astype(bool)
             cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 part = batch.slice(lo, hi - lo)
