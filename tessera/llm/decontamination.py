@@ -84,6 +84,15 @@ def report(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
+    """docs, any columns, without the rows of which windows of the benchmark cover a twentieth or more of the words."""
+    hits = matches(docs, items, n).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("at"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
+    hits = Scratch(docs.sparkSession).keep(hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), covered.alias("__hit")), "hits")
+    bad = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")) & (20 * F.col("__hit") >= F.size(words(docs["text"])))
+    return docs.join(hits, bad, "left_anti")
+
+
 def contamination_digests(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     return report(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
