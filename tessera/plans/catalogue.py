@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tessera.plans import q_relational, q_retrieval, q_sync, q_text  # noqa: F401 - they register
+from tessera.plans.registry import ORACLE, QUERIES  # noqa: F401
