@@ -31,7 +31,7 @@ from tessera.llm.textkit import ALNUM, LOWER, Scratch, hash_spans, mix, shingles
 
 BANDS, ROWS = 32, 6
 #: Buckets of more classes than this give a star, not pairs.
-SMALL_BUCKET = 40
+SMALL_BUCKET = 8
 
 
 def _salts() -> tuple[np.ndarray, np.ndarray]:
