@@ -47,9 +47,10 @@ def reuse_hashes(manifest: DataFrame, files: DataFrame, key: str = "rel_path") -
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], overwrite: list[str] | None = None) -> DataFrame:
     """old with the rows of new: overwrite columns take the new value, others the new one if it is not null."""
     cols = [c for c in old.columns if c not in keys]
-    o, n = old.withColumn("__o", F.lit(True)), new.select(*keys, *[F.col(c).alias(f"__{c}") if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(f"__{c}") for c in cols], F.lit(True).alias("__n"))
-    pick = [F.when(F.col("__n") & F.lit(c in (overwrite or [])), F.col(f"__{c}")).otherwise(F.coalesce(f"__{c}", c)).alias(c) for c in cols]
-    return o.join(n, keys, "full_outer").select(*keys, *pick)
+    brought = [F.col(c).alias(f"new__{c}") if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(f"new__{c}") for c in cols]
+    both = old.join(new.select(*keys, *brought, F.lit(True).alias("new__row")), keys, "full_outer")
+    pick = [F.when(F.col("new__row") & F.lit(c in (overwrite or [])), F.col(f"new__{c}")).otherwise(F.coalesce(f"new__{c}", c)).alias(c) for c in cols]
+    return both.select(*keys, *pick)
 
 
 def merge_metadata(old: Column, new: Column) -> Column:
