@@ -74,40 +74,49 @@ def tables(width: int, bits: int, flips: float, recall: float, seed: int = 3) ->
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision, and the rows that have one."""
+    x, rows = _finite(column, dim)
+    return _unit(x), rows
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    x = x / np.abs(x).max(axis=1, initial=1e-300)[:, None]  # so that squares neither overflow nor vanish
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _finite(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as given, without those that link with nothing, and their rows."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     size = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float), nan=-1)
     rows = np.flatnonzero(size == dim)
-    x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
-    big = np.abs(x).max(axis=1, initial=0)
-    ok = np.isfinite(x).all(axis=1) & (big > 0)
-    rows, x, big = rows[ok], x[ok], big[ok]
-    x = x / big[:, None]  # so that squares neither overflow nor vanish
-    return x / np.linalg.norm(x, axis=1)[:, None], rows
+    x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    ok = np.isfinite(x).all(axis=1) & (np.abs(x).max(axis=1, initial=0) > 0)
+    return x[ok], rows[ok]
 
 
 def _entries(vectors: DataFrame, dim: int, mean: np.ndarray, projection: np.ndarray, subs: list[np.ndarray]) -> DataFrame:
-    """node, bucket (table and substring as bytes), code, unit: every vector once for each table."""
+    """node, bucket (table and substring), code, vector (as given): every vector once for each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                unit, rows = _matrix(part.column(1), dim)
+                given, rows = _finite(part.column(1), dim)
                 if not len(rows):
                     continue
-                code = encode(unit, mean, projection)
+                code = encode(_unit(given), mean, projection)
                 node, codes = part.column(0).take(pa.array(rows)), pa.array(code.view(np.int64))
-                raw = pa.array([u.tobytes() for u in unit], pa.binary())
+                raw = pa.array([x.tobytes() for x in given], pa.binary())
                 for t, sub in enumerate(subs):
                     key = np.zeros(len(code), np.int64)
                     for b in sub:
                         key = (key << 1) | ((code >> np.uint64(b)) & np.uint64(1)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([node, pa.array(key | (t << 32)), codes, raw], ["node", "bucket", "code", "unit"])
+                    yield pa.RecordBatch.from_arrays([node, pa.array(key | (t << 32)), codes, raw], ["node", "bucket", "code", "vector"])
 
-    return vectors.mapInArrow(run, "node bigint, bucket bigint, code bigint, unit binary")
+    return vectors.mapInArrow(run, "node bigint, bucket bigint, code bigint, vector binary")
 
 
-def _verify(threshold: float, radius: int, masks: np.ndarray):
+def _verify(threshold: float, radius: int, masks: np.ndarray, kind: str):
     def run(rows: pa.Table) -> pa.RecordBatch | None:
         if rows.num_rows < 2:
             return None
@@ -120,7 +129,7 @@ def _verify(threshold: float, radius: int, masks: np.ndarray):
         if not linked.any():
             return None
         near = np.flatnonzero(linked.any(axis=1))
-        unit = np.frombuffer(b"".join(rows["unit"].take(pa.array(near)).to_pylist()), float).reshape(len(near), -1)
+        unit = _unit(np.frombuffer(b"".join(rows["vector"].take(pa.array(near)).to_pylist()), kind).reshape(len(near), -1))
         linked = linked[np.ix_(near, near)] & (unit @ unit.T >= threshold)
         on = np.flatnonzero(linked.any(axis=1))
         if not len(on):
@@ -154,11 +163,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample_rows: int
     masks = np.array([sum(1 << int(b) for b in sub) for sub in subs], np.uint64)
     # at the threshold: the mean number of bits that differ, and five standard deviations
     radius = math.ceil(width * flips + 5 * math.sqrt(width * flips * (1 - flips)))
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     nodes = valid.select(F.col("vec_id").alias("node"), "embedding")
     entries = scratch.keep(_entries(nodes, dim, mean, projection, subs), "entries")
     full = scratch.keep(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "full")
     tasks = pair_blocks(entries.join(full, "bucket"), "bucket", "node", "size").drop("size")
-    links = scratch.keep(by_group(tasks, ["bucket", "i", "j"], _verify(threshold, radius, masks), "a bigint, b bigint, links bigint"), "links")
+    links = scratch.keep(by_group(tasks, ["bucket", "i", "j"], _verify(threshold, radius, masks, kind), "a bigint, b bigint, links bigint"), "links")
     scratch.drop("entries", "full")
     counts = links.groupBy(F.col("a").alias("vec_id")).agg(F.sum("links").alias("n_links"))
     reach = components(links.select("a", "b"), scratch).select(F.col("node").alias("vec_id"), F.col("label").alias("component_id"))
