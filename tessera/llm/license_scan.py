@@ -77,10 +77,12 @@ def bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.xxhash64(b, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b)))))
 
 
-def windows(docs: DataFrame, sizes: DataFrame) -> DataFrame:
+def windows(docs: DataFrame, sizes: list[tuple[int, int, list[str]]]) -> DataFrame:
     """doc_id, text_hash, n, at, shingles: windows of 2n words, for each n of sizes (n, k, anchors), that hold an anchor."""
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(ascii_lower(F.col("text"))).alias("own"))
-    each = own.crossJoin(F.broadcast(sizes)).where(F.arrays_overlap("own", "anchors"))
+    size = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.array(*map(F.lit, a)).alias("anchors")) for n, k, a in sizes])
+    able = F.filter(size, lambda z: F.arrays_overlap("own", z["anchors"]))
+    each = own.select("doc_id", "text_hash", "own", F.inline(able))
     starts = F.sequence(F.lit(0), F.greatest(F.size("own") - 1, F.lit(0)), F.col("n"))
     cut = each.select("doc_id", "text_hash", "n", "k", F.explode(F.filter(F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice("own", s + 1, 2 * F.col("n")).alias("cut"))), lambda w: F.arrays_overlap(w["cut"], F.col("anchors")))).alias("w"))
     last = F.size("w.cut") - F.col("k") + 1
@@ -97,7 +99,7 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit("").alias("template"), F.lit(0).alias("at"), F.lit(0.0).alias("containment")).where("false")
     every = sorted({a for *_, anchors in sizes for a in anchors})
     able = docs.select("doc_id", "text").where(F.col("text").rlike(r"(?i)(?:" + "|".join(every) + ")"))
-    found = windows(able, spark.createDataFrame(sizes, "n int, k int, anchors array<string>"))
+    found = windows(able, sizes)
     mine = found.select("*", F.explode(bands(F.col("shingles"))).alias("band"))
     theirs = known.select("template", "n", F.col("shingles").alias("wanted"), F.explode(bands(F.col("shingles"))).alias("band"))
     share = F.size(F.array_intersect("shingles", "wanted")) / F.size("wanted")
