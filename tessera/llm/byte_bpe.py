@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import strings
+from tessera.llm.textkit import buffer_of, strings
 
 #: Pieces of more bytes are merged with a heap: a matrix row costs the square of its length.
 LONG_PIECE = 1024
 #: Distinct pieces that a worker remembers between batches; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -211,16 +211,15 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _runs(texts: pa.Array, most: int = 1 << 20):
-    run, size = [], 0
-    for text in texts.to_pylist():
-        run.append(text or "")
-        size += len(run[-1])
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def _runs(texts: pa.Array, most: int = 1 << 19):
+    """Lists of texts of about that many bytes: a whole batch is never a list of Python objects."""
+    texts = strings(texts)
+    _, at = buffer_of(texts)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+        yield texts.slice(i, j - i).to_pylist()
+        i = j
 
 
 def encode(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
@@ -238,7 +237,7 @@ def encode(text: Column, path: str | None = None, pattern: str | None = None) ->
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))
 
-    return ids_of(text)
+    return ids_of.asNondeterministic()(text)  # so that several uses of the ids share one encoding
 
 
 def decode(ids: Column, path: str | None = None, pattern: str | None = None) -> Column:
@@ -248,11 +247,31 @@ def decode(ids: Column, path: str | None = None, pattern: str | None = None) ->
     @F.arrow_udf("binary")
     def bytes_of(column: pa.Array) -> pa.Array:
         bpe = tokenizer(path, pattern)
-        return pa.array([bpe.decode(x or []) for x in column.to_pylist()], pa.binary())
+        return pa.array([bpe.decode(row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else ()) for row in column], pa.binary())
 
     return bytes_of(ids)
 
 
+def encode_checked(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
+    """struct<ids array<int>, decoded_sha256 string>: encode() and the digest of decode() in one Python worker."""
+    path, pattern = (path, pattern) if path and pattern else default_vocabulary()
+
+    @F.arrow_udf("struct<ids: array<int>, decoded_sha256: string>")
+    def both(column: pa.Array) -> pa.Array:
+        bpe, sizes, ids, back = tokenizer(path, pattern), [0], [], []
+        for run in _runs(column):
+            for told, _ in bpe.texts(run):
+                got = np.array(told.split(" "), np.int32) if told else np.zeros(0, np.int32)
+                ids.append(got)
+                sizes.append(len(got))
+                back.append(hashlib.sha256(bpe.decode(got.tolist())).hexdigest())
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))
+        return pa.StructArray.from_arrays([lists, pa.array(back, pa.string())], ["ids", "decoded_sha256"])
+
+    return both.asNondeterministic()(text)  # so that several uses share one encoding
+
+
 def round_trip(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
     """struct<n_tokens bigint, ids_sha256 string, decoded_sha256 string>: encodes, then decodes the ids."""
     path, pattern = (path, pattern) if path and pattern else default_vocabulary()
@@ -260,7 +279,7 @@ def round_trip(text: Column, path: str | None = None, pattern: str | None = None
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def digests(column: pa.Array) -> pa.Array:
         bpe, n, ids, back = tokenizer(path, pattern), [], [], []
-        for run in _runs(strings(column)):
+        for run in _runs(column):
             for told, decoded in bpe.texts(run):
                 n.append(told.count(" ") + 1 if told else 0)
                 ids.append(hashlib.sha256(told.encode()).hexdigest())

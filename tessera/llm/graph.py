@@ -17,7 +17,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     node.  Loops and repeated edges do no harm; an empty edge table gives no nodes.
     """
     both = edges.where("a is not null and b is not null")
-    both = scratch.keep(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # so that edges are computed once
+    both = scratch.keep(both.select(F.inline(turned)).distinct(), "edges")
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))

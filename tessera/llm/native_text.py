@@ -37,13 +37,17 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     kind = "array<struct<start:int,end:int,match:string,part:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(between, i))
-        match = F.element_at(found, i)
-        one = F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"), F.element_at(inner, i).alias("part"))
-        return F.struct((start + F.length(match)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def walk(x: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.element_at(x["between"], i))
+            match = F.element_at(x["found"], i)
+            one = F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"), F.element_at(x["inner"], i).alias("part"))
+            return F.struct((start + F.length(match)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    all_of = F.aggregate(F.sequence(F.lit(1), F.size(found)), begin, step)["out"]
-    return F.when(text.rlike(pattern), all_of).otherwise(F.array().cast(kind))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(x["found"])), begin, step)["out"]
+
+    # held as the one element of an array, the pieces are cut once and not once a step
+    held = F.array(F.struct(found.alias("found"), between.alias("between"), inner.alias("inner")))
+    return F.when(text.rlike(pattern), F.get(F.transform(held, walk), F.lit(0))).otherwise(F.array().cast(kind))

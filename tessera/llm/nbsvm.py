@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import ALNUM, LOWER, SOLID, hash_spans, mix, slices, strings, words
+from tessera.llm.textkit import ALNUM, LOWER, SLICE_BYTES, SOLID, hash_spans, mix, slices, strings, words
 
 BITS = 18
 MAX_ROWS = 6000
@@ -76,7 +76,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _by_row(column: pa.Array):
     """The distinct bins of each text, in order."""
     seen = np.zeros(1 << BITS, bool)
-    for _, data, at in slices(strings(column)):
+    for _, data, at in slices(strings(column), SLICE_BYTES // 2):
         bins, of = features(data, at)
         order = np.argsort(of, kind="stable")
         bins, ends = bins[order], np.searchsorted(of[order], np.arange(len(at)))
