@@ -39,8 +39,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, decoded_sha256 (of the bytes that the ids decode to)."""
-    out = docs.select("doc_id", "lang", "source", byte_bpe.encode(F.col("text")).alias("ids"))
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(byte_bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    out = docs.select("doc_id", "lang", "source", byte_bpe.encode_checked(F.col("text")).alias("got"))
+    return out.select("doc_id", "lang", "source", F.size("got.ids").cast("long").alias("n_tokens"), "got.ids", "got.decoded_sha256")
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("benchmark_free", benchmark_free), ("tokens", tokens)]
