@@ -1,14 +1,14 @@
 """Embedding near-duplicates: iterative quantisation and multi-index Hamming tables.
 
 A rotation is learned on a bounded sample so that the signs of the rotated,
-projected vectors are balanced bits near the vectors themselves.  Every vector is
-indexed: its code is cut into substrings of `bits_for(n)` bits, disjoint under each
-of some fixed bit permutations, and each substring is a table.  Vectors that share a
-substring meet in a bucket; there, pairs within a Hamming radius are reranked by the
-cosine of the original vectors in double precision.
-
-The number of tables follows from the share of bits that differ at the threshold
-angle, so that a pair just at the threshold is found with probability `recall`.
+projected vectors are balanced bits near the vectors themselves; further codes come
+from independent random rotations of the same projection.  Every vector is indexed:
+each of its codes is cut into disjoint substrings, and each substring is a table.
+Vectors that share a substring meet in a bucket; there, pairs within a Hamming radius
+are reranked by the cosine of the original vectors in double precision.
+
+Rotations are added until pairs planted around the sample just at the threshold,
+coded as the vectors are, share a substring with probability `recall` (see `plan`).
 Buckets are worked on in blocks (see blocks.py): a pair is counted in the first table
 in which it meets, no pair becomes a row, and no task holds a whole hot bucket.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +37,25 @@ SAMPLE_ROWS = 4000
 RECALL = 0.98
 
 
-def itq(sample: np.ndarray, rounds: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dim x bits) whose signs are the code; bits: the dimension, 64 at most."""
-    mean = sample.mean(axis=0)
+def projection_of(sample: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The directions (dim x bits) of most variance around mean; bits: the dimension, 64 at most."""
     x = sample - mean
-    bits = min(64, x.shape[1])
     _, vectors = np.linalg.eigh(x.T @ x)
-    p = vectors[:, ::-1][:, :bits]
-    v = x @ p
-    r, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
+    return vectors[:, ::-1][:, : min(64, x.shape[1])]
+
+
+def random_rotation(bits: int, seed: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
+
+
+def itq(v: np.ndarray, rounds: int = 30, seed: int = 11) -> np.ndarray:
+    """Rotation of the projected sample v whose signs are the code."""
+    r = random_rotation(v.shape[1], seed)
     for _ in range(rounds):
         b = np.where(v @ r >= 0, 1.0, -1.0)
         u, _, w = np.linalg.svd(b.T @ v)
         r = (u @ w).T
-    return mean, p @ r
+    return r
 
 
 def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
@@ -58,18 +64,85 @@ def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarra
 
 
 def bits_for(n: int, width: int) -> int:
-    """Bits of a substring: buckets of about 16 vectors if codes were uniform."""
-    return max(4, min(width, math.ceil(math.log2(max(n, 2) / 16)), 24))
+    """Most bits of a substring: buckets of about 16 vectors if codes were uniform."""
+    return min(width, max(4, math.ceil(math.log2(max(n, 2) / 16))), 24)
 
 
-def tables(width: int, bits: int, flips: float, recall: float, seed: int = 3) -> list[np.ndarray]:
-    """Bit positions of each table; as many tables as the recall asks for when each bit differs with probability `flips`."""
-    want = max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - flips) ** bits)))
+def planted(unit: np.ndarray, cosine: float, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (unit, partner) at the cosine: partners in any direction, and in directions in which the sample itself differs."""
     rng, out = np.random.default_rng(seed), []
-    while len(out) < want:
+    for step in (rng.normal(size=unit.shape), unit[rng.permutation(len(unit))] - unit[rng.permutation(len(unit))]):
+        step = step - (step * unit).sum(axis=1)[:, None] * unit
+        size = np.linalg.norm(step, axis=1)
+        ok = size > 1e-9
+        if ok.any():
+            out.append((unit[ok], cosine * unit[ok] + math.sqrt(1 - cosine * cosine) * step[ok] / size[ok][:, None]))
+    return out
+
+
+def _share(apart: np.ndarray, width: int, bits: int) -> float:
+    """Mean chance that codes with so many bits apart agree in a substring."""
+    i = np.arange(bits)
+    return float((np.maximum(width - apart[:, None] - i, 0) / (width - i)).prod(axis=1).mean())
+
+
+@dataclass
+class Plan:
+    """mean; the projections of each code; (code, bit positions) of each table, by code; the Hamming radius in the first code."""
+
+    mean: np.ndarray
+    projections: list[np.ndarray]
+    tables: list[tuple[int, np.ndarray]]
+    radius: int
+
+
+def plan(unit: np.ndarray, n: int, threshold: float, recall: float) -> Plan:
+    """The tables for n vectors like the sample unit.
+
+    Codes around the mean or around zero, and the bits of a substring, are chosen for the
+    least work by the sample's own distances: entries, and pairs within buckets.
+    """
+    pairs = planted(unit, threshold)
+    rng = np.random.default_rng(3)
+    left, right = rng.integers(0, len(unit), (2, 100_000))
+    left, right = left[left != right], right[left != right]
+    best = None
+    for mean in (unit.mean(axis=0), np.zeros(unit.shape[1])):
+        base = projection_of(unit, mean)
+        width = base.shape[1]
+        first = base @ itq((unit - mean) @ base)
+        code = encode(unit, mean, first)
+        apart = [np.bitwise_count(encode(x, mean, first) ^ encode(y, mean, first)).astype(int) for x, y in pairs] or [np.zeros(1, int)]
+        chance = np.bitwise_count(code[left] ^ code[right]).astype(int)
+        for bits in range(1, bits_for(n, width) + 1):
+            share = min(min(_share(a, width, bits) for a in apart), 1 - 1e-9)
+            want = max(1.0, math.log(1 - recall) / math.log1p(-share)) if share > 0 else math.inf
+            work = want * (1 + n * _share(chance, width, bits) / 64)
+            if best is None or work < best[0]:
+                best = work, mean, base, first, bits, apart
+    _, mean, base, first, bits, apart = best
+    width = base.shape[1]
+    # well beyond all planted pairs: the cosine decides, the radius only spares work
+    radius = min(width, max(math.ceil(max(a.mean() + 6 * a.std() for a in apart)), max(int(a.max()) for a in apart) + 2))
+    projections, cut = [], []
+    lost = [np.ones(len(x), bool) for x, _ in pairs]
+    while not cut or any(1 - m.mean() < recall for m in lost):
+        k = len(projections)
+        projections.append(first if k == 0 else base @ random_rotation(width, 100 + k))
         order = rng.permutation(width)
-        out += [order[i : i + bits] for i in range(0, width - bits + 1, bits)]
-    return out[:want]
+        codes = [encode(x, mean, projections[k]) ^ encode(y, mean, projections[k]) for x, y in pairs]
+        for i in range(0, width - bits + 1, bits):
+            cut.append((k, order[i : i + bits]))
+            mask = mask_of(cut[-1][1])
+            for m, c in zip(lost, codes):
+                m &= (c & mask) != 0
+            if all(1 - m.mean() >= recall for m in lost):
+                break
+    return Plan(mean, projections, cut, radius)
+
+
+def mask_of(positions: np.ndarray) -> np.uint64:
+    return np.uint64(sum(1 << int(b) for b in positions))
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +167,8 @@ def _finite(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x[ok], rows[ok]
 
 
-def _entries(vectors: DataFrame, dim: int, mean: np.ndarray, projection: np.ndarray, subs: list[np.ndarray]) -> DataFrame:
-    """node, bucket (table and substring), code, vector (as given): every vector once for each table."""
+def _entries(vectors: DataFrame, dim: int, how: Plan) -> DataFrame:
+    """node, bucket (table and substring), code (all codes), vector (as given): every vector once for each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,26 +177,31 @@ def _entries(vectors: DataFrame, dim: int, mean: np.ndarray, projection: np.ndar
                 given, rows = _finite(part.column(1), dim)
                 if not len(rows):
                     continue
-                code = encode(_unit(given), mean, projection)
-                node, codes = part.column(0).take(pa.array(rows)), pa.array(code.view(np.int64))
+                unit = _unit(given)
+                code = np.column_stack([encode(unit, how.mean, p) for p in how.projections])
+                node, codes = part.column(0).take(pa.array(rows)), pa.array([c.tobytes() for c in code], pa.binary())
                 raw = pa.array([x.tobytes() for x in given], pa.binary())
-                for t, sub in enumerate(subs):
+                for t, (k, sub) in enumerate(how.tables):
                     key = np.zeros(len(code), np.int64)
                     for b in sub:
-                        key = (key << 1) | ((code >> np.uint64(b)) & np.uint64(1)).astype(np.int64)
+                        key = (key << 1) | ((code[:, k] >> np.uint64(b)) & np.uint64(1)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([node, pa.array(key | (t << 32)), codes, raw], ["node", "bucket", "code", "vector"])
 
-    return vectors.mapInArrow(run, "node bigint, bucket bigint, code bigint, vector binary")
+    return vectors.mapInArrow(run, "node bigint, bucket bigint, code binary, vector binary")
+
 
+def _verify(threshold: float, how: Plan, kind: str):
+    width, radius, masks = len(how.projections), how.radius, [(k, mask_of(sub)) for k, sub in how.tables]
 
-def _verify(threshold: float, radius: int, masks: np.ndarray, kind: str):
     def run(rows: pa.Table) -> pa.RecordBatch | None:
         if rows.num_rows < 2:
             return None
-        code = rows["code"].to_numpy().view(np.uint64)
-        apart = code[:, None] ^ code[None, :]
+        code = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint64).reshape(-1, width)
+        apart, of = code[:, None, 0] ^ code[None, :, 0], 0
         linked = np.bitwise_count(apart) <= radius
-        for mask in masks[: rows["bucket"][0].as_py() >> 32]:
+        for k, mask in masks[: rows["bucket"][0].as_py() >> 32]:
+            if k != of:
+                apart, of = code[:, None, k] ^ code[None, :, k], k
             linked &= (apart & mask) != 0  # met in an earlier table
         linked = settle(linked, rows["own"].to_numpy(), rows["i"][0].as_py(), rows["j"][0].as_py())
         if not linked.any():
@@ -154,21 +232,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample_rows: int
     lone = own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if len(unit) < 2:
         return lone
-    mean, projection = itq(unit)
-    width = projection.shape[1]
-    n = valid.count()
-    angle = math.acos(threshold)
-    flips = min(0.5, angle / math.pi)
-    subs = tables(width, bits_for(n, width), flips, recall)
-    masks = np.array([sum(1 << int(b) for b in sub) for sub in subs], np.uint64)
-    # at the threshold: the mean number of bits that differ, and five standard deviations
-    radius = math.ceil(width * flips + 5 * math.sqrt(width * flips * (1 - flips)))
+    how = plan(unit, valid.count(), threshold, recall)
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     nodes = valid.select(F.col("vec_id").alias("node"), "embedding")
-    entries = scratch.keep(_entries(nodes, dim, mean, projection, subs), "entries")
+    entries = scratch.keep(_entries(nodes, dim, how), "entries")
     full = scratch.keep(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "full")
     tasks = pair_blocks(entries.join(full, "bucket"), "bucket", "node", "size").drop("size")
-    links = scratch.keep(by_group(tasks, ["bucket", "i", "j"], _verify(threshold, radius, masks, kind), "a bigint, b bigint, links bigint"), "links")
+    links = scratch.keep(by_group(tasks, ["bucket", "i", "j"], _verify(threshold, how, kind), "a bigint, b bigint, links bigint"), "links")
     scratch.drop("entries", "full")
     counts = links.groupBy(F.col("a").alias("vec_id")).agg(F.sum("links").alias("n_links"))
     reach = components(links.select("a", "b"), scratch).select(F.col("node").alias("vec_id"), F.col("label").alias("component_id"))

@@ -177,6 +177,24 @@ def test_vectors_against_all_pairs(spark):
     assert {r["component_id"] for r in rows if r["vec_id"] >= 600} == {0}
 
 
+def test_vector_recall_off_centre_and_at_a_large_count(spark):
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    rng = np.random.default_rng(4)
+    x = unit(rng.normal(size=(1500, 64)) + 1.0)  # a mean far from zero
+    y = next(iter(embedding_dedup.planted(x, 0.905, seed=8)))[1]
+    both = np.concatenate([x, y])
+    rows = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id bigint, embedding array<double>")).collect()
+    wanted = int((both @ both.T >= 0.9).sum()) - len(both)
+    assert 0.95 * wanted <= sum(r["n_links"] for r in rows) <= wanted
+    for shift in (0.0, 1.0):
+        like = lambda m: unit(rng.normal(size=(m, 64)) + shift)  # noqa: B023, E731
+        how = embedding_dedup.plan(like(4000), 1_000_000, 0.9, embedding_dedup.RECALL)
+        for a, b in embedding_dedup.planted(like(5000), 0.905, seed=9):
+            apart = [embedding_dedup.encode(a, how.mean, p) ^ embedding_dedup.encode(b, how.mean, p) for p in how.projections]
+            met = np.any([(apart[k] & embedding_dedup.mask_of(sub)) == 0 for k, sub in how.tables], axis=0)
+            assert (met & (np.bitwise_count(apart[0]) <= how.radius)).mean() >= 0.97
+
+
 def test_language_model(spark, texts):
     rows = list(enumerate(texts))
     got = {r["doc_id"]: r for r in maxent_lm.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
