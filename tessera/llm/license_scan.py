@@ -17,30 +17,22 @@ Null and empty texts hold no license.  Rows that repeat both id and text share a
 
 from __future__ import annotations
 
+from collections import Counter
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.decontamination import BROADCAST_ROWS
+from tessera.llm.license_texts import library
 from tessera.llm.native_text import ascii_lower, if_small, words
 from tessera.llm.textkit import Scratch
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 96
 
-#: Notices and opening clauses of public licenses, as they are commonly written.
-TEMPLATES = {
-    "mit-notice": "Released under the MIT License.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "all-rights-reserved": "All rights reserved.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "apache-2.0": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-}
+TEMPLATES = library()
+#: Words that many texts hold: taken as anchors last.
+COMMON = frozenset("a all and any are as at by for from in is it may no not of on or that the this to with you your".split())
 
 
 def _python_words(text: str) -> list[str]:
@@ -48,12 +40,12 @@ def _python_words(text: str) -> list[str]:
 
 
 def _anchors(own: list[str]) -> list[str]:
-    """Fewest words, the longest first, without which less than the containment is left."""
+    """Few words, the longest first and common ones last, without which less than the containment is left."""
     k = min(SHINGLE, len(own))
     left = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
     spare, out = len(left) - ceil(CONTAINMENT * len(left) - 1e-9), []
     touched: set = set()
-    for word in sorted(set(own), key=lambda w: (-len(w), w)):
+    for word in sorted(set(own), key=lambda w: (w in COMMON, w.isdigit(), -len(w), w)):
         if len(touched) > spare:
             break
         out.append(word)
@@ -77,34 +69,80 @@ def bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.xxhash64(b, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b)))))
 
 
-def windows(docs: DataFrame, sizes: list[tuple[int, int, list[str]]]) -> DataFrame:
-    """doc_id, text_hash, n, at, shingles: windows of 2n words, for each n of sizes (n, k, anchors), that hold an anchor."""
+def windows(docs: DataFrame, sizes: list[tuple[int, int, int, list[str]]]) -> DataFrame:
+    """doc_id, text_hash, n, at, shingles: windows of 2n words, for each n of sizes (n, k, least shingles, anchors), that hold an anchor and shingles enough."""
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(ascii_lower(F.col("text"))).alias("own"))
-    size = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.array(*map(F.lit, a)).alias("anchors")) for n, k, a in sizes])
-    able = F.filter(size, lambda z: F.arrays_overlap("own", z["anchors"]))
+    known = lambda own: F.split(F.lit(" ".join(own)), " ")  # noqa: E731; one literal for all words
+    own = own.where(F.arrays_overlap("own", known(sorted({a for *_, anchors in sizes for a in anchors}))))
+    size = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(least).alias("least"), known(a).alias("anchors")) for n, k, least, a in sizes])
+    able = F.filter(size, lambda z: (F.size("own") >= z["least"] + z["k"] - 1) & F.arrays_overlap("own", z["anchors"]))
     each = own.select("doc_id", "text_hash", "own", F.inline(able))
     starts = F.sequence(F.lit(0), F.greatest(F.size("own") - 1, F.lit(0)), F.col("n"))
-    cut = each.select("doc_id", "text_hash", "n", "k", F.explode(F.filter(F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice("own", s + 1, 2 * F.col("n")).alias("cut"))), lambda w: F.arrays_overlap(w["cut"], F.col("anchors")))).alias("w"))
+    cut = each.select("doc_id", "text_hash", "n", "k", "least", F.explode(F.filter(F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice("own", s + 1, 2 * F.col("n")).alias("cut"))), lambda w: F.arrays_overlap(w["cut"], F.col("anchors")))).alias("w"))
     last = F.size("w.cut") - F.col("k") + 1
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w.cut", i, F.col("k")), " ")))
-    return cut.where(last > 0).select("doc_id", "text_hash", "n", F.col("w.at").alias("at"), shingles.alias("shingles"))
+    return cut.where(last >= F.col("least")).select("doc_id", "text_hash", "n", F.col("w.at").alias("at"), shingles.alias("shingles"))
 
 
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, text_hash, template, at, containment: the windows (start in words) that hold a template."""
+    """doc_id, text_hash, template, n, at, containment: the windows (start in words) that hold a template."""
     spark = docs.sparkSession
     known = template_table(spark, templates)
-    sizes = [(n, min(SHINGLE, n), sorted({a for r in rows for a in r["anchors"]})) for n, rows in _by_size(known.collect()).items()]  # as many as templates
+    sizes = [(n, min(SHINGLE, n), min(ceil(CONTAINMENT * len(r["shingles"]) - 1e-9) for r in rows), sorted({a for r in rows for a in r["anchors"]})) for n, rows in _by_size(known.collect()).items()]  # as many as templates
     if not sizes:
-        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit("").alias("template"), F.lit(0).alias("at"), F.lit(0.0).alias("containment")).where("false")
-    every = sorted({a for *_, anchors in sizes for a in anchors})
-    able = docs.select("doc_id", "text").where(F.col("text").rlike(r"(?i)(?:" + "|".join(every) + ")"))
-    found = windows(able, sizes)
+        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit("").alias("template"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0.0).alias("containment")).where("false")
+    found = windows(docs, sizes)
     mine = found.select("*", F.explode(bands(F.col("shingles"))).alias("band"))
-    theirs = known.select("template", "n", F.col("shingles").alias("wanted"), F.explode(bands(F.col("shingles"))).alias("band"))
+    theirs = known.select("template", "n", F.explode(bands(F.col("shingles"))).alias("band"))
     share = F.size(F.array_intersect("shingles", "wanted")) / F.size("wanted")
-    met = mine.join(if_small(theirs, BROADCAST_ROWS), ["n", "band"]).withColumn("containment", share).where(F.col("containment") >= CONTAINMENT - 1e-9)
-    return met.groupBy("doc_id", "text_hash", "template", "at").agg(F.max("containment").alias("containment"))
+    met = mine.join(if_small(theirs, BROADCAST_ROWS), ["n", "band"]).drop("band").dropDuplicates(["doc_id", "text_hash", "n", "at", "template"])
+    met = met.join(if_small(known.select("template", F.col("shingles").alias("wanted")), BROADCAST_ROWS), "template").withColumn("containment", share).where(F.col("containment") >= CONTAINMENT - 1e-9)
+    return met.select("doc_id", "text_hash", "template", "n", "at", "containment")
+
+
+def _enough(n: int) -> int:
+    """Runs that two templates share to be rivals: half of the shorter; all if it is a notice."""
+    return n if n < 20 else ceil(n / 2)
+
+
+def rivals(templates: dict[str, str]) -> dict[str, list[str]]:
+    """For each template those with which it shares half of the shorter (all of a notice), in runs of two words: one text can hold both by being one of them."""
+    pairs = {}
+    for name, text in templates.items():
+        own = _python_words(text)
+        pairs[name] = {*zip(own, own[1:])} or {(own[0],)} if own else set()
+    holders: dict = {}
+    for name, own in pairs.items():
+        for p in own:
+            holders.setdefault(p, []).append(name)
+    out = {}
+    for name, own in pairs.items():
+        shared = Counter(o for p in own for o in holders[p] if o != name)
+        if close := sorted(o for o, c in shared.items() if c >= _enough(min(len(own), len(pairs[o])))):
+            out[name] = close
+    return out
+
+
+def best_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """doc_id, text_hash, hits: array of the matches that no rival of theirs beats in an overlapping window, by containment and then by length."""
+    close = rivals(templates)
+    found = matches(docs, templates)
+    if close:
+        known = docs.sparkSession.createDataFrame(sorted(close.items()), "template string, rivals array<string>")
+        found = found.join(F.broadcast(known), "template", "left")
+    else:
+        found = found.withColumn("rivals", F.array().cast("array<string>"))
+    per = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("template", "n", "at", "containment", F.coalesce("rivals", F.array().cast("array<string>")).alias("rivals"))).alias("all"))
+
+    def beaten(h: Column) -> Column:
+        def by(o: Column) -> Column:
+            meet = (o["at"] < h["at"] + 2 * h["n"]) & (h["at"] < o["at"] + 2 * o["n"])
+            better = (o["containment"] > h["containment"]) | ((o["containment"] == h["containment"]) & (o["n"] > h["n"]))
+            return meet & better & F.array_contains(h["rivals"], o["template"])
+
+        return F.exists("all", by)
+
+    return per.select("doc_id", "text_hash", F.filter("all", lambda h: ~beaten(h)).alias("hits"))
 
 
 def _by_size(rows) -> dict:
@@ -116,7 +154,8 @@ def _by_size(rows) -> dict:
 
 def report(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n_licenses, licenses (sorted names joined by commas), best (greatest containment, 0 if none) for every row of docs."""
-    per = matches(docs, templates).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("template")).alias("names"), F.max("containment").alias("best"))
+    hits = best_matches(docs, templates)
+    per = hits.select("doc_id", "text_hash", F.array_sort(F.array_distinct(F.col("hits.template"))).alias("names"), F.array_max("hits.containment").alias("best"))
     per = Scratch(docs.sparkSession).keep(per.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_hash", "hit_hash"), "licenses")
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
     out = own.join(per, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")

@@ -129,6 +129,22 @@ def test_licenses(spark):
     assert all(n in got[i] for i, n in enumerate(names)) and all(got[i] == [""] for i in range(len(names), len(texts)))
 
 
+def test_license_notices_headers_and_whole_texts(spark):
+    agpl = license_scan.TEMPLATES["AGPL-3.0/program/header"]
+    cases = {
+        "Licensed under the MIT License": "MIT/", "it is Apache-2.0 here": "Apache-2.0/id", "content: CC BY-SA 4.0, 2020": "CC-BY-SA-4.0/",
+        "// SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause/spdx", "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only/spdx",
+        prose(30) + " " + agpl + " " + prose(30): "AGPL-3.0/program/header", license_scan.TEMPLATES["MPL-2.0"].replace("Contributor", "Author", 3): "MPL-2.0",
+    }
+    whole = [n for n in license_scan.TEMPLATES if "/" not in n and n != "all-rights-reserved"]
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "EPL-1.0", "CC0-1.0", "BSL-1.0", "Unlicense"} <= set(whole)
+    texts = [*cases, license_scan.TEMPLATES["BSD-3-Clause"], license_scan.TEMPLATES["BSD-2-Clause"]]
+    got = {r["doc_id"]: r["licenses"].split(",") for r in license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    for i, want in enumerate(cases.values()):
+        assert any(n.startswith(want) for n in got[i]), (want, got[i])
+    assert got[4] == ["GPL-2.0-only/spdx"] and got[len(cases)] == ["BSD-3-Clause"] and got[len(cases) + 1] == ["BSD-2-Clause"]
+
+
 def test_contamination(spark):
     items = [(i, prose(RNG.randint(3, 30))) for i in range(12)]
     texts = [prose(40) + " " + RNG.choice(items)[1].upper() + ", " + prose(RNG.randint(0, 300)) for _ in range(30)] + [" ".join(items[0][1].split()[:9])]
