@@ -53,6 +53,12 @@ def bigrams(spark, sf_dir):
     return _docs(spark, sf_dir).where(F.length(t) >= 2).select("doc_id", F.size(pairs).cast("long").alias("bigrams"), F.size(F.array_distinct(pairs)).cast("long").alias("distinct_bigrams"))
 
 
+@query()
+def bigrams_whole(spark, sf_dir):
+    """bigrams over whole texts; held against brute force, as its SQL would cut a long text once a bigram."""
+    return _docs(spark, sf_dir).where(F.length("text") >= 2).select("doc_id", *T.bigram_counts(F.col("text")))
+
+
 @query(r"""SELECT event_id, CASE WHEN contains(m, 'llm') OR contains(m, 'embedding') OR contains(m, 'chunk') THEN '[ingest]' ELSE '[unknown]' END AS phase FROM (SELECT event_id, event_type || CASE WHEN event_type = 'error' THEN ' LLM failed' ELSE '' END AS raw, lower(event_type || CASE WHEN event_type = 'error' THEN ' LLM failed' ELSE '' END) AS m FROM events)""")
 def error_phase(spark, sf_dir):
     e = table(spark, sf_dir, "events")
