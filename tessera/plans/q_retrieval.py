@@ -59,6 +59,11 @@ def vector_literal(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").where("vec_id < 100").select("vec_id", V.literal(F.col("embedding")).alias("literal"))
 
 
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding::double[], lambda x: printf('%.8f', x)), ',') || ']' AS literal FROM embeddings")
+def vector_literal_all(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.literal(F.col("embedding")).alias("literal"))
+
+
 _HIT = " + ".join(f"(CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(source), '{w}') THEN 2 ELSE 0 END)" for w in WORDS)
 
 

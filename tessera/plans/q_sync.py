@@ -55,7 +55,16 @@ def tombstone_purge(spark, sf_dir):
 
 @query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'missing' WHEN event_type IN ('error', 'purchase') THEN 'enqueued' ELSE 'skipped' END AS outcome FROM events WHERE event_id < 500""")
 def retry_plan(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 500").withColumnRenamed("event_id", "rel_path")
+    return _retries(table(spark, sf_dir, "events").where("event_id < 500"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'missing' WHEN event_type IN ('error', 'purchase') THEN 'enqueued' ELSE 'skipped' END AS outcome FROM events""")
+def retry_plan_all(spark, sf_dir):
+    return _retries(table(spark, sf_dir, "events"))
+
+
+def _retries(events):
+    e = events.withColumnRenamed("event_id", "rel_path")
     states = e.select("rel_path", F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "synced").otherwise("pending").alias("last_event"))
     out = manifest.retry_outcomes(e.select("rel_path"), states, e.where("rel_path % 7 <> 0").select("rel_path"))
     return out.select(F.col("rel_path").alias("event_id"), "outcome")

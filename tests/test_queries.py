@@ -35,6 +35,11 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(_value(r[i]) for i in at) for r in rel.fetchall())
 
 
+@pytest.mark.parametrize(("name", "source"), [("vector_literal_all", "embeddings"), ("retry_plan_all", "events")])
+def test_every_row_is_covered(spark, name, source):
+    assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count() > 100
+
+
 def test_bigrams_of_whole_texts(spark, tmp_path):
     texts = ["ab" * 600 + "xyz", "é😀" * 300 + "\n\nq", "aa", "a", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
