@@ -46,11 +46,37 @@ def anchors(docs: DataFrame, wins: DataFrame) -> DataFrame:
     return best.select("best.term", F.struct("best.offset", "best.folded", "window", "best.items").alias("by")).groupBy("term").agg(F.collect_list("by").alias("found_by"))
 
 
+def near_places(docs: DataFrame, wins: DataFrame, share: float, slack: int) -> DataFrame:
+    """doc_id, text_hash, start, length, window, items: every place of which the words from `slack` before to `slack` after hold the share of a window's distinct words.
+
+    A place lacks at most floor((1 - share) * d) of d distinct words, so it holds one of any
+    floor((1 - share) * d) + 1 of them: the rarest are looked up, and each place that has one
+    in reach is tested.  Words that no document holds count among them.
+    """
+    terms = wins.select(F.explode("folded").alias("term")).distinct()
+    tokens = docs.select(F.explode(folded_words(F.col("text"))).alias("term"))
+    often = tokens.join(if_small(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n"))
+    each = wins.select("window", "folded", "items", F.explode(F.array_distinct("folded")).alias("term")).join(often, "term", "left")
+    ranked = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("rank"), F.first("folded").alias("folded"), F.first("items").alias("items"))
+    spare = F.floor((1 - share) * F.size("rank") + 1e-9).cast("int")
+    chosen = ranked.select("window", "folded", "items", F.explode(F.slice("rank", F.lit(1), F.least(spare + 1, F.size("rank")))).alias("one")).where("one.n > 0")
+    found_by = chosen.select(F.col("one.term").alias("term"), "window", F.size("folded").alias("length"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), folded_words(F.col("text")).alias("own"))
+    postings = base.select("doc_id", "text_hash", "own", F.posexplode("own").alias("at", "term")).join(if_small(found_by, BROADCAST_ROWS), "term")
+    reach = F.sequence(F.greatest(F.col("at") - F.col("length") - slack + 1, F.lit(0)), F.least(F.col("at") + slack, F.size("own") - 1))
+    starts = postings.select("doc_id", "text_hash", "own", "window", F.explode(reach).alias("start")).dropDuplicates(["doc_id", "text_hash", "window", "start"])
+    asked = starts.join(if_small(wins.select("window", "folded", "items"), BROADCAST_ROWS), "window")
+    low = F.greatest(F.col("start") - slack, F.lit(0))
+    around = F.slice("own", low + 1, F.col("start") + F.size("folded") + slack - low)
+    held = F.size(F.array_intersect(F.array_distinct("folded"), around)) / F.size(F.array_distinct("folded"))
+    return asked.where(held >= share - 1e-9).select("doc_id", "text_hash", "start", F.size("folded").alias("length"), "window", "items")
+
+
 def matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, proximity: float | None = None, slack: int = 4) -> DataFrame:
     """doc_id, text_hash, start, length, window, items, kind: occurrences of windows, in words from 0.
 
     kind is phrase; with proximity (a share of a window's distinct words, 0 to 1) also near,
-    for places where that share occurs within `slack` words around the window's place.
+    for every place (see near_places) that overlaps no phrase of the window.
     """
     scratch = Scratch(docs.sparkSession)
     wins = scratch.keep(windows(items, n), "windows")
@@ -61,15 +87,13 @@ def matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, proximity: float
     length = F.size("by.folded")
     same = (F.col("start") >= 0) & (F.slice("own", F.greatest("start", F.lit(0)) + 1, length) == F.col("by.folded"))
     exact = F.array_join(F.slice(words(ascii_lower(F.col("text"))), F.greatest("start", F.lit(0)) + 1, length), " ") == F.col("by.window")
-    phrase = F.when(same, exact).otherwise(False)
+    found = starts.where(same).where(exact).select("doc_id", F.xxhash64("text").alias("text_hash"), "start", length.alias("length"), "by.window", "by.items", F.lit("phrase").alias("kind"))
     if proximity is None:
-        found = starts.where(same).where(exact).withColumn("kind", F.lit("phrase"))
-    else:
-        low = F.greatest(F.col("start") - slack, F.lit(0))
-        near = F.slice("own", low + 1, F.col("start") + length + slack - low)
-        share = F.size(F.array_intersect(F.array_distinct("by.folded"), near)) / F.size(F.array_distinct("by.folded"))
-        found = starts.withColumn("kind", F.when(phrase, "phrase").when(share >= proximity, "near")).where("kind is not null")
-    return found.select("doc_id", F.xxhash64("text").alias("text_hash"), "start", length.alias("length"), "by.window", "by.items", "kind")
+        return found
+    near = near_places(docs, wins, proximity, slack).withColumn("kind", F.lit("near"))
+    at = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("window").alias("__window"), F.col("start").alias("__start"))
+    same_place = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & (F.col("window") == F.col("__window")) & (F.abs(F.col("start") - F.col("__start")) < F.col("length"))
+    return found.unionByName(near.join(at, same_place, "left_anti"))
 
 
 def report(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:

@@ -174,6 +174,17 @@ def test_proximity(spark):
     assert got == {(1, "phrase"), (2, "near")}
 
 
+def test_proximity_with_altered_rare_words(spark):
+    item = [f"w{i}" for i in range(12)] + ["rarest"]
+    cut = lambda i, new: " ".join([*item[:i], *new, *item[i + 1 :]])
+    texts = [cut(12, ["misspelt"]), cut(12, []), cut(3, ["other"]), "x y " + cut(12, []) + " z", cut(12, []).replace("w0 ", ""), " ".join(reversed(item))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for words_of in (item, [*item[:12], "unseen"]):  # the rarest word occurs in no document
+        got = {(r["doc_id"], r["start"]) for r in decontamination.matches(docs, spark.createDataFrame([(1, " ".join(words_of))], "item_id bigint, text string"), proximity=0.9).collect()}
+        want = {(d, s) for d, t in enumerate(texts) for s in range(len(t.split())) if len(set(words_of) & set(t.split()[max(0, s - 4) : s + 17])) >= 0.9 * 13}
+        assert got == want and want
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 64))
