@@ -1,10 +1,11 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by exact windows of lines, with winnowed fingerprints as a prefilter.
 
 A document is the sequence of its lines that are not blank.  From every window of
 `WINDOW` lines the position with the least hash is a fingerprint (the rightmost of
-equal ones), so two runs of at least that many equal lines share one.  Positions
-join on their fingerprints; around those that occur more than once the match is
-extended both ways, window by window, and each line inside a window of lines that
+equal ones), so two runs of at least that many equal lines share one.  Every
+distinct window is written with its fingerprint; windows whose fingerprint occurs once
+are dropped, and the others are grouped by the hash of the whole window.  No positions
+are joined and no match is extended.  Each line inside a window of lines that
 occurred before, in an earlier document or earlier in its own, is deleted.  A line
 of at least `LONG_LINE` characters is a window of its own.
 
