@@ -1,8 +1,8 @@
 """Exact pairwise verification inside groups, in blocks.
 
-A group of m rows is cut into blocks of about max(40, sqrt m) rows; every pair of
-blocks is one task, so no task holds a whole hot group, and only sums per row and
-one label per row leave a task: pairs are never rows.
+A group of m rows is cut into blocks of about `BLOCK` rows; every pair of blocks is one
+task, so no task holds a whole hot group, and only sums per row and one label per row
+leave a task: pairs are never rows.
 """
 
 from __future__ import annotations
@@ -15,13 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_BLOCK = 40
+BLOCK = 512
 
 
-def pair_blocks(members: DataFrame, group: str, node: str, size: str) -> DataFrame:
+def pair_blocks(members: DataFrame, node: str, size: str) -> DataFrame:
     """members with i, j, left, right: each row once for every block pair that it belongs to."""
-    n = F.ceil(F.col(size) / F.greatest(F.lit(float(LEAST_BLOCK)), F.sqrt(F.col(size)))).cast("int")
-    out = members.withColumn("n_blocks", F.greatest(n, F.lit(1))).withColumn("own", F.pmod(F.xxhash64(node), F.col("n_blocks").cast("long")).cast("int"))
+    out = members.withColumn("n_blocks", F.ceil(F.col(size) / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64(node), F.col("n_blocks").cast("long")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "n_blocks")
 

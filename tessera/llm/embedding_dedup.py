@@ -237,7 +237,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample_rows: int
     nodes = valid.select(F.col("vec_id").alias("node"), "embedding")
     entries = scratch.keep(_entries(nodes, dim, how), "entries")
     full = scratch.keep(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "full")
-    tasks = pair_blocks(entries.join(full, "bucket"), "bucket", "node", "size").drop("size")
+    tasks = pair_blocks(entries.join(full, "bucket"), "node", "size").drop("size")
     links = scratch.keep(by_group(tasks, ["bucket", "i", "j"], _verify(threshold, how, kind), "a bigint, b bigint, links bigint"), "links")
     scratch.drop("entries", "full")
     counts = links.groupBy(F.col("a").alias("vec_id")).agg(F.sum("links").alias("n_links"))

@@ -6,11 +6,13 @@ has no words).  Texts with equal sets are one class; classes are joined, copies
 not expanded.  `BANDS` bands of `ROWS` rows find a pair of Jaccard similarity 0.8
 with probability 1 - (1 - 0.8^6)^32 > 0.9999.
 
-Small buckets give candidate pairs, thinned by an estimate that is seven standard
-errors below the threshold; large buckets, which only groups of near copies form,
-give stars.  The groups that these connect are verified pair by pair on full sets,
-in blocks (see blocks.py), so every link between different texts is counted and no
-pair of a large group becomes a row.
+A bucket's members are compared by an estimate from their signatures, seven standard
+errors below the threshold: first all with the least of them, a row for each member;
+then, in buckets where that leaves more than one group, all with those outside of the
+largest group, in blocks inside of tasks, which give at most a row for each member.
+The groups that the estimates connect are verified pair by pair on full sets, in blocks
+(see blocks.py), so every link between different texts is counted and no pair becomes a
+row, whatever the size of a bucket or group.
 
 Rows with null ids or without words link with nothing.  Rows that repeat an id are
 rows of their own.  Empty tables give empty results.
@@ -25,13 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import by_group, labels_of, pair_blocks, settle
+from tessera.llm.blocks import BLOCK, by_group, labels_of, pair_blocks, settle
 from tessera.llm.graph import components
 from tessera.llm.textkit import ALNUM, LOWER, Scratch, hash_spans, mix, shingles, slices, strings, words
 
 BANDS, ROWS = 32, 6
-#: Buckets of more classes than this give a star, not pairs.
-SMALL_BUCKET = 8
 
 
 def _salts() -> tuple[np.ndarray, np.ndarray]:
@@ -108,19 +108,83 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key binary, shingles binary").where("key is not null")
 
 
+def _signed(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
 def _estimate(a, b):
     """Share of equal positions of two signatures."""
 
     @F.arrow_udf("double")
     def share(x: pa.Array, y: pa.Array) -> pa.Array:
-        if not len(x):
-            return pa.array([], pa.float64())
-        left, right = (np.frombuffer(b"".join(v.to_pylist()), np.uint16).reshape(len(x), -1) for v in (x, y))
-        return pa.array((left == right).mean(axis=1))
+        return pa.array((_signed(x) == _signed(y)).mean(axis=1) if len(x) else [], pa.float64())
 
     return share(a, b)
 
 
+def _across(least: float):
+    """Rows of one block pair of a bucket: those on the left against those on the right, of other labels."""
+
+    def run(rows: pa.Table) -> pa.RecordBatch | None:
+        on_left = rows["left"].to_numpy()
+        order = np.argsort(~on_left, kind="stable")
+        n = int(on_left.sum())
+        if not 0 < n < len(order):
+            return None
+        rows = rows.take(pa.array(order))
+        sig = _signed(rows["sig"])
+        label = np.unique(np.array(rows["label"].to_pylist(), object), return_inverse=True)[1]
+        linked = np.zeros((len(sig), len(sig)), bool)
+        for lo in range(0, n, 64):
+            near = (sig[lo : min(lo + 64, n), None] == sig[None, n:]).mean(axis=2) >= least
+            linked[lo : min(lo + 64, n), n:] = near & (label[lo : min(lo + 64, n), None] != label[None, n:])
+        linked |= linked.T
+        on = np.flatnonzero(linked.any(axis=1))
+        if not len(on):
+            return None
+        names = rows["label"].combine_chunks()
+        return pa.RecordBatch.from_arrays([names.take(pa.array(on)), names.take(pa.array(labels_of(linked)[on]))], ["a", "b"])
+
+    return run
+
+
+def candidate_groups(classes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """node (a key), label: groups that hold both ends of every pair that shares a band and is estimated at `least` or more.
+
+    Of buckets with the same members only one is worked on.
+    """
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    entries = classes.select("key", F.explode(bands).alias("bucket"))
+    alike = [F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")]
+    full = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("first"), *alike).where("size > 1")
+    full = full.groupBy("size", "first", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "first")
+    full = scratch.keep(entries.join(full, "bucket"), "buckets")
+    sigs = classes.select("key", "sig")
+    pairs = full.where(F.col("key") != F.col("first")).select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
+    pairs = pairs.join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("y")), "b")
+    labels = scratch.keep(components(pairs.where(_estimate(F.col("x"), F.col("y")) >= least).select("a", "b"), scratch), "hubs")
+    scratch.drop("labels")
+
+    named = full.select("bucket", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
+    named = scratch.keep(named.select("bucket", "key", F.coalesce("label", "key").alias("label")), "named")
+    per = named.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("n_labels"))
+    mixed = per.where("n_labels > 1").select("bucket", F.col("most.label").alias("largest"), F.ceil((F.col("size") - F.col("most.n")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("size") / BLOCK).cast("int").alias("columns"))
+    asked = named.join(mixed, "bucket")
+    at = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "key"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    outside = F.when(F.col("label") != F.col("largest"), F.transform(every("columns"), lambda c: F.struct(F.lit(True).alias("left"), at(7, "rows").alias("i"), c.alias("j"))))
+    against = F.transform(every("rows"), lambda r: F.struct(F.lit(False).alias("left"), r.alias("i"), at(11, "columns").alias("j")))
+    tasks = asked.select("bucket", "key", "label", F.inline(F.concat(F.coalesce(outside, F.array().cast("array<struct<left:boolean,i:int,j:int>>")), against)))
+    kind = classes.schema["key"].dataType.simpleString()
+    more = scratch.keep(by_group(tasks.join(sigs, "key"), ["bucket", "i", "j"], _across(least), f"a {kind}, b {kind}").distinct(), "more")
+    scratch.drop("buckets", "named")
+    if more.isEmpty():
+        return labels
+    joined = components(more, scratch).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    alone = joined.join(labels, "label", "left_anti").select(F.col("label").alias("node"), "label")  # keys that no first comparison linked
+    return labels.unionByName(alone).join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
+
+
 def overlaps(parts: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
     """How many members each two sets share: products of 0/1 matrices over columns of the shared members."""
     n = len(parts)
@@ -178,25 +242,16 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     classes = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("weight"), F.min("sig").alias("sig"))
     classes = scratch.keep(classes, "classes")
 
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    entries = classes.select("key", F.explode(bands).alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1")
-    full = scratch.keep(entries.join(full, "bucket"), "buckets")
-    small = full.where(F.col("n") <= SMALL_BUCKET).select("bucket", "key")
-    pairs = small.select("bucket", F.col("key").alias("a")).join(small.select("bucket", F.col("key").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
-    sigs = classes.select("key", "sig")
-    pairs = pairs.join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("y")), "b")
-    near = pairs.where(_estimate(F.col("x"), F.col("y")) >= threshold - 7 * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5).select("a", "b")
-    stars = full.where((F.col("n") > SMALL_BUCKET) & (F.col("key") != F.col("first"))).select(F.col("key").alias("a"), F.col("first").alias("b"))
-    groups = scratch.keep(components(near.union(stars), scratch), "groups")
+    least = threshold - 7 * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
+    groups = scratch.keep(candidate_groups(classes, least, scratch), "groups")
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
     members = groups.join(sizes, "label").join(classes.select(F.col("key").alias("node"), "class_id", "weight"), "node").select(F.col("node").alias("key"), F.col("label").alias("grp"), "size", "weight", "class_id")
     members = scratch.keep(members, "members")
-    scratch.drop("buckets", "groups")
+    scratch.drop("groups", "hubs", "labels", "more")
 
     texts = docs.select("doc_id", "text").join(members.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     known = full_sets(texts, n).groupBy("key").agg(F.first("shingles").alias("shingles"))
-    tasks = pair_blocks(members.select("key", "grp", "size", "weight"), "grp", "key", "size").drop("size")
+    tasks = pair_blocks(members.select("key", "grp", "size", "weight"), "key", "size").drop("size")
     links = scratch.keep(by_group(tasks.join(known, "key"), ["grp", "i", "j"], _verify(threshold), "a binary, b binary, links bigint"), "links")
 
     counts = links.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
@@ -206,7 +261,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     per_class = classes.select("key", "class_id", "weight").join(counts, "key", "left").join(linked, "key", "left")
     per_class = per_class.select("key", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
     per_class = scratch.keep(per_class, "per_class")
-    scratch.drop("links")
+    scratch.drop("links", "labels", "members", "classes")
     own = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
     out = own.join(per_class, "key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -7,6 +7,8 @@ slices of about `SLICE_BYTES`, so memory depends on that and on the longest text
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -144,18 +146,30 @@ def binary_rows(parts: list[bytes]) -> pa.Array:
 # --- storage -------------------------------------------------------------
 
 _OWN: dict[str, str] = {}
+_MADE: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return base
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tessera-"))
+
+
+def _delete(jvm, conf, path: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(conf).delete(path, True)
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor loses no lineage; drop() removes the named ones."""
+    """Tables written to the shared folder, so that a lost executor loses no lineage.
+
+    drop() removes the named ones.  Those that a result still reads stay until the driver
+    ends, which removes them.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.base, self.paths, self.count = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", {}, 0
@@ -163,12 +177,20 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{name}-{self.count}"
+        if not _MADE:
+            atexit.register(_sweep, self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration())
+        _MADE.add(self.base)
         df.write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names or list(self.paths):
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if path := self.paths.pop(name, None):
+                _delete(self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def _sweep(jvm, conf) -> None:
+    with contextlib.suppress(Exception):  # the Java side may have ended first
+        for base in _MADE:
+            _delete(jvm, conf, base)
