@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontamination, embedding_dedup, license_scan, line_dedup, maxent_lm, nbsvm, ngram_join, secrets, substring_dedup
+from tessera.llm import byte_bpe, decontamination, embedding_dedup, license_scan, line_dedup, maxent_lm, nbsvm, ngram_join, secrets, substring_dedup, textkit
 
 RNG = random.Random(5)
 VOCAB = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(1, 9))) for _ in range(400)]
@@ -66,6 +66,33 @@ def test_ngram_join(docs, texts):
     assert got == {i: (links[i], root(i)) for i in range(n)}
 
 
+def test_ngram_join_makes_rows_in_proportion(spark):
+    """A group of near copies that all differ, and a bucket that holds two groups: rows out of each step stay near the members'."""
+    rng = np.random.default_rng(9)
+    m = 600
+    sig = np.tile(rng.integers(0, 1 << 16, ngram_join.BANDS * ngram_join.ROWS, dtype=np.uint16), (m, 1))
+    sig[np.arange(m), rng.integers(0, sig.shape[1], m)] += 1
+    other = rng.integers(0, 1 << 16, (4, sig.shape[1]), dtype=np.uint16)
+    other[:2, 6:] = other[0, 6:]
+    other[:, :6] = sig[0, :6]  # shares a band with the large group
+    rows = [(i.to_bytes(16, "big"), bytes(s.tobytes())) for i, s in enumerate(np.concatenate([sig, other]))]
+    classes = spark.createDataFrame(rows, "key binary, sig binary")
+    scratch = textkit.Scratch(spark)
+    made, keep = {}, scratch.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    scratch.keep = counted
+    label = {bytes(r["node"]): bytes(r["label"]) for r in ngram_join.candidate_groups(classes, 0.6, scratch).collect()}
+    keys = [k for k, _ in rows]
+    assert {label[k] for k in keys[:m]} == {keys[0]} and label[keys[m]] == label[keys[m + 1]] == keys[m]
+    assert keys[m + 2] not in label and keys[m + 3] not in label
+    assert made["buckets"] <= ngram_join.BANDS * (m + 4) and made["hubs"] <= m + 4 and made["more"] <= m + 4
+
+
 def test_substring_dedup(spark):
     passage = prose(80)
     texts = [prose(60) + " " + passage + " " + prose(60) for _ in range(4)] + [prose(120) for _ in range(20)]
@@ -219,7 +246,20 @@ def test_vector_recall_off_centre_and_at_a_large_count(spark):
         for a, b in embedding_dedup.planted(like(5000), 0.905, seed=9):
             apart = [embedding_dedup.encode(a, how.mean, p) ^ embedding_dedup.encode(b, how.mean, p) for p in how.projections]
             met = np.any([(apart[k] & embedding_dedup.mask_of(sub)) == 0 for k, sub in how.tables], axis=0)
-            assert (met & (np.bitwise_count(apart[0]) <= how.radius)).mean() >= 0.97
+            assert (met & (np.sum([np.bitwise_count(x).astype(int) for x in apart], axis=0) <= how.radius)).mean() >= 0.97
+
+
+def test_vectors_of_few_components_and_of_other_lengths(spark):
+    rng = np.random.default_rng(6)
+    x = [v.tolist() for dim, m in ((1, 30), (2, 60), (3, 80), (64, 20)) for v in rng.normal(size=(m, dim))]
+    x += [x[40], [3 * c for c in x[40]], x[0]]
+    same = lambda a, b: len(a) == len(b) and np.dot(a, b) >= 0.9 * np.linalg.norm(a) * np.linalg.norm(b)
+    want = {f"v{i:03}": sum(same(a, b) for b in x) - 1 for i, a in enumerate(x)}
+    df = spark.createDataFrame([(f"v{i:03}", v) for i, v in enumerate(x)], "vec_id string, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == want
+    for dim in range(1, 6):  # ends for any width and count
+        assert embedding_dedup.plan(rng.normal(size=(2, dim)), 10**9, 0.9, 0.98).tables
 
 
 def test_language_model(spark, texts):
