@@ -2,22 +2,26 @@
 
 Beside three fixed patterns, candidate strings are runs of at least `WINDOW`
 characters of the base64 alphabets.  Shannon entropy is taken over a window that
-slides by one character: only the counts of the character that leaves and the one
-that enters change the sum of n log2 n.  The threshold depends on the character
+slides by one character: the counts of its characters are kept, and only those of the
+character that leaves and the one that enters change, and with them the sum of n log2 n.
+The threshold depends on the character
 class (hexadecimal digits, or base64 letters and digits).  Candidates without both
 letters and digits, of a pattern on the allow list, or overlapping a pattern's span
 add nothing.
 
 Null texts count as empty and have no spans.  Every row is scanned on its own, in
-full: nothing is shuffled.
+full: nothing is shuffled, and the work grows with the length of a text and, by a
+logarithm, with its spans.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.native_text import spans
+from tessera.llm.native_text import held, spans
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -40,30 +44,50 @@ ALLOWED = (
 KINDS = ("assign", "access", "hex", "entropy")
 
 
-def _weight(n: Column) -> Column:
-    """n log2 n."""
-    return F.when(n > 1, n * F.log2(n)).otherwise(0.0)
-
-
 def peak_entropy(text: Column, window: int = WINDOW) -> Column:
     """The greatest entropy in bits of any window of that many characters; null for shorter strings."""
+    weight = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)])  # n log2 n
+
+    def peak(x: Column) -> Column:
+        codes = x["codes"]
+        counts = F.transform(x["kinds"], lambda _, k: F.size(F.filter(F.slice(codes, 1, window), lambda c: c == k)))
+
+        def slide(acc: Column, i: Column) -> Column:
+            leaves, enters = F.get(codes, i), F.get(codes, i + window)
+            out, new = F.get(acc["counts"], leaves), F.get(acc["counts"], enters)
+            s = acc["s"] - F.get(weight, out) + F.get(weight, out - 1) - F.get(weight, new) + F.get(weight, new + 1)
+            after = F.transform(acc["counts"], lambda n, k: F.when(k == leaves, n - 1).when(k == enters, n + 1).otherwise(n))
+            return F.when(leaves == enters, acc).otherwise(F.struct(after.alias("counts"), s.alias("s"), F.least(acc["least"], s).alias("least")))
+
+        def walked(begin: Column) -> Column:
+            start = F.aggregate(begin, F.lit(0.0), lambda s, n: s + F.get(weight, n))
+            state = lambda v: F.struct(begin.alias("counts"), v.alias("s"), v.alias("least"))
+            steps = F.when(F.size(codes) > window, F.sequence(F.lit(0), F.size(codes) - window - 1)).otherwise(F.array().cast("array<int>"))
+            return held(start, lambda v: F.aggregate(steps, state(v), slide)["least"])
+
+        return F.log2(F.lit(float(window))) - held(counts, walked) / window
+
+    def coded(x: Column) -> Column:
+        return F.struct(F.transform(x["chars"], lambda c: (F.array_position(x["kinds"], c) - 1).cast("int")).alias("codes"), x["kinds"].alias("kinds"))
+
+    chars = F.slice(F.split(text, ""), F.lit(1), F.length(text))
+    both = held(chars, lambda c: F.struct(c.alias("chars"), F.array_distinct(c).alias("kinds")))
+    return F.when(F.length(text) >= window, held(held(both, coded), peak))
 
-    def times(part: Column, c: Column) -> Column:
-        return (F.length(part) - F.length(F.replace(part, c, F.lit("")))).cast("double")
 
-    first = F.substring(text, 1, window)
-    start = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda s, c: s + F.when(F.length(c) == 1, _weight(times(first, c))).otherwise(0.0))
+def overlaps(found: Column, x: Column) -> Column:
+    """Whether the span x meets one of found, spans in order that do not meet each other, by halving."""
+    n = F.size(found)
 
-    def slide(acc: Column, i: Column) -> Column:
-        inside = F.substring(text, i + 1, F.lit(window - 1))  # what stays in the window
-        leaves, enters = F.substring(text, i, F.lit(1)), F.substring(text, i + window, F.lit(1))
-        out, new = times(inside, leaves), times(inside, enters)
-        s = acc["s"] - _weight(out + 1) + _weight(out) - _weight(new) + _weight(new + 1)
-        return F.struct(s.alias("s"), F.least(acc["least"], s).alias("least"))
+    def half(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        before = F.get(found, mid)["start"] < x["end"]
+        on = acc["lo"] < acc["hi"]
+        return F.struct(F.when(on & before, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(on & ~before, mid).otherwise(acc["hi"]).alias("hi"))
 
-    steps = F.when(F.length(text) > window, F.sequence(F.lit(1), F.length(text) - window)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(start.alias("s"), start.alias("least")), slide)["least"]
-    return F.when(F.length(text) >= window, F.log2(F.lit(float(window))) - least / window)
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2((n + 1).cast("double"))).cast("int"))
+    first_after = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), n.alias("hi")), half)["lo"]
+    return F.coalesce((n > 0) & (F.get(found, first_after - 1)["end"] > x["start"]), F.lit(False))
 
 
 def _kind(found: Column, rank: int) -> Column:
@@ -74,19 +98,20 @@ def scan(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """doc_id, base, extra: arrays of struct<start, rank, end, kind> sorted by start, then kind; offsets in code points."""
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(spans(text, ASSIGN, 2), lambda x: F.length(x["part"]) >= 6)
-    base = F.array_sort(F.concat(_kind(assign, 0), _kind(spans(text, LONG_ACCESS), 1), _kind(spans(text, LONG_HEX), 2)))
-    out = docs.select("doc_id", text.alias("text"), base.alias("base"), spans(text, CANDIDATE).alias("candidates"))
+    out = docs.select("doc_id", assign.alias("assign"), spans(text, LONG_ACCESS).alias("access"), spans(text, LONG_HEX).alias("hex"), spans(text, CANDIDATE).alias("candidates"))
 
     def secret(x: Column) -> Column:
         s = x["match"]
         ok = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
         for pattern in allowed:
             ok &= ~s.rlike(pattern)
+        for kind in KINDS[:3]:
+            ok &= ~overlaps(F.col(kind), x)
         bits = F.when(s.rlike("^[0-9a-fA-F]+$"), HEX_BITS).otherwise(BASE64_BITS)
-        clear = ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return F.when(ok & clear, peak_entropy(s) >= bits).otherwise(False)
+        return F.when(ok, peak_entropy(s) >= bits).otherwise(False)
 
-    return out.select("doc_id", "base", _kind(F.filter("candidates", secret), 3).alias("extra"))
+    base = F.array_sort(F.concat(*[_kind(F.col(kind), rank) for rank, kind in enumerate(KINDS[:3])]))
+    return out.select("doc_id", base.alias("base"), _kind(F.filter("candidates", secret), 3).alias("extra"))
 
 
 def _told(found: Column) -> Column:
