@@ -1,11 +1,12 @@
 """License scan in DataFrame functions: MinHash bands over overlapping windows, then exact containment.
 
-A template of n words is looked for in windows of 2n words that start every n words, so
-each run of n words lies inside one.  A window that holds at least `CONTAINMENT` of the
-template's shingles (5 words; all its words if it has fewer) has a Jaccard similarity of
-about 1/12 or more with it whatever n is; `BANDS` bands of one row each bring the two
-together with probability 1 - (1 - 1/12)^96 > 0.9997, and more for longer templates.
-Retrieved pairs are verified by exact containment.
+Templates are sorted into classes by length: up to N = 8, 16, 32, ... words, and each
+length below 5 by itself.  A template is looked for in the windows of 2N words of its
+class, which start every N words, so each run of N words lies inside one.  A window that
+holds at least `CONTAINMENT` of the template's shingles (5 words; all its words if it has
+fewer) has a Jaccard similarity of 1/12 or more with it; `BANDS` bands of one row each
+bring the two together with probability 1 - (1 - 1/12)^96 > 0.9997, and more for longer
+templates.  Retrieved pairs are verified by exact containment.
 
 Only windows with an anchor word are hashed: anchors of a template are words that touch
 so many of its shingles that a window without them cannot reach the containment.  That
@@ -17,6 +18,7 @@ Null and empty texts hold no license.  Rows that repeat both id and text share a
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from math import ceil
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontamination import BROADCAST_ROWS
 from tessera.llm.license_texts import library
-from tessera.llm.native_text import ascii_lower, if_small, words
+from tessera.llm.native_text import ascii_lower, held, if_small, words
 from tessera.llm.textkit import Scratch
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 96
@@ -39,18 +41,22 @@ def _python_words(text: str) -> list[str]:
     return [w for w in "".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in text).split(" ") if w]
 
 
-def _anchors(own: list[str]) -> list[str]:
-    """Few words, the longest first and common ones last, without which less than the containment is left."""
+def _anchors(own: list[str]) -> list[tuple[str, str]]:
+    """Few words, the longest first and common ones last, without which less than the containment is left.
+
+    Each has a mate: where all shingles are needed, another word of the template, which must be there too; else itself.
+    """
     k = min(SHINGLE, len(own))
     left = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
     spare, out = len(left) - ceil(CONTAINMENT * len(left) - 1e-9), []
     touched: set = set()
-    for word in sorted(set(own), key=lambda w: (w in COMMON, w.isdigit(), -len(w), w)):
+    order = sorted(set(own), key=lambda w: (w in COMMON, w.isdigit(), -len(w), w))
+    for word in order:
         if len(touched) > spare:
             break
-        out.append(word)
+        out.append((word, word))
         touched |= {s for s in left if word in s}
-    return out
+    return [(order[0], order[min(1, len(order) - 1)])] if not spare else out
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -60,7 +66,7 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
         if own := _python_words(text):
             k = min(SHINGLE, len(own))
             rows.append((name, len(own), _anchors(own), sorted({" ".join(own[i : i + k]) for i in range(len(own) - k + 1)})))
-    return spark.createDataFrame(rows, "template string, n int, anchors array<string>, shingles array<string>")
+    return spark.createDataFrame(rows, "template string, n int, anchors array<struct<word: string, mate: string>>, shingles array<string>")
 
 
 def bands(shingles: Column) -> Column:
@@ -69,35 +75,79 @@ def bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.xxhash64(b, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b)))))
 
 
-def windows(docs: DataFrame, sizes: list[tuple[int, int, int, list[str]]]) -> DataFrame:
-    """doc_id, text_hash, n, at, shingles: windows of 2n words, for each n of sizes (n, k, least shingles, anchors), that hold an anchor and shingles enough."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(ascii_lower(F.col("text"))).alias("own"))
+def class_of(n: int) -> tuple[int, int]:
+    """(N, words of a shingle) of the class of a template of n words."""
+    return (n, n) if n < SHINGLE else (max(8, 1 << (n - 1).bit_length()), SHINGLE)
+
+
+def classes_of(rows) -> list[tuple[int, int, int, dict[str, list[str]]]]:
+    """(N, words of a shingle, least shingles, mates of each anchor) of each class that rows (n, anchors, shingles) are in."""
+    out: dict = {}
+    for r in rows:
+        least, anchors = out.get(class_of(r["n"]), (1 << 30, {}))
+        for word, mate in r["anchors"]:
+            anchors.setdefault(word, set()).add(mate)
+        out[class_of(r["n"])] = min(least, ceil(CONTAINMENT * len(r["shingles"]) - 1e-9)), anchors
+    return [(*key, least, {w: sorted(m) for w, m in sorted(anchors.items())}) for key, (least, anchors) in sorted(out.items())]
+
+
+def windows(docs: DataFrame, classes: list[tuple[int, int, int, dict[str, list[str]]]]) -> DataFrame:
+    """doc_id, text_hash, size (N), k, at, words: the windows that hold an anchor of their class with a mate, and words enough.
+
+    Anchors are looked up once a document; windows follow from their places, so a document
+    without any costs one pass over its words.
+    """
     known = lambda own: F.split(F.lit(" ".join(own)), " ")  # noqa: E731; one literal for all words
-    own = own.where(F.arrays_overlap("own", known(sorted({a for *_, anchors in sizes for a in anchors}))))
-    size = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(least).alias("least"), known(a).alias("anchors")) for n, k, least, a in sizes])
-    able = F.filter(size, lambda z: (F.size("own") >= z["least"] + z["k"] - 1) & F.arrays_overlap("own", z["anchors"]))
-    each = own.select("doc_id", "text_hash", "own", F.inline(able))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("own") - 1, F.lit(0)), F.col("n"))
-    cut = each.select("doc_id", "text_hash", "n", "k", "least", F.explode(F.filter(F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice("own", s + 1, 2 * F.col("n")).alias("cut"))), lambda w: F.arrays_overlap(w["cut"], F.col("anchors")))).alias("w"))
-    last = F.size("w.cut") - F.col("k") + 1
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w.cut", i, F.col("k")), " ")))
-    return cut.where(last >= F.col("least")).select("doc_id", "text_hash", "n", F.col("w.at").alias("at"), shingles.alias("shingles"))
+    anchor = lambda anchors: F.from_json(F.lit(json.dumps([{"word": w, "mates": m} for w, m in anchors.items()])), "array<struct<word: string, mates: array<string>>>")
+    each = F.array(*[F.struct(F.lit(n).alias("size"), F.lit(k).alias("k"), F.lit(least + k - 1).alias("least"), anchor(a).alias("anchors")) for n, k, least, a in classes])
+
+    def cut(own: Column, places: Column, size: Column, z: Column, mine: Column) -> Column:
+        here = F.filter(places, lambda p: F.exists(mine, lambda a: a["word"] == p["word"]))
+        starts = F.array_distinct(F.flatten(F.transform(here, lambda p: F.array(p["at"] - p["at"] % size, p["at"] - p["at"] % size - size))))
+        made = F.transform(F.filter(starts, lambda s: s >= 0), lambda s: F.struct(size.alias("size"), z["k"].alias("k"), s.alias("at"), F.slice(own, s + 1, 2 * size).alias("words")))
+        whole = lambda w: F.exists(mine, lambda a: F.array_contains(w["words"], a["word"]) & F.arrays_overlap(w["words"], a["mates"]))
+        return F.filter(made, lambda w: (F.size(w["words"]) >= z["least"]) & whole(w))
+
+    def all_of(own: Column) -> Column:
+        def placed(present: Column) -> Column:
+            at = F.filter(F.transform(own, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda p: F.array_contains(present, p["word"]))
+            mine = lambda z: F.filter(z["anchors"], lambda a: F.array_contains(present, a["word"]) & F.arrays_overlap(own, a["mates"]))
+            of = lambda places: F.transform(each, lambda z: held(mine(z), lambda m: F.when(F.size(m) > 0, cut(own, places, z["size"], z, m)).otherwise(F.array().cast(kind))))
+            return F.when(F.size(present) > 0, held(at, lambda places: F.flatten(of(places))))
+
+        return held(F.array_intersect(own, known(sorted({a for *_, anchors in classes for a in anchors}))), placed)
+
+    kind = "array<struct<size:int,k:int,at:int,words:array<string>>>"
+    found = held(words(ascii_lower(F.col("text"))), all_of)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(found))
+
+
+def shingles_of(own: Column, k: Column) -> Column:
+    last = F.size(own) - k + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(own, i, k), " ")))).otherwise(F.array().cast("array<string>"))
 
 
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, text_hash, template, n, at, containment: the windows (start in words) that hold a template."""
+    """doc_id, text_hash, template, n, size, at, containment: the windows (start in words, 2 * size words) that hold a template."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     known = template_table(spark, templates)
-    sizes = [(n, min(SHINGLE, n), min(ceil(CONTAINMENT * len(r["shingles"]) - 1e-9) for r in rows), sorted({a for r in rows for a in r["anchors"]})) for n, rows in _by_size(known.collect()).items()]  # as many as templates
-    if not sizes:
-        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit("").alias("template"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0.0).alias("containment")).where("false")
-    found = windows(docs, sizes)
-    mine = found.select("*", F.explode(bands(F.col("shingles"))).alias("band"))
-    theirs = known.select("template", "n", F.explode(bands(F.col("shingles"))).alias("band"))
-    share = F.size(F.array_intersect("shingles", "wanted")) / F.size("wanted")
-    met = mine.join(if_small(theirs, BROADCAST_ROWS), ["n", "band"]).drop("band").dropDuplicates(["doc_id", "text_hash", "n", "at", "template"])
-    met = met.join(if_small(known.select("template", F.col("shingles").alias("wanted")), BROADCAST_ROWS), "template").withColumn("containment", share).where(F.col("containment") >= CONTAINMENT - 1e-9)
-    return met.select("doc_id", "text_hash", "template", "n", "at", "containment")
+    rows = known.collect()  # as many as templates
+    if not rows:
+        nothing = {"template": "string", "n": "int", "size": "int", "at": "int", "containment": "double"}
+        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *[F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()]).where("false")
+    sizes = spark.createDataFrame([(r["template"], class_of(r["n"])[0]) for r in rows], "template string, size int")
+    known = scratch.keep(known.join(F.broadcast(sizes), "template").select("template", "n", "size", "shingles", bands(F.col("shingles")).alias("bands")), "templates")
+    found = scratch.keep(windows(docs, classes_of(rows)).select("*", bands(shingles_of(F.col("words"), F.col("k"))).alias("bands")), "windows")
+    mine = found.select("doc_id", "text_hash", "size", "at", F.explode("bands").alias("band"))
+    theirs = known.select("template", "size", F.explode("bands").alias("band"))
+    met = mine.join(if_small(theirs, BROADCAST_ROWS), ["size", "band"]).select("doc_id", "text_hash", "size", "at", "template").distinct()
+    met = met.groupBy("doc_id", "text_hash", "size", "at").agg(F.collect_list("template").alias("met")).withColumnsRenamed({"doc_id": "met_id", "text_hash": "met_hash", "size": "met_size", "at": "met_at"})
+    same = F.col("doc_id").eqNullSafe(F.col("met_id")) & F.col("text_hash").eqNullSafe(F.col("met_hash")) & (F.col("size") == F.col("met_size")) & (F.col("at") == F.col("met_at"))
+    asked = found.drop("bands").join(met, same).select("doc_id", "text_hash", "size", "at", shingles_of(F.col("words"), F.col("k")).alias("own"), F.explode("met").alias("template"))
+    share = F.size(F.array_intersect("own", "wanted")) / F.size("wanted")
+    tested = asked.join(if_small(known.select("template", "n", F.col("shingles").alias("wanted")), BROADCAST_ROWS), "template").withColumn("containment", share)
+    return tested.where(F.col("containment") >= CONTAINMENT - 1e-9).select("doc_id", "text_hash", "template", "n", "size", "at", "containment")
 
 
 def _enough(n: int) -> int:
@@ -132,11 +182,11 @@ def best_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
         found = found.join(F.broadcast(known), "template", "left")
     else:
         found = found.withColumn("rivals", F.array().cast("array<string>"))
-    per = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("template", "n", "at", "containment", F.coalesce("rivals", F.array().cast("array<string>")).alias("rivals"))).alias("all"))
+    per = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("template", "n", "size", "at", "containment", F.coalesce("rivals", F.array().cast("array<string>")).alias("rivals"))).alias("all"))
 
     def beaten(h: Column) -> Column:
         def by(o: Column) -> Column:
-            meet = (o["at"] < h["at"] + 2 * h["n"]) & (h["at"] < o["at"] + 2 * o["n"])
+            meet = (o["at"] < h["at"] + 2 * h["size"]) & (h["at"] < o["at"] + 2 * o["size"])
             better = (o["containment"] > h["containment"]) | ((o["containment"] == h["containment"]) & (o["n"] > h["n"]))
             return meet & better & F.array_contains(h["rivals"], o["template"])
 
@@ -145,13 +195,6 @@ def best_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
     return per.select("doc_id", "text_hash", F.filter("all", lambda h: ~beaten(h)).alias("hits"))
 
 
-def _by_size(rows) -> dict:
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r["n"], []).append(r)
-    return out
-
-
 def report(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n_licenses, licenses (sorted names joined by commas), best (greatest containment, 0 if none) for every row of docs."""
     hits = best_matches(docs, templates)
