@@ -2,8 +2,9 @@
 
 A cut follows a byte where the gear hash of the last 32 bytes has its upper bits
 zero, so cuts move with the text and an insertion disturbs only the chunks that it
-touches.  Chunks hold `LEAST` to `MOST` bytes, 40 or so on average.  Digests are 96
-bits.  A chunk is a repeat if a document with a smaller doc_id has it, or it comes
+touches.  Where none comes within `MOST` bytes, as in text that repeats a word or two,
+the cut follows the least hash in the latter half of them.  Chunks hold `LEAST` to `MOST`
+bytes, 35 or so on average.  Digests are 96 bits.  A chunk is a repeat if a document with a smaller doc_id has it, or it comes
 earlier in its own; runs of repeats of at least `RUN` bytes, or a whole text of
 repeats, are removed, and the first owner keeps them.  Shorter runs, as common
 phrases make, stay.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.repeats import earlier_owners
 from tessera.llm.textkit import Scratch, hash_spans, mix, slices, strings
 
-LEAST, MOST, RUN = 8, 512, 64
+LEAST, MOST, RUN = 8, 96, 64
 #: One byte in 2^5 ends a chunk.
 CUT_BITS = 5
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32)
@@ -42,8 +43,11 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 def cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends of all chunks in order, and their rows."""
-    ok = (gear(data) >> np.uint32(32 - CUT_BITS)) == 0
-    ok[:-1] &= (data[1:] & 0xC0) != 0x80
+    h = gear(data)
+    ok = (h >> np.uint32(32 - CUT_BITS)) == 0
+    inside = (data[1:] & 0xC0) == 0x80  # a character goes on after the byte
+    ok[:-1] &= ~inside
+    h[:-1][inside] = np.uint32(0xFFFFFFFF)
     cand = np.flatnonzero(ok) + 1
     begin = at[np.searchsorted(at, cand - 1, side="right") - 1]
     cand = cand[cand - begin >= 32].tolist()
@@ -51,21 +55,14 @@ def cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k, n = 0, len(cand)
     for lo, hi in zip(at.tolist(), at[1:].tolist()):
         last = lo
-        while True:
-            while k < n and cand[k] <= last:
-                k += 1
-            while k < n and cand[k] < hi and cand[k] - last < LEAST:
+        while last < hi:
+            while k < n and cand[k] - last < LEAST:
                 k += 1
             end = cand[k] if k < n and cand[k] < hi else hi
             if end - last > MOST:
-                end = last + MOST
-                while end > last + 1 and data[end] & 0xC0 == 0x80:
-                    end -= 1
-            if end > last:
-                out.append(end)
+                end = last + MOST // 2 + int(h[last + MOST // 2 - 1 : last + MOST].argmin())
+            out.append(end)
             last = end
-            if last >= hi:
-                break
     ends = np.array(out, np.int64)
     return ends, np.searchsorted(at, ends - 1, side="right") - 1
 
@@ -131,17 +128,19 @@ def _strip(text: str, d1: list[int], d2: list[int], owners: list[int], least_run
 def dedup(docs: DataFrame, least_run: int = RUN) -> DataFrame:
     """doc_id, text (what stays; null stays null), n_bytes, n_chunks, n_repeats, removed_bytes, owners (ids that keep what is removed here)."""
     scratch = Scratch(docs.sparkSession)
-    seen = earlier_owners(chunks(docs), scratch, ["d1", "d2"]).withColumnRenamed("doc_id", "__id")
+    seen = scratch.keep(earlier_owners(chunks(docs), scratch, ["d1", "d2"]).withColumnRenamed("doc_id", "own_id"), "seen")
+    scratch.drop("pieces", "owners")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    @F.arrow_udf("struct<text: string, n_bytes: bigint, n_chunks: bigint, n_repeats: bigint, removed_bytes: bigint, owners: array<bigint>>")
+    @F.arrow_udf(f"struct<text: string, n_bytes: bigint, n_chunks: bigint, n_repeats: bigint, removed_bytes: bigint, owners: array<{kind}>>")
     def stripped(texts: pa.Array, d1: pa.Array, d2: pa.Array, owners: pa.Array) -> pa.Array:
         rows = [_strip(t or "", a.as_py() or [], b.as_py() or [], o.as_py() or [], least_run) for t, a, b, o in zip(texts.to_pylist(), d1, d2, owners)]
         text, n, again, gone, found = zip(*rows) if rows else ((), (), (), (), ())
         size = pa.array([len(t.encode()) + g for t, g in zip(text, gone)], pa.int64())
         text = pa.array([None if old is None else t for old, t in zip(texts.to_pylist(), text)], pa.string())
-        return pa.StructArray.from_arrays([text, size, pa.array(n, pa.int64()), pa.array(again, pa.int64()), pa.array(gone, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["text", "n_bytes", "n_chunks", "n_repeats", "removed_bytes", "owners"])
+        return pa.StructArray.from_arrays([text, size, pa.array(n, pa.int64()), pa.array(again, pa.int64()), pa.array(gone, pa.int64()), pa.array(found, owners.type)], ["text", "n_bytes", "n_chunks", "n_repeats", "removed_bytes", "owners"])
 
-    joined = docs.select("doc_id", "text").join(seen, F.col("doc_id") == F.col("__id"), "left")
+    joined = docs.select("doc_id", "text").join(seen, F.col("doc_id") == F.col("own_id"), "left")
     return joined.select("doc_id", stripped("text", "d1", "d2", "owners").alias("got")).select("doc_id", "got.*")
 
 
