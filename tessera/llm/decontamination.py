@@ -1,119 +1,181 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame functions.
 
 Every run of `n` words of a benchmark item is a window.  A first pass counts how often
-the benchmark's terms occur in the documents; each window is then looked up by its
-rarest term.  A second pass keeps the postings (document, position) of those terms
-only, adjusts each by the term's offset to the start that the window would have, and
-intersects with the window's other terms at their offsets: all of them for a phrase,
-a share of them near it for a proximity match.
-
-Term and window tables follow the benchmark, not the documents; they are broadcast
-only if a count finds them small, and joined by shuffles otherwise.  Documents are
-never shuffled as texts.
-
-Null texts and items have no words.  Rows that repeat both id and text share a
-result.  An item with fewer than n words, but some, is one window.
+the benchmark's terms occur in the documents.  A second pass stores the posting lists
+(term, document, position) of the `LISTS` rarest terms of each window.  Beginning with
+the rarest, positions are adjusted by a term's offset to the start that the window would
+have, and only starts that all of the window's lists hold are kept.  A third pass tests
+these against the other words: all of them at their offsets for a phrase, a share of them
+near it for a proximity match.
+
+Term, window and start tables are broadcast only if their size is found to be small, and
+joined by shuffles otherwise.  The first two passes shuffle no text; the third shuffles
+texts only where the starts (20 bytes each) are too large for a broadcast.  In it the
+words at a start are compared with the window by 128 bits of hashes.
+
+Null texts and items have no words.  Rows that repeat both id and text share a result.
+An item with fewer than n words, but some, is one window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.native_text import ascii_lower, folded_words, if_small, words
+from tessera.llm.native_text import ascii_lower, folded_words, held, if_small, unused, words
 from tessera.llm.textkit import Scratch
 
 WINDOW = 13
-#: Most rows of a table that is broadcast (terms and windows of a benchmark).
+#: The rarest terms of a window whose posting lists are intersected.
+LISTS = 3
+#: Most rows of a table of terms or windows that is broadcast.
 BROADCAST_ROWS = 200_000
+#: Most bytes of the table of starts that is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def _hashes(window: Column) -> list[Column]:
+    return [F.xxhash64(window).alias("x"), F.xxhash64(F.lit(1), window).alias("y")]
 
 
 def windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """window (words joined by blanks), folded (its words in lower case), items (ids as strings): the distinct windows."""
+    """window (words joined by blanks), x, y (its hashes), folded (its words in lower case beyond ASCII too), items (ids as strings): the distinct windows."""
     own = items.select(F.col("item_id").cast("string").alias("item"), words(ascii_lower(F.col("text"))).alias("own")).where(F.size("own") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("own") - (n - 1), F.lit(1)))
     cut = own.select("item", F.explode(F.transform(starts, lambda s: F.slice("own", s, n))).alias("cut"))
-    return cut.select("item", F.array_join("cut", " ").alias("window")).groupBy("window").agg(F.collect_set("item").alias("items")).withColumn("folded", F.split(F.lower("window"), " "))
+    per = cut.select("item", F.array_join("cut", " ").alias("window")).groupBy("window").agg(F.collect_set("item").alias("items"))
+    return per.select("*", *_hashes(F.col("window")), F.split(F.lower("window"), " ").alias("folded"))
 
 
-def anchors(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """term, found_by: for each term that is the rarest of some window, array<struct<offset, folded, window, items>>."""
+def frequencies(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """term, n: how often each term of the windows occurs in the documents, if it does."""
     terms = wins.select(F.explode("folded").alias("term")).distinct()
     tokens = docs.select(F.explode(folded_words(F.col("text"))).alias("term"))
-    often = tokens.join(if_small(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n"))
-    at = wins.select("window", "folded", "items", F.posexplode("folded").alias("offset", "term")).join(often, "term", "left")
-    best = at.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term", "folded", "items")).alias("best")).where("best.n > 0")
-    return best.select("best.term", F.struct("best.offset", "best.folded", "window", "best.items").alias("by")).groupBy("term").agg(F.collect_list("by").alias("found_by"))
+    return tokens.join(if_small(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n"))
+
+
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, text_hash, at, term: every place of the terms."""
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(folded_words(F.col("text"))).alias("at", "term"))
+    return tokens.join(if_small(terms, BROADCAST_ROWS), "term")
+
+
+def _same_document(left: str = "", right: str = "__") -> Column:
+    return F.col(f"{left}doc_id").eqNullSafe(F.col(f"{right}doc_id")) & (F.col(f"{left}text_hash") == F.col(f"{right}text_hash"))
+
 
+def phrase_starts(docs: DataFrame, wins: DataFrame, scratch: Scratch, lists: int = LISTS) -> DataFrame:
+    """doc_id, text_hash, window, start: places where the lists of the window's rarest terms agree."""
+    often = scratch.keep(frequencies(docs, wins), "often")
+    at = wins.select("window", F.posexplode("folded").alias("offset", "term")).join(often, "term", "left")
+    ranked = at.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("rank"))
+    ranked = scratch.keep(ranked.where("rank[0].n > 0").select("window", F.slice("rank", 1, lists).alias("rank")), "ranked")
+    listed = scratch.keep(postings(docs, ranked.select(F.explode("rank.term").alias("term")).distinct()), "postings")
+    rarest = ranked.select("window", F.col("rank")[0]["term"].alias("term"), F.col("rank")[0]["offset"].alias("offset"), F.slice("rank", 2, lists).alias("rest"))
+    starts = listed.join(if_small(rarest, BROADCAST_ROWS), "term").where("at >= offset").select("doc_id", "text_hash", "window", (F.col("at") - F.col("offset")).alias("start"), "rest").distinct()
+    alone = starts.where(F.size("rest") == 0).select("doc_id", "text_hash", "window", "start")
+    asked = starts.select("doc_id", "text_hash", "window", "start", F.size("rest").alias("need"), F.inline("rest")).withColumn("at", F.col("start") + F.col("offset"))
+    there = listed.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"), F.col("at").alias("__at"), F.col("term").alias("__term"))
+    agreed = asked.join(there, _same_document() & (F.col("at") == F.col("__at")) & (F.col("term") == F.col("__term")), "left_semi")
+    agreed = agreed.groupBy("doc_id", "text_hash", "window", "start").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n = need")
+    return agreed.select("doc_id", "text_hash", "window", "start").unionByName(alone)
 
-def near_places(docs: DataFrame, wins: DataFrame, share: float, slack: int) -> DataFrame:
-    """doc_id, text_hash, start, length, window, items: every place of which the words from `slack` before to `slack` after hold the share of a window's distinct words.
+
+def near_starts(docs: DataFrame, wins: DataFrame, scratch: Scratch, share: float, slack: int) -> DataFrame:
+    """doc_id, text_hash, window, start: places within reach of one of a window's rarest words.
 
     A place lacks at most floor((1 - share) * d) of d distinct words, so it holds one of any
-    floor((1 - share) * d) + 1 of them: the rarest are looked up, and each place that has one
-    in reach is tested.  Words that no document holds count among them.
+    floor((1 - share) * d) + 1 of them: the lists of the rarest are read, and each place that
+    has one in reach is asked.  Words that no document holds count among them.
     """
-    terms = wins.select(F.explode("folded").alias("term")).distinct()
-    tokens = docs.select(F.explode(folded_words(F.col("text"))).alias("term"))
-    often = tokens.join(if_small(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n"))
-    each = wins.select("window", "folded", "items", F.explode(F.array_distinct("folded")).alias("term")).join(often, "term", "left")
-    ranked = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("rank"), F.first("folded").alias("folded"), F.first("items").alias("items"))
+    often = scratch.keep(frequencies(docs, wins), "near_often")
+    each = wins.select("window", F.size("folded").alias("length"), F.explode(F.array_distinct("folded")).alias("term")).join(often, "term", "left")
+    ranked = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("rank"), F.first("length").alias("length"))
     spare = F.floor((1 - share) * F.size("rank") + 1e-9).cast("int")
-    chosen = ranked.select("window", "folded", "items", F.explode(F.slice("rank", F.lit(1), F.least(spare + 1, F.size("rank")))).alias("one")).where("one.n > 0")
-    found_by = chosen.select(F.col("one.term").alias("term"), "window", F.size("folded").alias("length"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), folded_words(F.col("text")).alias("own"))
-    postings = base.select("doc_id", "text_hash", "own", F.posexplode("own").alias("at", "term")).join(if_small(found_by, BROADCAST_ROWS), "term")
-    reach = F.sequence(F.greatest(F.col("at") - F.col("length") - slack + 1, F.lit(0)), F.least(F.col("at") + slack, F.size("own") - 1))
-    starts = postings.select("doc_id", "text_hash", "own", "window", F.explode(reach).alias("start")).dropDuplicates(["doc_id", "text_hash", "window", "start"])
-    asked = starts.join(if_small(wins.select("window", "folded", "items"), BROADCAST_ROWS), "window")
-    low = F.greatest(F.col("start") - slack, F.lit(0))
-    around = F.slice("own", low + 1, F.col("start") + F.size("folded") + slack - low)
-    held = F.size(F.array_intersect(F.array_distinct("folded"), around)) / F.size(F.array_distinct("folded"))
-    return asked.where(held >= share - 1e-9).select("doc_id", "text_hash", "start", F.size("folded").alias("length"), "window", "items")
-
-
-def matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, proximity: float | None = None, slack: int = 4) -> DataFrame:
+    chosen = ranked.select("window", "length", F.explode(F.slice("rank", F.lit(1), F.least(spare + 1, F.size("rank")))).alias("one")).where("one.n > 0")
+    found_by = scratch.keep(chosen.select(F.col("one.term").alias("term"), "window", "length"), "found_by")
+    listed = postings(docs, found_by.select("term").distinct())
+    reach = F.sequence(F.greatest(F.col("at") - F.col("length") - slack + 1, F.lit(0)), F.col("at") + slack)
+    return listed.join(if_small(found_by, BROADCAST_ROWS), "term").select("doc_id", "text_hash", "window", F.explode(reach).alias("start")).distinct()
+
+
+def _asked(docs: DataFrame, starts: DataFrame, one: Column, size: int, scratch: Scratch, name: str) -> DataFrame:
+    """doc_id, text, asked: the documents with their starts (`one` of each, of about `size` bytes)."""
+    per = starts.groupBy(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")).agg(F.collect_list(one).alias("asked"))
+    per = scratch.keep(per, name)
+    held_bytes = per.select(F.sum(F.size("asked") * size + 40)).first()[0] or 0
+    same = docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(docs["text"]) == F.col("__text_hash"))
+    return docs.join(F.broadcast(per) if held_bytes <= BROADCAST_BYTES else per, same).select("doc_id", "text", "asked")
+
+
+def _same_words(own: Column, c: Column) -> Column:
+    x, y = _hashes(F.array_join(F.slice(own, c["start"] + 1, c["length"]), " "))
+    return (x == c["x"]) & (y == c["y"])
+
+
+def _close(own: Column, c: Column, share: float, slack: int) -> Column:
+    """Whether the share of the window's distinct words is there, from `slack` before to `slack` after."""
+    low, wanted = F.greatest(c["start"] - slack, F.lit(0)), F.array_distinct(c["folded"])
+    around = F.slice(own, low + 1, c["start"] + c["length"] + slack - low)
+    return (c["start"] < F.size(own)) & (F.size(F.array_intersect(wanted, around)) / F.size(wanted) >= share - 1e-9)
+
+
+def matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, proximity: float | None = None, slack: int = 4, lists: int = LISTS) -> DataFrame:
     """doc_id, text_hash, start, length, window, items, kind: occurrences of windows, in words from 0.
 
     kind is phrase; with proximity (a share of a window's distinct words, 0 to 1) also near,
-    for every place (see near_places) that overlaps no phrase of the window.
+    for every place (see near_starts) that overlaps no phrase of the window.
     """
     scratch = Scratch(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     wins = scratch.keep(windows(items, n), "windows")
-    found_by = scratch.keep(anchors(docs, wins), "anchors")
-    base = docs.select("doc_id", "text", folded_words(F.col("text")).alias("own"))
-    postings = base.select("doc_id", "text", "own", F.posexplode("own").alias("at", "term")).join(if_small(found_by, BROADCAST_ROWS), "term")
-    starts = postings.select("doc_id", "text", "own", "at", F.explode("found_by").alias("by")).withColumn("start", F.col("at") - F.col("by.offset"))
-    length = F.size("by.folded")
-    same = (F.col("start") >= 0) & (F.slice("own", F.greatest("start", F.lit(0)) + 1, length) == F.col("by.folded"))
-    exact = F.array_join(F.slice(words(ascii_lower(F.col("text"))), F.greatest("start", F.lit(0)) + 1, length), " ") == F.col("by.window")
-    found = starts.where(same).where(exact).select("doc_id", F.xxhash64("text").alias("text_hash"), "start", length.alias("length"), "by.window", "by.items", F.lit("phrase").alias("kind"))
+
+    known = wins.select("x", "y", F.size("folded").alias("length"), "window", "folded", "items")
+
+    def told(asked: DataFrame, own: Column, test, kind: str) -> DataFrame:
+        found = held(own, lambda words_: F.filter("asked", lambda c: test(words_, c)))
+        one = asked.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(found).alias("c")).select("doc_id", "text_hash", "c.start", "c.x", "c.y")
+        full = one.join(if_small(known.drop("folded"), BROADCAST_ROWS), ["x", "y"])
+        return full.select("doc_id", "text_hash", "start", "length", "window", "items", F.lit(kind).alias("kind"))
+
+    def full(starts: DataFrame, *more: str) -> DataFrame:
+        return starts.join(if_small(known.select("window", "x", "y", "length", *more), BROADCAST_ROWS), "window")
+
+    one = ["start", "length", "x", "y"]
+    asked = _asked(docs, full(phrase_starts(docs, wins, scratch, lists)), F.struct(*one), 24, scratch, "phrases")
+    found = told(asked, words(ascii_lower(F.col("text"))), _same_words, "phrase")
     if proximity is None:
         return found
-    near = near_places(docs, wins, proximity, slack).withColumn("kind", F.lit("near"))
-    at = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("window").alias("__window"), F.col("start").alias("__start"))
-    same_place = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & (F.col("window") == F.col("__window")) & (F.abs(F.col("start") - F.col("__start")) < F.col("length"))
+    asked = _asked(docs, full(near_starts(docs, wins, scratch, proximity, slack), "folded"), F.struct(*one, "folded"), 24 + 16 * n, scratch, "near")
+    near = told(asked, folded_words(F.col("text")), lambda own, c: _close(own, c, proximity, slack), "near")
+    at = found.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "text_hash", "window", "start")])
+    same_place = _same_document() & (F.col("window") == F.col("__window")) & (F.abs(F.col("start") - F.col("__start")) < F.col("length"))
     return found.unionByName(near.join(at, same_place, "left_anti"))
 
 
+def _hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """__doc_id, __text_hash, n_hit, items: the words of each document that windows cover, and whose windows they are."""
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
+    per = matches(docs, items, n).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    per = per.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"), covered.cast("long").alias("n_hit"), "items")
+    return Scratch(docs.sparkSession).keep(per, "hits")
+
+
 def report(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated for every row of docs."""
-    hits = matches(docs, items, n)
-    per = hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct("at"), lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-    per = Scratch(docs.sparkSession).keep(per.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), covered.cast("long").alias("n_hit"), "items"), "hits")
-    all_ = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = all_.join(per, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    """doc_id, n_words, n_hit, items (sorted ids), contaminated for every row of docs."""
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = own.join(_hits(docs, items, n), _same_document(), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """docs, any columns, without the rows of which windows of the benchmark cover a twentieth or more of the words."""
-    hits = matches(docs, items, n).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("at"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-    hits = Scratch(docs.sparkSession).keep(hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), covered.alias("__hit")), "hits")
-    bad = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")) & (20 * F.col("__hit") >= F.size(words(docs["text"])))
+    hits = _hits(docs, items, n)
+    names = {c: unused(docs, c) for c in ("__doc_id", "__text_hash", "n_hit")}
+    hits = hits.select(*[F.col(c).alias(name) for c, name in names.items()])
+    own, text_hash, n_hit = (F.col(name) for name in names.values())
+    bad = docs["doc_id"].eqNullSafe(own) & (F.xxhash64(docs["text"]) == text_hash) & (20 * n_hit >= F.size(words(docs["text"])))
     return docs.join(hits, bad, "left_anti")
 
 
