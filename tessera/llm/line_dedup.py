@@ -1,17 +1,20 @@
-"""Line deduplication by exact windows of lines, with winnowed fingerprints as a prefilter.
+"""Line deduplication by winnowing over line hashes.
 
 A document is the sequence of its lines that are not blank.  From every window of
 `WINDOW` lines the position with the least hash is a fingerprint (the rightmost of
-equal ones), so two runs of at least that many equal lines share one.  Every
-distinct window is written with its fingerprint; windows whose fingerprint occurs once
-are dropped, and the others are grouped by the hash of the whole window.  No positions
-are joined and no match is extended.  Each line inside a window of lines that
-occurred before, in an earlier document or earlier in its own, is deleted.  A line
-of at least `LONG_LINE` characters is a window of its own.
-
-The order is by doc_id, then line.  Rows that share an id do not see each other's
-lines; rows with a null id are only deduplicated within themselves.  Null texts stay
-null, blank lines stay; the text of a document that repeats nothing is unchanged.
+equal ones), so two runs of at least that many equal lines share one.  Only these
+positions are written, each with the windows that chose it.  Positions whose fingerprint
+occurs once are dropped; the others are joined with the first position, by doc_id, that
+has the same fingerprint and can be extended over the same lines, `WINDOW` - 1 in all,
+before and after it.  Windows that a match extends over are deleted in later documents,
+as are those that came earlier in the same one; a longer run is deleted whole, since every
+window in it holds a fingerprint.  A line of at least `LONG_LINE` characters is a window
+of its own.
+
+A hot line is joined once for each way to extend it, never with all its positions.  The
+order is by doc_id, then line.  Rows that share an id do not see each other's lines; rows
+with a null id are only deduplicated within themselves.  Null texts stay null, blank
+lines stay; the text of a document that repeats nothing is unchanged.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.native_text import unused
 from tessera.llm.repeats import earlier_owners
 from tessera.llm.textkit import Scratch, hash_spans, mix, slices, strings
 
@@ -66,25 +70,40 @@ def _windows(h: np.ndarray, w: int) -> np.ndarray:
     return mix(out)
 
 
+def _found(h: np.ndarray, rows: np.ndarray, size: np.ndarray, w: int, long_line: int) -> tuple[np.ndarray, ...]:
+    """Of every window: its row, first line, width, chosen position, fingerprint, and the hash of the lines that a match extends over."""
+    chosen = _fingerprints(h, rows, w)
+    on, big = np.flatnonzero(chosen >= 0), np.flatnonzero(size >= long_line)
+    span = mix(_windows(h, w)[on] + (chosen[on] - on).astype(np.uint64))
+    width = np.concatenate((np.full(len(on), w), np.ones(len(big), np.int64)))
+    first, at = np.concatenate((on, big)), np.concatenate((chosen[on], big))
+    return rows[first], first, width, at, np.concatenate((h[chosen[on]], mix(h[big]))), np.concatenate((span, mix(h[big] + np.uint64(1))))
+
+
 def positions(docs: DataFrame, w: int, long_line: int) -> DataFrame:
-    """doc_id, fingerprint, span: every distinct window of a text with the fingerprint that it is found by."""
+    """doc_id, at (line), fingerprint, spans: the chosen positions of every text, spans of the windows that chose them and came not before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, at in slices(strings(batch.column(1))):
                 _, _, rows, h, size = _lines(data, at)
-                chosen = _fingerprints(h, rows, w)
-                on, big = np.flatnonzero(chosen >= 0), np.flatnonzero(size >= long_line)
-                row = np.concatenate((rows[on], rows[big]))
-                span = np.concatenate((_windows(h, w)[on], mix(h[big] + np.uint64(1))))
-                mark = np.concatenate((h[chosen[on]], mix(h[big])))
+                row, _, width, place, mark, span = _found(h, rows, size, w, long_line)
                 order = np.lexsort((span, row))
-                row, span, mark = row[order], span[order], mark[order]
-                new = np.concatenate(([True], (row[1:] != row[:-1]) | (span[1:] != span[:-1]))) if len(row) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new] + first)), pa.array(mark[new].view(np.int64)), pa.array(span[new].view(np.int64))], ["doc_id", "fingerprint", "span"])
+                keep = order[_changes(row[order], span[order])]
+                keep = keep[np.lexsort((width[keep], place[keep]))]
+                row, width, place, mark, span = row[keep], width[keep], place[keep], mark[keep], span[keep]
+                new = np.flatnonzero(_changes(place, width))
+                spans = pa.ListArray.from_arrays(pa.array(np.append(new, len(span)), pa.int32()), pa.array(span.view(np.int64)))
+                line = place[new] - np.searchsorted(rows, row[new])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new] + first)), pa.array(line.astype(np.int64)), pa.array(mark[new].view(np.int64)), spans], ["doc_id", "at", "fingerprint", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, fingerprint bigint, span bigint")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, at bigint, fingerprint bigint, spans array<bigint>")
+
+
+def _changes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where either differs from the one before; the first always."""
+    return np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
 
 
 def _keep(text: str, gone: np.ndarray, w: int, long_line: int) -> tuple[str, int, int]:
@@ -92,12 +111,12 @@ def _keep(text: str, gone: np.ndarray, w: int, long_line: int) -> tuple[str, int
     raw = np.frombuffer(text.encode(), np.uint8)
     starts, ends, rows, h, size = _lines(raw, np.array([0, len(raw)]))
     drop = np.zeros(len(h), bool)
-    for span, at, width in ((_windows(h, w)[: max(0, len(h) - w + 1)], np.arange(max(0, len(h) - w + 1)), w), (mix(h + np.uint64(1))[size >= long_line], np.flatnonzero(size >= long_line), 1)):
-        first = np.zeros(len(span), bool)
-        first[np.unique(span, return_index=True)[1]] = True
-        again = at[~first | np.isin(span, gone)]
-        for j in range(width):
-            drop[again + j] = True
+    _, begin, width, _, _, span = _found(h, rows, size, w, long_line)
+    first = np.zeros(len(span), bool)
+    first[np.unique(span, return_index=True)[1]] = True
+    again = ~first | np.isin(span, gone)
+    for j in range(w):
+        drop[begin[again & (width > j)] + j] = True
     if not drop.any():
         return text, len(h), 0
     out, last = [], 0
@@ -111,10 +130,11 @@ def _keep(text: str, gone: np.ndarray, w: int, long_line: int) -> tuple[str, int
     return kept.decode(), len(h), int(drop.sum())
 
 
-def _distinct_lines(docs: DataFrame, w: int, long_line: int, scratch: Scratch) -> DataFrame:
+def _joined(docs: DataFrame, w: int, long_line: int, scratch: Scratch) -> DataFrame:
+    """doc_id, span: the windows of positions whose fingerprint occurs more than once."""
     marks = scratch.keep(positions(docs, w, long_line), "marks")
     often = scratch.keep(marks.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "often")
-    return marks.join(often, "fingerprint").select("doc_id", "span")
+    return marks.join(often, "fingerprint").select("doc_id", F.explode("spans").alias("span"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
@@ -123,7 +143,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) ->
     Columns of docs named n_lines or n_deleted are replaced.
     """
     scratch = Scratch(docs.sparkSession)
-    seen = earlier_owners(_distinct_lines(docs, window, long_line, scratch), scratch, ["span"]).select(F.col("doc_id").alias("__id"), F.col("span").alias("__gone"))
+    seen = earlier_owners(_joined(docs, window, long_line, scratch), scratch, ["span"])
+    seen = scratch.keep(seen.select("doc_id", "span"), "seen")
+    scratch.drop("marks", "often", "pieces", "owners")
+    own_id, gone_name, got_name = (unused(docs, c) for c in ("__id", "__gone", "__got"))
+    seen = seen.select(F.col("doc_id").alias(own_id), F.col("span").alias(gone_name))
 
     @F.arrow_udf("struct<text: string, n_lines: bigint, n_deleted: bigint>")
     def kept(texts: pa.Array, gone: pa.Array) -> pa.Array:
@@ -136,8 +160,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) ->
         return pa.StructArray.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["text", "n_lines", "n_deleted"])
 
     mine = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    joined = docs.select(*mine).join(seen, F.col("doc_id") == F.col("__id"), "left").withColumn("__got", kept.asNondeterministic()("text", "__gone"))  # so that a filter above does not run it again
-    return joined.select(*[F.col("__got.text").alias("text") if c == "text" else c for c in mine], "__got.n_lines", "__got.n_deleted")
+    got = kept.asNondeterministic()(docs["text"], F.col(gone_name))  # so that a filter above does not run it again
+    joined = docs.join(seen, docs["doc_id"] == F.col(own_id), "left").select(*[docs[c] for c in mine], got.alias(got_name))
+    return joined.select(*[F.col(f"{got_name}.text").alias("text") if c == "text" else c for c in mine], f"{got_name}.n_lines", f"{got_name}.n_deleted")
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
