@@ -103,6 +103,56 @@ def test_substring_dedup(spark):
     assert all(passage[100:-100] not in got[i]["text"] for i in (1, 2, 3))
 
 
+def test_substring_dedup_against_loops_over_bytes(spark):
+    gear, least, most, run = substring_dedup._GEAR.tolist(), substring_dedup.LEAST, substring_dedup.MOST, substring_dedup.RUN
+
+    def chunked(raw):
+        hashes = []
+        for i in range(len(raw)):
+            h = 0
+            for b in raw[max(0, i - 31) : i + 1]:
+                h = ((h << 1) + gear[b]) & 0xFFFFFFFF
+            hashes.append(h)
+        whole = lambda e: e >= len(raw) or raw[e] & 0xC0 != 0x80
+        out, last = [], 0
+        while last < len(raw):
+            end = next((e for e in range(max(last + least, 32), min(last + most, len(raw) - 1) + 1) if hashes[e - 1] >> 27 == 0 and whole(e)), None)
+            if end is None:
+                end = len(raw) if len(raw) - last <= most else min((e for e in range(last + most // 2, last + most + 1) if whole(e)), key=lambda e: (hashes[e - 1], e))
+            out.append((last, end))
+            last = end
+        return out
+
+    shared = [prose(60), "éa 漢 " * 60, "of " * 90]
+    texts = [prose(RNG.randint(0, 60)) + " " + RNG.choice(shared) + " " + prose(RNG.randint(0, 60)) for _ in range(25)] + ["", "x", shared[0], shared[0]]
+    owner, want = {}, {}
+    for d, t in enumerate(texts):
+        raw = t.encode()
+        parts = chunked(raw)
+        repeat, own = [], set()
+        for a, b in parts:
+            repeat.append(raw[a:b] in owner or raw[a:b] in own)
+            own.add(raw[a:b])
+        kept, i = b"", 0
+        while i < len(parts):
+            j = i
+            while j < len(parts) and repeat[j]:
+                j += 1
+            if j > i:
+                a, b = parts[i][0], parts[j - 1][1]
+                kept += b"" if b - a >= run or b - a == len(raw) else raw[a:b]
+                i = j
+            else:
+                kept += raw[parts[i][0] : parts[i][1]]
+                i += 1
+        for c in own:
+            owner.setdefault(c, d)
+        want[f"d{d:03}"] = (kept.decode(), len(parts), sum(repeat), len(raw) - len(kept))
+    df = spark.createDataFrame([(f"d{d:03}", t) for d, t in enumerate(texts)], "doc_id string, text string")
+    got = {r["doc_id"]: (r["text"], r["n_chunks"], r["n_repeats"], r["removed_bytes"]) for r in substring_dedup.dedup(df).collect()}
+    assert got == want and sum(w[3] for w in want.values()) > 3000
+
+
 def test_gear_hash_matches_its_definition():
     data = np.frombuffer(prose(300).encode(), np.uint8)
     h, out = 0, substring_dedup.gear(data)
@@ -117,6 +167,34 @@ def test_line_dedup_keeps_first_and_short_runs(spark):
     assert got == {1: rows[0][1], 2: "x\ny", 3: "d d\nz", 4: "p\nq"}
 
 
+@pytest.mark.parametrize("window", [2, 3, 5])
+def test_lines_against_every_window(spark, window):
+    pool = [prose(3) for _ in range(25)] + ["", "  "]
+    docs = {d: [RNG.choice(pool) for _ in range(RNG.randint(0, 40))] for d in range(40)}
+    docs |= {d: docs[d - 40][5:30] + [prose(2)] + docs[3] for d in range(40, 50)}
+    df = spark.createDataFrame([(d, "\n".join(t)) for d, t in docs.items()], "doc_id bigint, text string")
+    seen, want = set(), {}
+    for d, t in sorted(docs.items()):
+        ink = [i for i, line in enumerate(t) if line.strip()]
+        gone = set()
+        for k in range(len(ink) - window + 1):
+            run = tuple(t[i] for i in ink[k : k + window])
+            gone |= set(ink[k : k + window]) if run in seen else set()
+            seen.add(run)
+        want[d] = ("\n".join(line for i, line in enumerate(t) if i not in gone), len(ink), len(gone))
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_deleted"]) for r in line_dedup.dedup(df, window).collect()}
+    assert {d: g[1:] for d, g in got.items()} == {d: w[1:] for d, w in want.items()}
+    assert {d: g[0].split() for d, g in got.items()} == {d: w[0].split() for d, w in want.items()}
+
+
+def test_winnowing_thins_positions(spark):
+    text = "\n".join(f"line {i} {RNG.random()}" for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    for w in (2, 5, 10):  # a share of about 2 / (w + 1) is chosen, at most w lines apart
+        at = sorted(r["at"] for r in line_dedup.positions(df, w, 1000).collect())
+        assert 0.8 * 2 / (w + 1) < len(at) / 3000 < 1.2 * 2 / (w + 1) and max(np.diff(at)) <= w
+
+
 def test_bpe_equals_the_library(spark, texts):
     tiktoken, tokens = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     with open(tokens.path("byte_bpe_50k.tiktoken"), "rb") as f:
@@ -141,6 +219,44 @@ def test_secret_spans(spark):
         assert got[i]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
 
 
+def test_all_spans_of_secrets(spark):
+    """Entropy spans, the allow list and the overlap rule against a recount of every window."""
+    A = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rand = lambda n, of=A: "".join(RNG.choice(of) for _ in range(n))
+    make = [lambda: rand(RNG.randint(15, 60)), lambda: rand(RNG.randint(18, 40), "0123456789ABCDEF"), lambda: rand(32, "0123456789abcdef"), lambda: "a1" * 15, lambda: "password=" + rand(30), lambda: "key_password: " + rand(8) + "." + rand(25), lambda: "AKIA" + rand(18, "ABCDEF0123456789"), lambda: "example" + rand(30), lambda: "123e4567-e89b-12d3-a456-426614174000", lambda: "some-path/of-names/and-more-words1", lambda: prose(3), lambda: "é漢 ", lambda: rand(19) + "=" + rand(30)]
+    texts = [" ".join(RNG.choice(make)() for _ in range(RNG.randint(0, 10))) for _ in range(120)] + ["", None]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+
+    def entropy(w):
+        return -sum(c / len(w) * math.log2(c / len(w)) for c in Counter(w).values())
+
+    extra = 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 6]
+        base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        every = list(base)
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
+            s, (a, b) = m[0], m.span()
+            if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or any(re.search(p, s) for p in secrets.ALLOWED) or any(x < b and a < y for x, _, y, _ in base):
+                continue
+            peak = max(entropy(s[k : k + 20]) for k in range(len(s) - 19))
+            if peak >= (3.0 if re.fullmatch("[0-9a-fA-F]+", s) else 3.6) - 1e-12:
+                every.append((a, 3, b, "entropy"))
+                extra += 1
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(every))
+    assert extra > 50
+
+
+def test_secrets_in_very_long_texts(spark):
+    """A run and a list of spans that would take hours if work grew with their square."""
+    run = "".join(RNG.choice("ghijklmnopqrstuvwxyzABCDEFGHIJ") for _ in range(200_000)) + "7"
+    many = " ".join(f"{RNG.getrandbits(128):032x}" for _ in range(30_000))
+    got = {r["doc_id"]: r for r in secrets.secret_digests(spark.createDataFrame([(1, run), (2, many)], "doc_id int, text string")).collect()}
+    assert got[1]["spans"] == f"entropy:0:{len(run)}"
+    assert got[2]["n_hex"] == 30_000 and got[2]["spans"].count("hex") == 30_000
+
+
 def test_entropy_windows(spark):
     strings = ["".join(RNG.choice("0123456789abcdefXYZ+/") for _ in range(n)) for n in (20, 21, 40, 90)]
     got = [r[0] for r in spark.createDataFrame([(i, s) for i, s in enumerate(strings)], "i int, s string").orderBy("i").select(secrets.peak_entropy(F.col("s"))).collect()]
@@ -156,6 +272,34 @@ def test_licenses(spark):
     assert all(n in got[i] for i, n in enumerate(names)) and all(got[i] == [""] for i in range(len(names), len(texts)))
 
 
+def test_license_windows_against_all_windows(spark):
+    """Every window of every class compared with every template by exact containment."""
+    names = [n for n in license_scan.TEMPLATES if n in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "Apache-2.0/header", "MPL-2.0/header", "MIT/notice-0", "all-rights-reserved", "Apache-2.0/id", "GPL-3.0/program/header") or n.endswith(("/spdx",)) and len(n) < 9]
+    templates = {n: license_scan.TEMPLATES[n] for n in names}
+    texts = []
+    for _ in range(60):
+        w = prose(RNG.randint(0, 60)).split()
+        for n in RNG.sample(names, RNG.randint(0, 3)):
+            part = templates[n].split()
+            for _ in range(RNG.randint(0, 1 + len(part) // 12)):  # altered words: near and beyond the limit
+                part[RNG.randrange(len(part))] = RNG.choice(VOCAB)
+            at = RNG.randint(0, len(w))
+            w[at:at] = part
+        texts.append(" ".join(w))
+    runs = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    own = {n: words(t) for n, t in templates.items()}
+    want = set()
+    for d, t in enumerate(texts):
+        w = words(t)
+        for n, of in own.items():
+            size, k = license_scan.class_of(len(of))
+            need = runs(of, k)
+            want |= {(d, n, at) for at in range(0, len(w), size) if len(runs(w[at : at + 2 * size], k) & need) >= 0.8 * len(need) - 1e-9}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r["doc_id"], r["template"], r["at"]) for r in license_scan.matches(df, templates).collect()}
+    assert got == want and len(want) > 40
+
+
 def test_license_notices_headers_and_whole_texts(spark):
     agpl = license_scan.TEMPLATES["AGPL-3.0/program/header"]
     cases = {
@@ -172,7 +316,11 @@ def test_license_notices_headers_and_whole_texts(spark):
     assert got[4] == ["GPL-2.0-only/spdx"] and got[len(cases)] == ["BSD-3-Clause"] and got[len(cases) + 1] == ["BSD-2-Clause"]
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("least", [None, 0])
+def test_contamination(spark, monkeypatch, least):
+    if least is not None:  # every join a shuffle
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", least)
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", least - 1)
     items = [(i, prose(RNG.randint(3, 30))) for i in range(12)]
     texts = [prose(40) + " " + RNG.choice(items)[1].upper() + ", " + prose(RNG.randint(0, 300)) for _ in range(30)] + [" ".join(items[0][1].split()[:9])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
@@ -192,6 +340,15 @@ def test_contamination(spark):
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
+def test_posting_lists_hold_the_rarest_terms_only(spark):
+    docs = spark.createDataFrame([(1, "a a a b c d"), (2, "a b a b x"), (3, "a a a a")], "doc_id int, text string")
+    wins = decontamination.windows(spark.createDataFrame([(1, "a b c")], "item_id int, text string"))
+    scratch = textkit.Scratch(spark)
+    got = {(r["doc_id"], r["start"]) for r in decontamination.phrase_starts(docs, wins, scratch, lists=2).collect()}
+    listed = {tuple(r) for r in spark.read.parquet(scratch.paths["postings"]).select("term", "doc_id", "at").collect()}
+    assert got == {(1, 2)} and listed == {("c", 1, 4), ("b", 1, 3), ("b", 2, 1), ("b", 2, 3)}
+
+
 def test_proximity(spark):
     item = prose(13)
     near = item.split()
