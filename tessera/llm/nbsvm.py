@@ -5,7 +5,7 @@ to four word shapes) are scaled by the log ratio of their class counts; a linear
 model with hinge loss is then fitted by dual coordinate descent.
 
 The fit uses at most `max_rows` labelled rows, those with the least hash of
-their doc_id; scoring covers every text in full, row by row, without a shuffle.
+their doc_id, and of these as many as have `MAX_BYTES` of indicators together; scoring covers every text in full, row by row, without a shuffle.
 Null and empty texts have no indicators and get the score of the bias.  Without
 rows of both labels the model is the constant 0.5.  Repeated rows score alike.
 """
@@ -16,13 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import ALNUM, LOWER, SLICE_BYTES, SOLID, hash_spans, mix, slices, strings, words
+from tessera.llm.textkit import ALNUM, LOWER, SLICE_BYTES, SOLID, Scratch, hash_spans, mix, slices, strings, words
 
 BITS = 18
 MAX_ROWS = 6000
+MAX_BYTES = 256 << 20
 
 
 def _fold(h: np.ndarray, bits: int, base: int) -> np.ndarray:
@@ -155,14 +156,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, smooth: f
     return Model((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """docs (doc_id, text), labels (doc_id, label); null ids, texts and labels are not learned from.
 
-    Only doc ids of a bounded sample are broadcast (max_rows * 12 bytes), and only their indicators reach the driver.
+    Only doc ids of a bounded sample are broadcast (max_rows * 12 bytes), and only max_bytes of their indicators reach the driver.
     """
     sample = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", indicators(F.col("text")).alias("bins"), "label").toArrow().sort_by([("doc_id", "ascending"), ("bins", "ascending")])
+    scratch = Scratch(docs.sparkSession)
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", indicators(F.col("text")).alias("bins"), "label")
+    found = scratch.keep(found, "indicators")
+    sizes = found.select("doc_id", F.octet_length("bins").cast("long").alias("size")).groupBy("doc_id").agg(F.sum("size").alias("size"))  # at most max_rows rows
+    if (sizes.select(F.sum("size")).first()[0] or 0) > max_bytes:
+        running = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+        found = found.join(F.broadcast(sizes.withColumn("upto", running).where(F.col("upto") <= max_bytes).select("doc_id")), "doc_id")
+    got = found.toArrow().sort_by([("doc_id", "ascending"), ("bins", "ascending")])
+    scratch.drop()
     rows = [np.frombuffer(b, "<i4").astype(np.int64) for b in got["bins"].to_pylist()]
     return fit(rows, got["label"].to_numpy())
 
