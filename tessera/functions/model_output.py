@@ -123,3 +123,59 @@ def key_hash(secret: Column) -> Column:
 
 def key_fingerprint(secret: Column, n: int = 12) -> Column:
     return F.substring(key_hash(secret), 1, n)
+
+
+#: The types that an entity may have, and what stands for an answer that is missing or in the wrong language.
+ENTITY_TYPES = ("time", "location", "person", "organization", "subject", "product", "metric", "action", "work", "group", "tags")
+NO_CATEGORY = ("一般事项", "general")
+NO_DESCRIPTION = ("在当前事项中被提及", "Mentioned in the current event")
+
+
+def language_drift(text: Column, chinese: Column) -> Column:
+    """Whether an answer is in another language than its input: words but no Han characters, or many of these and hardly a word."""
+    han, latin = F.regexp_count(text, F.lit(r"[\x{4e00}-\x{9fa5}]")), F.regexp_count(text, F.lit("[A-Za-z]{2,}"))
+    return F.when(chinese, (han == 0) & (latin >= 4)).otherwise((han >= 8) & (latin <= 2))
+
+
+def answer_text(value: Column, fallback: Column, chinese: Column) -> Column:
+    """The trimmed answer, or the fallback for an empty one and for one in another language."""
+    own = F.trim(F.coalesce(value, F.lit("")))
+    return F.when((own == "") | language_drift(own, chinese), fallback).otherwise(own)
+
+
+def answer_category(value: Column, chinese: Column) -> Column:
+    """The answer's category; the general one if it is missing, in another language, or without Han characters for Chinese input."""
+    general = F.when(chinese, NO_CATEGORY[0]).otherwise(NO_CATEGORY[1])
+    got = answer_text(value, general, chinese)
+    return F.when(chinese & ~got.rlike(r"[\x{4e00}-\x{9fa5}]"), general).otherwise(got)
+
+
+def answer_entities(entities: Column, chinese: Column) -> Column:
+    """array<struct<type, name, description>>: names of two or more characters, known types (else subject), one for each type and name."""
+
+    def one(e: Column) -> Column:
+        kind = F.when(e["type"].isin(*ENTITY_TYPES), e["type"]).otherwise("subject")
+        about = answer_text(e["description"], F.when(chinese, NO_DESCRIPTION[0]).otherwise(NO_DESCRIPTION[1]), chinese)
+        return F.struct(kind.alias("type"), F.trim(F.coalesce(e["name"], F.lit(""))).alias("name"), about.alias("description"))
+
+    key = lambda e: F.concat_ws(":", e["type"], F.lower(e["name"]))
+    kept = F.filter(F.transform(F.coalesce(entities, F.array().cast("array<struct<type:string,name:string,description:string>>")), one), lambda e: F.length(e["name"]) > 1)
+    return F.get(F.transform(F.array(kept), lambda all_: F.filter(all_, lambda e, i: F.array_position(F.transform(all_, key), key(e)) == i + 1)), F.lit(0))
+
+
+def valid_items(answer: Column) -> Column:
+    """array<string>: the items of a JSON array and of their `children`, each before its own, as JSON, without those marked is_valid false."""
+
+    def walk(items) -> list:
+        out = []
+        for item in items if isinstance(items, list) else []:
+            if isinstance(item, dict):
+                out += [item] if item.get("is_valid") is not False else []
+                out += walk(item.get("children"))
+        return out
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [json.dumps(x, ensure_ascii=False) for x in walk(json.loads(_loads(t) or "null") if t else None)])
+
+    return run(answer)

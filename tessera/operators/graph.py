@@ -45,15 +45,39 @@ def expand_once(seeds: DataFrame, links: DataFrame) -> DataFrame:
 
 def expand_until(seeds: DataFrame, links: DataFrame, target: int, retries: int = 3) -> DataFrame:
     """Whole hops until at least `target` events are found, or the retries or the graph end."""
-    out = expand_fixed(seeds, links, 1)
-    for hops in range(2, 2 + retries):
-        if out.count() >= target:
+    first = _cut(expand_fixed(seeds, links, 1))
+    if first.count() >= target or not retries:
+        return first
+    known = seeds.select("entity_id").distinct()
+    more, _ = expand_events(first, known, links, retries, first, target - first.count())
+    return first.unionByName(more.withColumn("hop", F.col("hop") + 1))
+
+
+def expand_events(seeds: DataFrame, known: DataFrame, links: DataFrame, hops: int, exclude: DataFrame | None = None, target: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(event_id and hop of events reached from seed events, entity_id of all entities seen).
+
+    A hop takes the entities of the last hop's events that are not known, then their events
+    that are neither seeds nor excluded nor found before.  It ends after `hops` of them, when
+    nothing new comes, or with the hop that brings the found events to `target`.
+    """
+    current = seeds.select("event_id").distinct()
+    seen_events = current if exclude is None else current.unionByName(exclude.select("event_id"))
+    entities, found = known.select("entity_id").distinct(), links.select("event_id", F.lit(0).alias("hop")).where("false")
+    if target == 0:
+        return found, entities
+    for hop in range(1, hops + 1):
+        fresh = _cut(entities_of(current, links, entities))
+        if fresh.isEmpty():
+            break
+        entities = entities.unionByName(fresh)
+        current = _cut(events_of(fresh, links, seen_events))
+        if current.isEmpty():
             break
-        more = expand_fixed(seeds, links, hops)
-        if more.count() == out.count():
+        seen_events = seen_events.unionByName(current)
+        found = _cut(found.unionByName(current.withColumn("hop", F.lit(hop))))
+        if target is not None and found.count() >= target:
             break
-        out = more
-    return out
+    return found, entities
 
 
 def _cut(df: DataFrame) -> DataFrame:

@@ -44,12 +44,10 @@ def entities_by_text(entities: DataFrame, name: str, query: str, k: int) -> Data
 
 
 def entities_by_names(entities: DataFrame, name: str, names: list[str]) -> DataFrame:
-    """Entities whose name holds one of the names; score 1."""
+    """Entities whose name holds one of the names (of a model's answer: a few); score 1."""
     own = F.lower(F.col(name))
-    hit = F.lit(False)
-    for n in names:
-        hit = hit | own.contains(n.lower())
-    return entities.where(hit).withColumn("score", F.lit(1.0))
+    wanted = F.array(*[F.lit(n.lower()) for n in names]).cast("array<string>")
+    return entities.where(F.exists(wanted, lambda n: own.contains(n))).withColumn("score", F.lit(1.0))
 
 
 def query_tokens(spark, query: str) -> list[str]:
@@ -77,7 +75,8 @@ def hybrid(chunks: DataFrame, query_vector: list[float], tokens: list[str], k: i
     """Vector and keyword hits (4k each) merged, at most per_document of a document, k best."""
     near = by_vector(chunks, "embedding", query_vector, 4 * k, None, key)
     words = by_keywords(chunks, tokens, 4 * k, "heading", "content", "rank", key)
-    merged = merge_hybrid(near, words, key).join(chunks.select(key, document), key)
+    own = near.select(key, document).unionByName(words.select(key, document)).distinct()  # the hits bring their document: chunks are read once a recall
+    merged = merge_hybrid(near, words, key).join(own, key)
     return diversify(merged, document, "score", per_document, k, key)
 
 
@@ -120,7 +119,7 @@ def sections_for(events: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
 
 def supplement(sections: DataFrame, more: DataFrame, k: int) -> DataFrame:
-    """sections first, then chunks of more that are not among them, until there are k."""
+    """chunk_id, place, score, late: sections first (late 0), then chunks of more that are not among them, until there are k."""
     cols = ["chunk_id", "place", "score"]
     rest = more.select(*cols).join(sections.select("chunk_id"), "chunk_id", "left_anti").withColumn("late", F.lit(1))
-    return sections.select(*cols).withColumn("late", F.lit(0)).unionByName(rest).orderBy("late", "place").limit(k).drop("late")
+    return sections.select(*cols).withColumn("late", F.lit(0)).unionByName(rest).orderBy("late", "place").limit(k)

@@ -11,7 +11,11 @@ from tessera.plans.registry import query, table
 @query("""SELECT source, count(*)::bigint AS documents, count_if(coalesce(toxic, 0) <> 1)::bigint AS live FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
 def live_filter_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.coalesce("toxic", F.lit(0)) != 1).alias("live"))
+    events = d.select(F.col("doc_id").alias("event_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), F.lit(None).cast("string").alias("deleted_at"))
+    documents = d.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, F.lit("x")).alias("archived_at"))
+    sources = d.select(F.col("source").alias("id")).distinct().withColumn("archived_at", F.lit(None).cast("string"))
+    alive = rows.live(events, documents, sources).groupBy(F.col("source_id").alias("source")).agg(F.count("*").alias("live"))
+    return d.groupBy("source").agg(F.count("*").alias("documents")).join(alive, "source", "left").fillna(0, ["live"])
 
 
 @query("SELECT c_nationkey::bigint AS id FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
@@ -117,7 +121,9 @@ def failure_streaks(spark, sf_dir):
     return s.where("n >= 3").select("user_id", "n")
 
 
-@query("""SELECT c_custkey, r.event_id AS last_event, coalesce(r.value, 0) AS value FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1) r ON r.user_id = c_custkey""")
+@query("""SELECT c_custkey, r.event_type AS run_status, coalesce(r.event_id % 5, 0)::bigint AS stats_added, coalesce(r.event_id % 3, 0)::bigint AS stats_failed FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1) r ON r.user_id = c_custkey""")
 def folder_summary(spark, sf_dir):
-    last = rows.latest_per(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select(F.col("user_id").alias("c_custkey"), F.col("event_id").alias("last_event"), "value")
-    return table(spark, sf_dir, "customer").select("c_custkey").join(last, "c_custkey", "left").fillna(0, ["value"])
+    e = F.col("event_id")
+    runs = table(spark, sf_dir, "events").select(e.alias("id"), F.col("user_id").alias("folder_id"), F.col("event_type").alias("status"), F.col("ts").alias("started_at"), (e % 5).alias("stats_added"), F.lit(0).alias("stats_updated"), F.lit(0).alias("stats_deleted"), (e % 3).alias("stats_failed"))
+    out = stats.folder_summary(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), runs.withColumnRenamed("id", "run").withColumn("id", F.col("run")))
+    return out.select(F.col("id").alias("c_custkey"), "run_status", "stats_added", "stats_failed")

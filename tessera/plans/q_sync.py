@@ -26,13 +26,13 @@ def file_diff(spark, sf_dir):
     return manifest.diff(old, new)
 
 
-@query("SELECT coalesce(o.event_id // 2, n.event_id // 2) AS k, coalesce(n.event_type, o.event_type) AS event_type, coalesce(o.value, n.value) AS value FROM (SELECT * FROM events WHERE event_id % 2 = 0) o FULL JOIN (SELECT * FROM events WHERE event_id % 2 = 1) n ON o.event_id // 2 = n.event_id // 2")
+@query("SELECT coalesce(o.event_id // 2, n.event_id // 2) AS k, CASE WHEN n.event_id IS NULL THEN o.event_type ELSE nullif(n.event_type, 'view') END AS event_type, coalesce(nullif(n.event_type, 'click'), o.user_id::varchar) AS note FROM (SELECT * FROM events WHERE event_id % 2 = 0) o FULL JOIN (SELECT * FROM events WHERE event_id % 2 = 1) n ON o.event_id // 2 = n.event_id // 2")
 def manifest_upsert(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.expr("event_id div 2")).alias("k"), "event_type", "value", "event_id")
-    old, new = e.where("event_id % 2 = 0").drop("event_id"), e.where("event_id % 2 = 1").drop("event_id")
-    both = manifest.upsert(old, new, ["k"], overwrite=["event_type"])
-    first = old.select("k", F.col("value").alias("was"))
-    return both.join(first, "k", "left").select("k", "event_type", F.coalesce("was", "value").alias("value"))
+    """event_type is overwritten, with null too; note is only where the new row has one."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.expr("event_id div 2"))
+    old = e.where("event_id % 2 = 0").select("k", "event_type", F.col("user_id").cast("string").alias("note"))
+    new = e.where("event_id % 2 = 1").select("k", F.nullif("event_type", F.lit("view")).alias("event_type"), F.nullif("event_type", F.lit("click")).alias("note"))
+    return manifest.upsert(old, new, ["k"], overwrite=["event_type"])
 
 
 @query("SELECT event_type AS last_event, count(*)::bigint AS n FROM (SELECT CASE WHEN event_type IN ('view', 'click') THEN 'syncing' ELSE event_type END AS event_type FROM events) GROUP BY 1")
@@ -53,13 +53,8 @@ def tombstone_purge(spark, sf_dir):
     return manifest.purge(e, F.expr("timestamp_ntz'2024-06-01 00:00:00'")).select("event_id")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'missing' WHEN event_type IN ('error', 'purchase') THEN 'enqueued' ELSE 'skipped' END AS outcome FROM events WHERE event_id < 500""")
-def retry_plan(spark, sf_dir):
-    return _retries(table(spark, sf_dir, "events").where("event_id < 500"))
-
-
 @query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'missing' WHEN event_type IN ('error', 'purchase') THEN 'enqueued' ELSE 'skipped' END AS outcome FROM events""")
-def retry_plan_all(spark, sf_dir):
+def retry_plan(spark, sf_dir):
     return _retries(table(spark, sf_dir, "events"))
 
 

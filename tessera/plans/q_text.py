@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import chunking
 from tessera.plans.registry import query, table
+from tessera.sources import files
 
 
 def _docs(spark, sf_dir):
@@ -40,22 +41,15 @@ def redact_paths(spark, sf_dir):
 
 
 @query(r"""SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(regexp_replace(t, '[?.!,;:]+$', ''), '\s+'), lambda w: w <> '')[1:8], ' ') AS title FROM (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(
-trim(regexp_replace(regexp_replace(text, '[#>*_\-\[\](){}]', ' ', 'g'), '\s+', ' ', 'g')), '(?i)^(please\s+)?(could you|can you|would you|help me|tell me)\s+', ''), '(?i)^(please\s+)?(explain|summarize|analyze)\s+', '')) AS t FROM conversations WHERE NOT contains(text, '`')) WHERE t <> ''""")
+trim(regexp_replace(regexp_replace(text, '[#>*_\-\[\](){}]', ' ', 'g'), '\s+', ' ', 'g')), '(?i)^(please\s+)?(could you|can you|would you|help me|tell me)\s+', ''), '(?i)^(please\s+)?(explain|summarize|analyze)\s+', '')) AS t FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '```[\s\S]*?```', ' ', 'g'), '`([^`]+)`', '\1', 'g') AS text FROM conversations)) WHERE t <> ''""")
 def title_summarize(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("not contains(text, '`')")
+    c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", T.conversation_title(F.col("text")).alias("title")).where("title <> '新对话'")
 
 
-@query("SELECT doc_id, count(*)::bigint AS bigrams, count(DISTINCT t[i:i + 1])::bigint AS distinct_bigrams FROM (SELECT doc_id, t, unnest(range(1, length(t))) AS i FROM (SELECT doc_id, text[1:500] AS t FROM documents)) GROUP BY doc_id")
-def bigrams(spark, sf_dir):
-    t = F.substring("text", 1, 500)
-    pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
-    return _docs(spark, sf_dir).where(F.length(t) >= 2).select("doc_id", F.size(pairs).cast("long").alias("bigrams"), F.size(F.array_distinct(pairs)).cast("long").alias("distinct_bigrams"))
-
-
 @query()
-def bigrams_whole(spark, sf_dir):
-    """bigrams over whole texts; held against brute force, as its SQL would cut a long text once a bigram."""
+def bigrams(spark, sf_dir):
+    """Over whole texts; held against brute force, as its SQL would cut a long text once a bigram."""
     return _docs(spark, sf_dir).where(F.length("text") >= 2).select("doc_id", *T.bigram_counts(F.col("text")))
 
 
@@ -65,9 +59,9 @@ def error_phase(spark, sf_dir):
     return e.select("event_id", T.error_phase(F.concat("event_type", F.when(F.col("event_type") == "error", " LLM failed").otherwise(""))).alias("phase"))
 
 
-@query("SELECT doc_id, greatest(1, ceil(length(text) / 1.5))::int AS tokens, false AS garbled FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, greatest(1, ceil(length(text) / 1.5))::int AS tokens, false AS garbled FROM documents")
 def token_estimate(spark, sf_dir):
-    return _docs(spark, sf_dir).where("length(text) > 0").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), T.is_garbled(F.col("text")).alias("garbled"))
+    return _docs(spark, sf_dir).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), T.is_garbled(F.col("text")).alias("garbled"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
@@ -88,10 +82,10 @@ def token_windows(spark, sf_dir):
     return chunking.token_windows(_docs(spark, sf_dir), 512, 100).select("doc_id", "rank", F.md5(F.col("content").cast("binary")).alias("content"))
 
 
-@query(r"""SELECT doc_id, len(x)::int AS pieces, md5(array_to_string(x, '|')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '[^。！？!?；;\n]+[。！？!?；;\n]?|\n+') AS x FROM documents WHERE length(text) > 0)""")
+@query(r"""SELECT doc_id, len(x)::int AS pieces, md5(array_to_string(x, '|')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '[^。！？!?；;\n]+[。！？!?；;\n]?|\n+') AS x FROM documents)""")
 def sentence_split(spark, sf_dir):
     p = T.sentence_pieces(F.col("text"))
-    return _docs(spark, sf_dir).where("length(text) > 0").select("doc_id", F.size(p).alias("pieces"), F.md5(F.array_join(p, "|").cast("binary")).alias("digest"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(p).alias("pieces"), F.md5(F.array_join(p, "|").cast("binary")).alias("digest"))
 
 
 @query(r"""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), z AS (SELECT doc_id, list_transform(p, lambda x: CASE WHEN length(x) = 0 THEN 1 ELSE greatest(1, ceil(length(x) / 1.5))::int END) AS n FROM l),
@@ -121,7 +115,10 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk(_docs(spark, sf_dir), "heading_strict", 512).select("doc_id", "rank", "heading", F.length("content").alias("size"))
 
 
-@query("SELECT r_regionkey, '| ' || r_name || ' | ' || r_regionkey || ' |' AS line FROM region")
+@query("SELECT r_regionkey, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || '| a' || chr(92) || '|' || r_name || ' | ' || r_regionkey || ' |' || chr(10) AS text FROM region")
 def csv_table(spark, sf_dir):
+    """A file of each region, with a bar in a cell and semicolons between cells, through the reader of its extension."""
     r = table(spark, sf_dir, "region")
-    return r.select("r_regionkey", F.concat(F.lit("| "), F.array_join(F.array(T.escape_cell(F.col("r_name")), T.escape_cell(F.col("r_regionkey").cast("string"))), " | "), F.lit(" |")).alias("line"))
+    content = F.concat(F.lit("name;key\r\n\"a|"), "r_name", F.lit("\";"), F.col("r_regionkey").cast("string"), F.lit("\r\n")).cast("binary")
+    got = files.convert(r.select(F.concat(F.lit("/in/"), F.col("r_regionkey").cast("string"), F.lit(".csv")).alias("path"), content.alias("content")))
+    return got.select(F.regexp_extract("path", r"(\d+)\.csv", 1).cast(r.schema["r_regionkey"].dataType).alias("r_regionkey"), "text")

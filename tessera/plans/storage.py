@@ -10,11 +10,13 @@ _OWN: list[str] = []
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint; a folder of our own only where none is configured."""
+    """df with its lineage cut by a reliable checkpoint; a folder of our own only where none is configured and all runs in one process."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             if not _OWN:
                 _OWN.append(tempfile.mkdtemp(prefix="tessera-"))
             named = _OWN[0]

@@ -122,6 +122,12 @@ def sniff_delimiter(text: str) -> str:
     return max("\t,;", key=lambda d: (first.count(d), -"\t,;".index(d)))
 
 
+def csv_markdown(raw: bytes) -> str:
+    """A table of delimited text in any of the known encodings and delimiters."""
+    text = _decode(raw)
+    return markdown_table(parse_csv(text, sniff_delimiter(text.removeprefix("\ufeff"))))
+
+
 def _sheet_rows(raw: bytes) -> list[tuple[str, list[list[str]]]]:
     """(name, rows) of each sheet of a workbook."""
     main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -194,7 +200,7 @@ def lines_of_runs(runs: DataFrame) -> DataFrame:
 
 
 _READERS = {
-    ".csv": lambda raw: markdown_table(parse_csv(_decode(raw))), ".xlsx": xlsx_markdown, ".pptx": pptx_markdown, ".docx": docx_markdown,
+    ".csv": lambda raw: csv_markdown(raw), ".xlsx": xlsx_markdown, ".pptx": pptx_markdown, ".docx": docx_markdown,
     ".txt": lambda raw: _decode(raw), ".md": lambda raw: _decode(raw),
 }
 

@@ -35,7 +35,7 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(_value(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize(("name", "source"), [("vector_literal_all", "embeddings"), ("retry_plan_all", "events")])
+@pytest.mark.parametrize(("name", "source"), [("vector_literal", "embeddings"), ("retry_plan", "events")])
 def test_every_row_is_covered(spark, name, source):
     assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count() > 100
 
@@ -43,7 +43,7 @@ def test_every_row_is_covered(spark, name, source):
 def test_bigrams_of_whole_texts(spark, tmp_path):
     texts = ["ab" * 600 + "xyz", "é😀" * 300 + "\n\nq", "aa", "a", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in QUERIES["bigrams_whole"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in QUERIES["bigrams"](spark, str(tmp_path)).collect()}
     assert got == {(i, len(t) - 1, len({t[k : k + 2] for k in range(len(t) - 1)})) for i, t in enumerate(texts) if t and len(t) > 1}
 
 
