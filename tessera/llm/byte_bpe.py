@@ -71,6 +71,18 @@ class PairTable:
         return out.reshape(shape)
 
 
+def gather(which: np.ndarray, table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The concatenation of table[starts[i] : starts[i] + sizes[i]] for i of which."""
+    size = sizes[which]
+    begin = np.cumsum(size) - size
+    return table[np.arange(int(size.sum())) + np.repeat(starts[which] - begin, size)]
+
+
+def _strung(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(p) for p in parts])
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
 class ByteBpe:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as lines:
@@ -87,16 +99,18 @@ class ByteBpe:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
         self.pairs = PairTable((np.array(left, np.int64) << 20) | np.array(right, np.int64), np.array(rank, np.int32))
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.bytes_of = _strung(self.vocab)
+        self.decimals = _strung([b"%d " % i for i in range(len(self.vocab))])
 
-    def merge_matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of like length."""
+    def merge_matrix(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of like length, one after the other, and how many each piece has."""
         size = np.array([len(p) for p in pieces])
         width = int(size.max())
         ids = np.full((len(pieces), width + 1), -1, np.int32)
         inside = np.arange(width + 1) < size[:, None]
         ids[inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        out: list[np.ndarray] = [None] * len(pieces)
+        rows, flat, count = [], [], np.zeros(len(pieces), np.int64)
         row = np.arange(len(pieces))
         rank = self.pairs.get(ids[:, :-1], ids[:, 1:])
         while len(row):
@@ -105,8 +119,10 @@ class ByteBpe:
             best = rank[every, at]
             done = best == NO_RANK
             if done.any():
-                for r, cells in zip(row[done], ids[done]):
-                    out[r] = cells[cells >= 0]
+                cells = ids[done]
+                inside = cells >= 0
+                rows.append(row[done]), flat.append(cells[inside])
+                count[row[done]] = inside.sum(axis=1)
                 on = ~done
                 row, ids, rank, at, best = row[on], ids[on], rank[on], at[on], best[on]
                 if not len(row):
@@ -123,7 +139,7 @@ class ByteBpe:
             rank[every, at] = self.pairs.get(ids[every, at], ids[every, at + 1])
             on = at > 0
             rank[every[on], at[on] - 1] = self.pairs.get(ids[every[on], at[on] - 1], ids[every[on], at[on]])
-        return out
+        return _in_order(rows, flat, count), count
 
     def merge_long(self, piece: bytes) -> np.ndarray:
         """The same merges for one long piece, by a heap over a linked list."""
@@ -155,44 +171,61 @@ class ByteBpe:
                 renew(before[i])
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [None] * len(pieces)
-        buckets: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            if len(piece) > LONG_PIECE:
-                out[i] = self.merge_long(piece)
-            elif len(piece) > 1:
-                buckets.setdefault((len(piece) - 1).bit_length(), []).append(i)
-            else:
-                out[i] = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        for power, of in buckets.items():
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and how many each piece has."""
+        rows, flat, count = [], [], np.zeros(len(pieces), np.int64)
+        size = np.array([len(p) for p in pieces], np.int64)
+        for power in np.unique(np.frexp(np.maximum(size - 1, 0))[1][size <= LONG_PIECE]).tolist():
+            of = np.flatnonzero((np.frexp(np.maximum(size - 1, 0))[1] == power) & (size <= LONG_PIECE))
             step = max(1, (1 << 18) >> power)
             for i in range(0, len(of), step):
                 part = of[i : i + step]
-                for k, ids in zip(part, self.merge_matrix([pieces[k] for k in part])):
-                    out[k] = ids
-        return out
-
-    def decode(self, ids) -> bytes:
-        vocab = self.vocab
-        return b"".join([vocab[i] for i in ids])
-
-    def texts(self, texts: list[str]):
-        """(ids as decimals joined by blanks, decoded bytes) of each text."""
+                ids, n = self.merge_matrix([pieces[k] for k in part.tolist()])
+                count[part] = n
+                rows.append(part), flat.append(ids)
+        for k in np.flatnonzero(size > LONG_PIECE).tolist():
+            ids = self.merge_long(pieces[k])
+            count[k] = len(ids)
+            rows.append(np.array([k])), flat.append(ids)
+        return _in_order(rows, flat, count), count
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return gather(ids, *self.bytes_of).tobytes()
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, one after the other, and how many each text has."""
         found = [self.pattern.findall(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [*set(chain.from_iterable(found)).difference(self.known)]
-        for piece, ids in zip(new, self.encode_pieces([p.encode() for p in new])):
-            ids = ids.tolist()
-            self.known[piece] = " ".join(map(str, ids)), self.decode(ids)
         known = self.known
-        for pieces in found:
-            if pieces:
-                told, back = zip(*[known[p] for p in pieces])
-                yield " ".join(told), b"".join(back)
-            else:
-                yield "", b""
+        new = [*set(chain.from_iterable(found)).difference(known)]
+        if new:
+            flat, count = self.encode_pieces([p.encode() for p in new])
+            raw, ends = flat.astype("<i4").tobytes(), (4 * np.cumsum(count)).tolist()
+            known.update(zip(new, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        parts = [b"".join([known[p] for p in pieces]) for pieces in found]
+        return np.frombuffer(b"".join(parts), "<i4"), np.array([len(p) // 4 for p in parts], np.int64)
+
+    def digests(self, texts: list[str]):
+        """(ids, their decimals joined by blanks, the bytes that they decode to) of each text."""
+        ids, count = self.ids(texts)
+        told, back = gather(ids, *self.decimals).tobytes(), self.decode(ids)
+        ends, told_ends, back_ends = np.cumsum(count), np.cumsum(self.decimals[2][ids]), np.cumsum(self.bytes_of[2][ids])
+        at, told_at, back_at = 0, 0, 0
+        for end in ends.tolist():
+            told_end, back_end = (int(told_ends[end - 1]), int(back_ends[end - 1])) if end else (0, 0)
+            yield ids[at:end], told[told_at : max(told_at, told_end - 1)], back[back_at:back_end]
+            at, told_at, back_at = end, told_end, back_end
+
+
+def _in_order(rows: list[np.ndarray], flat: list[np.ndarray], count: np.ndarray) -> np.ndarray:
+    """The ids of each row, given group by group, in the order of rows."""
+    if not rows:
+        return np.zeros(0, np.int32)
+    row = np.concatenate(rows)
+    starts = np.empty(len(count), np.int64)
+    starts[row] = np.cumsum(count[row]) - count[row]
+    return gather(np.arange(len(count)), np.concatenate(flat), starts, count)
 
 
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
@@ -222,20 +255,21 @@ def _runs(texts: pa.Array, most: int = 1 << 19):
         i = j
 
 
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """array<int> of (ids, ids of each row) parts."""
+    sizes = np.concatenate([np.zeros(1, np.int64), *[count for _, count in parts]])
+    flat = np.concatenate([np.zeros(0, np.int32), *[ids for ids, _ in parts]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encode(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
     """array<int> of token ids; empty for null and empty texts."""
     path, pattern = (path, pattern) if path and pattern else default_vocabulary()
 
     @F.arrow_udf("array<int>")
     def ids_of(column: pa.Array) -> pa.Array:
-        bpe, sizes, ids = tokenizer(path, pattern), [0], []
-        for run in _runs(column):
-            for told, _ in bpe.texts(run):
-                got = np.array(told.split(" "), np.int32) if told else np.zeros(0, np.int32)
-                ids.append(got)
-                sizes.append(len(got))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))
+        bpe = tokenizer(path, pattern)
+        return _lists([bpe.ids(run) for run in _runs(column)])
 
     return ids_of.asNondeterministic()(text)  # so that several uses of the ids share one encoding
 
@@ -247,7 +281,7 @@ def decode(ids: Column, path: str | None = None, pattern: str | None = None) ->
     @F.arrow_udf("binary")
     def bytes_of(column: pa.Array) -> pa.Array:
         bpe = tokenizer(path, pattern)
-        return pa.array([bpe.decode(row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else ()) for row in column], pa.binary())
+        return pa.array([bpe.decode(row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, np.int32)) for row in column], pa.binary())
 
     return bytes_of(ids)
 
@@ -258,16 +292,13 @@ def encode_checked(text: Column, path: str | None = None, pattern: str | None =
 
     @F.arrow_udf("struct<ids: array<int>, decoded_sha256: string>")
     def both(column: pa.Array) -> pa.Array:
-        bpe, sizes, ids, back = tokenizer(path, pattern), [0], [], []
+        bpe, parts, back = tokenizer(path, pattern), [], []
         for run in _runs(column):
-            for told, _ in bpe.texts(run):
-                got = np.array(told.split(" "), np.int32) if told else np.zeros(0, np.int32)
-                ids.append(got)
-                sizes.append(len(got))
-                back.append(hashlib.sha256(bpe.decode(got.tolist())).hexdigest())
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))
-        return pa.StructArray.from_arrays([lists, pa.array(back, pa.string())], ["ids", "decoded_sha256"])
+            ids, count = bpe.ids(run)
+            decoded, ends = bpe.decode(ids), np.cumsum(np.concatenate(([0], bpe.bytes_of[2][ids])))[np.concatenate(([0], np.cumsum(count)))].tolist()
+            back += [hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+            parts.append((ids, count))
+        return pa.StructArray.from_arrays([_lists(parts), pa.array(back, pa.string())], ["ids", "decoded_sha256"])
 
     return both.asNondeterministic()(text)  # so that several uses share one encoding
 
@@ -280,9 +311,9 @@ def round_trip(text: Column, path: str | None = None, pattern: str | None = None
     def digests(column: pa.Array) -> pa.Array:
         bpe, n, ids, back = tokenizer(path, pattern), [], [], []
         for run in _runs(column):
-            for told, decoded in bpe.texts(run):
-                n.append(told.count(" ") + 1 if told else 0)
-                ids.append(hashlib.sha256(told.encode()).hexdigest())
+            for own, told, decoded in bpe.digests(run):
+                n.append(len(own))
+                ids.append(hashlib.sha256(told).hexdigest())
                 back.append(hashlib.sha256(decoded).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
