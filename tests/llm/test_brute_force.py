@@ -201,7 +201,16 @@ def test_bpe_equals_the_library(spark, texts):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     library = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
     given = [*texts[:20], "it's  the 漢字 😀\n\n x\t\t", "a" * 3000, "ab" * 400, "<|endoftext|>", "é é"]
-    docs = spark.createDataFrame(list(enumerate(given)), "doc_id int, text string").select("doc_id", byte_bpe.encode(F.col("text")).alias("ids"))
+    given += ["", "a", *("xyz1" * n for n in (255, 256, 257, 2000)), "\n" * 1500]
+    own = spark.createDataFrame([*enumerate(given), (len(given), None)], "doc_id int, text string")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for r in byte_bpe.token_digests(own).collect():  # what the query returns
+        text = given[r["doc_id"]] if r["doc_id"] < len(given) else ""
+        ids = library.encode_ordinary(text)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(text.encode()))
+    for r in own.where("text is not null").select("doc_id", byte_bpe.encode_checked(F.col("text")).alias("got")).collect():  # what the pipeline uses
+        assert (r["got"]["ids"], r["got"]["decoded_sha256"]) == (library.encode_ordinary(given[r["doc_id"]]), sha(given[r["doc_id"]].encode()))
+    docs = own.where("text is not null").select("doc_id", byte_bpe.encode(F.col("text")).alias("ids"))
     for r in docs.select("doc_id", "ids", byte_bpe.decode(F.col("ids")).alias("back")).collect():
         assert r["ids"] == library.encode_ordinary(given[r["doc_id"]]) and bytes(r["back"]).decode() == given[r["doc_id"]]
 
@@ -448,3 +457,39 @@ def test_quality_on_held_out_rows(spark):
     labels = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("quality"))
     got = nbsvm.quality_scores(docs, labels).where("held_out").collect()
     assert sum(r["predicted"] == (1 if r["doc_id"] % 3 else 0) for r in got) >= 0.95 * len(got)
+
+
+def test_quality_learns_from_a_bounded_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(200)) for i in range(60)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    given = []
+    monkeypatch.setattr(nbsvm, "fit", lambda rows, y: given.append(sum(4 * len(r) for r in rows)))
+    nbsvm.train(docs, labels)
+    nbsvm.train(docs, labels, max_bytes=given[0] // 2)
+    assert 0.4 * given[0] < given[1] <= 0.5 * given[0]
+
+
+def test_naive_bayes_support_vectors_against_numpy(spark):
+    """The dual's optimum: no feasible step for a row lowers the objective, and scores follow from the formula."""
+    texts = [prose(RNG.randint(5, 30)) + (" zig zag" if i % 2 else " foo bar") for i in range(60)]
+    rows = [np.frombuffer(r[0], "<i4").astype(np.int64) for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(nbsvm.indicators(F.col("text"))).collect()]
+    y = np.array([i % 2 for i in range(60)])
+    model, n = nbsvm.fit(rows, y), 1 << nbsvm.BITS
+    x = np.zeros((60, n), bool)
+    for i, r in enumerate(rows):
+        x[i, r] = True
+    p, q = 1.0 + x[y == 1].sum(axis=0), 1.0 + x[y == 0].sum(axis=0)
+    ratio = np.where(p + q <= 3, 0, np.log(p / (30 + 2)) - np.log(q / (30 + 2)))
+    assert np.allclose(model.squares, ratio * ratio, atol=1e-5)
+    scaled = x * ratio / np.maximum(np.sqrt((x * ratio * ratio).sum(axis=1)), 1e-6)[:, None]
+    w = np.divide(model.weights, ratio, out=np.zeros(n), where=ratio != 0)
+    margin = np.where(y == 1, 1, -1) * (scaled @ w + model.bias)
+    primal = 0.5 * (w @ w + model.bias**2) + np.maximum(0, 1 - margin).sum()
+    for _ in range(30):  # no nearby weights are better
+        step = (np.where(y == 1, 1, -1)[:, None] * scaled).T @ np.array([RNG.gauss(0, 0.02) for _ in range(60)])
+        moved = w + step
+        assert 0.5 * (moved @ moved + model.bias**2) + np.maximum(0, 1 - np.where(y == 1, 1, -1) * (scaled @ moved + model.bias)).sum() >= primal - 1e-3
+    import pyarrow as pa
+
+    want = 1 / (1 + np.exp(-2 * np.clip(scaled @ w + model.bias, -30, 30)))
+    assert np.allclose(model.score(pa.array(texts)), want, atol=1e-4)
