@@ -1,24 +1,30 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-Tokens are words between blanks, lower-cased, and one end per text.  The `VOCABULARY`
-most frequent tokens are predicted in two steps, class then word; all others share a
-class of their own and are told apart by their smoothed counts, so the probabilities of
-all tokens, with one place for unseen ones, sum to one.
-
-Features of the class step: the last two frequent words (which skip rare ones), and a
-hash of the two words before.  Feature of the word step: the last frequent word, hashed.
-Weights are trained by distributed gradient updates: in each of `ROUNDS` rounds every
-task takes AdaGrad steps over minibatches of its share of the training tokens, from the
-weights of the round before; the tasks' changes, weighted by their tokens, are summed in
-two levels and applied.  A round uses another share of the documents; together they use
-each training document once.
+Tokens are words between blanks, lower-cased, and one end per text.  The vocabulary is every
+token with at least 1/`PREDICTED` of all occurrences, the `VOCABULARY` most frequent if there
+are more, so it follows the corpus.  Its words are the leaves of a tree of classes with up to
+`BRANCHES` children: the commonest two steps below the root, the next ones three and four.
+All other tokens share a class of their own below the root and are told apart by their
+smoothed counts, so the probabilities of all tokens, with one place for unseen ones, sum to
+one.
+
+Each step of a word's path is a softmax over the node's children.  Its features are the node,
+and the node with the last word of the vocabulary before (which skips others); at the root
+also the one before that (a skip feature) and the two words before together.  Features are
+hashed to `BINS` rows of weights.  Weights are trained by distributed gradient updates: in
+each of `ROUNDS` rounds every task takes AdaGrad steps over minibatches of its share of the
+training tokens, from the weights of the round before; the tasks' changes, weighted by their
+tokens, are summed in two levels and applied.  A round uses another share of the documents;
+together they use each training document once.  Weights therefore depend, a little, on how
+the documents are dealt to tasks; counts and base scores do not.
 
 Counts cover all training tokens.  The table of counts stays distributed: only tokens
-with at least 1/65536 of all occurrences, so at most 65536, reach the tasks; all others
+with at least 1/`FREQUENT` of all occurrences, so at most 262,144 (5 MB), reach the tasks; all others
 meet their counts in a join whose keys are rare by that bound.
 
 Null texts count as empty: one end.  Rows that repeat an id are scored each.  Rows with
-null ids count as training rows.  Tokens are known by 64-bit hashes.
+null ids count as training rows.  Tokens are known by 64-bit hashes.  Memory of a task
+follows the model (4 MB), not the corpus.
 """
 
 from __future__ import annotations
@@ -35,10 +41,15 @@ from tessera.llm.blocks import by_group
 from tessera.llm.nbsvm import held_out
 from tessera.llm.textkit import LOWER, SOLID, Scratch, hash_spans, slices, strings, words
 
-VOCABULARY, CLASSES, FREQUENT = 1023, 32, 65536
-PAIRS, LASTS = 2048, 256
-ROUNDS, BATCH, RATE = 2, 16384, 0.3
-START = VOCABULARY + 1
+#: Tokens of at least this share of all are looked up in the tasks, and those of at least that share are predicted.
+FREQUENT, PREDICTED = 1 << 18, 1 << 16
+BRANCHES = 16
+#: Children of the root that have one, two and three more levels below them; one more is for all other tokens.
+SHALLOW, MIDDLE, DEEP = 5, 5, 5
+VOCABULARY = SHALLOW * BRANCHES + MIDDLE * BRANCHES**2 + DEEP * BRANCHES**3
+BINS = 1 << 16
+ROUNDS, BATCH, RATE = 2, 32768, 0.3
+START = 65535
 END = np.uint64(0x9D5C8E7A1B3F2461)
 PIECE = 1 << 14
 
@@ -114,7 +125,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
     order = np.argsort(h)
     h, n = h[order], n[order]
     ids = np.zeros(len(h), np.uint16)
-    top = np.lexsort((h, -n))[:VOCABULARY]
+    top = np.lexsort((h, -n))[: min(VOCABULARY, int((n * PREDICTED >= total).sum()))]
     ids[top] = np.arange(1, len(top) + 1)
     return Lexicon(h, n, ids, int(total), int(distinct))
 
@@ -145,96 +156,104 @@ def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
     return rows.mapInArrow(run, fields.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
+def tree(words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """depth (steps), nodes and children (id x step) of the ids 0 (all others), 1, 2, ... by falling count; and the number of nodes."""
+    depth, node, child = np.ones(words + 1, np.int64), np.zeros((words + 1, 4), np.int64), np.zeros((words + 1, 4), np.int64)
+    ids, root, nodes = np.arange(1, words + 1), 1, 1
+    for children, levels in ((SHALLOW, 1), (MIDDLE, 2), (DEEP, 3)):
+        of, ids = ids[: children * BRANCHES**levels], ids[children * BRANCHES**levels :]
+        place = np.arange(len(of))
+        depth[of] = levels + 1
+        child[of, 0] = root + place // BRANCHES**levels
+        for step in range(1, levels + 1):
+            node[of, step] = nodes + place // BRANCHES ** (levels - step + 1)
+            child[of, step] = place // BRANCHES ** (levels - step) % BRANCHES
+            nodes += children * BRANCHES ** (step - 1)
+        root += children
+    return depth, node, child, nodes
+
+
+def _hash(feature: int, *parts: np.ndarray) -> np.ndarray:
+    """A row of the weights, as uint16, for each combination of parts."""
+    h = np.uint32(feature * 0x9E3779B1 & 0xFFFFFFFF)
+    for p in parts:
+        h = (h ^ p.astype(np.uint32)) * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(13)
+    return ((h * np.uint32(0xC2B2AE35)) >> np.uint32(16)).astype(np.uint16)
+
+
 class Model:
-    """Weights as one float32 vector with views: class bias and three tables, word bias and one table."""
+    """Weights as one float32 vector with views: a bias for each node's children, and the hashed rows."""
 
     def __init__(self, word_counts: np.ndarray, other: float) -> None:
         """word_counts: of ids 1, 2, ... by falling count; other: the count of all other tokens."""
-        m = len(word_counts)
-        self.words = m
-        per = max(1, -(-m // CLASSES))
-        self.class_of = np.zeros(START + 1, np.int64)
-        self.class_of[1 : m + 1] = 1 + np.arange(m) // per
-        self.first = 1 + per * np.arange(-(-m // per) if m else 0)
-        self.per, self.n_classes = per, 1 + len(self.first)
-        shapes = [(self.n_classes,), (START + 1, self.n_classes), (START + 1, self.n_classes), (PAIRS, self.n_classes), (len(self.first) * per,), (LASTS, len(self.first) * per)]
-        self.at = np.concatenate(([0], np.cumsum([int(np.prod(s)) for s in shapes])))
-        self.shapes = shapes
-        self.flat = np.zeros(int(self.at[-1]), np.float32)
-        by_class = np.bincount(self.class_of[1 : m + 1], weights=word_counts, minlength=self.n_classes) if m else np.zeros(1)
-        by_class[0] = max(other, 0.5)
-        self.views()[0][:] = np.log(by_class / by_class.sum())
-        bias = np.full(len(self.first) * per, -60.0)
-        bias[:m] = np.log(np.maximum(word_counts, 0.5))
-        self.views()[4][:] = bias
-
-    def views(self, flat: np.ndarray | None = None) -> list[np.ndarray]:
+        self.words = m = len(word_counts)
+        self.depth, self.node, self.child, self.n_nodes = tree(m)
+        self.flat = np.zeros((self.n_nodes + BINS) * BRANCHES, np.float32)
+        counts = np.concatenate(([max(other, 0.5)], np.maximum(word_counts, 0.5)))
+        mass = np.zeros(self.n_nodes * BRANCHES)
+        for step in range(4):
+            on = self.depth > step
+            mass += np.bincount(self.node[on, step] * BRANCHES + self.child[on, step], weights=counts[on], minlength=len(mass))
+        mass = mass.reshape(-1, BRANCHES)
+        share = mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-9)
+        self.views()[0][:] = np.where(share > 0, np.log(np.maximum(share, 1e-26)), -60)
+
+    def views(self, flat: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         flat = self.flat if flat is None else flat
-        return [flat[a:b].reshape(s) for a, b, s in zip(self.at, self.at[1:], self.shapes)]
+        cut = self.n_nodes * BRANCHES
+        return flat[:cut].reshape(-1, BRANCHES), flat[cut:].reshape(-1, BRANCHES)
 
     @staticmethod
     def contexts(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: the last frequent id before it, the one before that, and the hash of the two ids before it."""
+        """For each token: the last id of the vocabulary before it, the one before that, and the two ids before it as one number."""
         n = len(ids)
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         begin = at[row]
         spot = np.where(ids > 0, np.arange(n), -1)
         last = np.concatenate(([-1], np.maximum.accumulate(spot)[:-1])) if n else spot
-        one = np.where(last >= begin, ids[last], START).astype(np.int64)
+        one = np.where(last >= begin, ids[last], START).astype(np.uint32)
         second = last[np.maximum(last, 0)]
-        two = np.where((last >= begin) & (second >= begin), ids[second], START).astype(np.int64)
+        two = np.where((last >= begin) & (second >= begin), ids[second], START).astype(np.uint32)
         place = np.arange(n)
-        p1 = np.where(place - 1 >= begin, ids[np.maximum(place - 1, 0)], START).astype(np.int64)
-        p2 = np.where(place - 2 >= begin, ids[np.maximum(place - 2, 0)], START).astype(np.int64)
-        return one, two, (p1 * 40503 + p2 * 9973 + 7) % PAIRS
+        p1 = np.where(place - 1 >= begin, ids[np.maximum(place - 1, 0)], START).astype(np.uint32)
+        p2 = np.where(place - 2 >= begin, ids[np.maximum(place - 2, 0)], START).astype(np.uint32)
+        return one, two, (p1 << np.uint32(16)) | p2
 
     def step(self, ids, one, two, pair, views, grad=None) -> np.ndarray:
-        """Natural log probability of the class, and of the word if it has an id, of each token; adds the gradient of their sum to grad."""
-        b, u1, u2, u3, d, t = views
-        z = u1[one] + u2[two]
-        z += u3[pair]
-        z += b
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(axis=1)
-        cls, every = self.class_of[ids], np.arange(len(ids))
-        out = z[every, cls] - np.log(total)
+        """Natural log probability of each token's path; adds the gradient of their sum to grad."""
+        bias, weights = views
+        n, depth = len(ids), self.depth[ids]
+        of, node, child = [np.arange(n)], [np.zeros(n, np.int64)], [self.child[ids, 0]]
+        for step in range(1, 4):
+            on = np.flatnonzero(depth > step)
+            of.append(on), node.append(self.node[ids[on], step]), child.append(self.child[ids[on], step])
+        of, node, child = np.concatenate(of), np.concatenate(node), np.concatenate(child)
+        near, skip, both = _hash(1, node, one[of]), _hash(2, two), _hash(3, pair)
+        z = weights.take(near, axis=0)
+        z += bias.take(node, axis=0)
+        z[:n] += weights.take(skip, axis=0)
+        z[:n] += weights.take(both, axis=0)
+        np.clip(z, -80, 80, out=z)
+        every = np.arange(len(of))
+        chosen = z[every, child]
+        np.exp(z, out=z)
+        total = z @ np.ones(BRANCHES, np.float32)
+        out = np.bincount(of, weights=chosen - np.log(total), minlength=n)
         if grad is not None:
-            g = e / -total[:, None]
-            g[every, cls] += 1
-            grad[0] += g.sum(axis=0)
-            for table, key in ((grad[1], one), (grad[2], two), (grad[3], pair)):
-                _scatter(table, key, g)
-        last = one % LASTS
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(1, self.n_classes + 1))
-        for c in range(1, self.n_classes):
-            on = order[cuts[c - 1] : cuts[c]]
-            if not len(on):
-                continue
-            lo = (c - 1) * self.per
-            z = t[last[on], lo : lo + self.per] + d[lo : lo + self.per]
-            z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(axis=1)
-            mine = ids[on].astype(np.int64) - 1 - lo
-            k = np.arange(len(on))
-            out[on] += z[k, mine] - np.log(total)
-            if grad is not None:
-                g = e / -total[:, None]
-                g[k, mine] += 1
-                grad[4][lo : lo + self.per] += g.sum(axis=0)
-                _scatter(grad[5][:, lo : lo + self.per], last[on], g)
+            z *= (-1 / total)[:, None]
+            z[every, child] += 1
+            _scatter(grad[0], node.astype(np.uint16), z, every)
+            _scatter(grad[1], np.concatenate((near, skip, both)), z, np.concatenate((every, every[:n], every[:n])))
         return out
 
 
-def _scatter(table: np.ndarray, key: np.ndarray, g: np.ndarray) -> None:
-    """table[key] += g, with repeated keys."""
-    key = key.astype(np.uint16)
+def _scatter(table: np.ndarray, key: np.ndarray, g: np.ndarray, of: np.ndarray) -> None:
+    """table[key] += g[of], with repeated keys."""
     order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-    table[sorted_[first]] += np.add.reduceat(g[order], first, axis=0)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    table[key[first]] += np.add.reduceat(g.take(of.take(order), axis=0), first, axis=0)
 
 
 def _documents(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -269,23 +288,23 @@ def train_round(encoded: DataFrame, model: Model) -> np.ndarray:
                     flat += RATE * grad / np.sqrt(squares)
                 seen += len(ids)
         if seen:
-            change = (flat - model.flat) * np.float32(seen)
+            change = (flat - model.flat).astype(np.float16)  # what a task learns needs no more digits
             pieces = [change[i : i + PIECE].tobytes() for i in range(0, len(change), PIECE)]
             n = len(pieces)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, seen, np.int64)), pa.array(pieces, pa.binary())], ["piece", "seen", "change"])
 
-    def total(rows: pa.Table) -> pa.RecordBatch:
-        both = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in rows["change"].to_pylist()).astype(np.float32)
-        return pa.RecordBatch.from_arrays([rows["piece"].combine_chunks()[:1], pa.array([sum(rows["seen"].to_pylist())], pa.int64()), pa.array([both.tobytes()], pa.binary())], ["piece", "seen", "change"])
+    def mean(rows: pa.Table) -> pa.RecordBatch:
+        seen = rows["seen"].to_pylist()
+        both = sum(np.frombuffer(b, np.float16).astype(float) * n for b, n in zip(rows["change"].to_pylist(), seen)) / sum(seen)
+        return pa.RecordBatch.from_arrays([rows["piece"].combine_chunks()[:1], pa.array([sum(seen)], pa.int64()), pa.array([both.astype(np.float16).tobytes()], pa.binary())], ["piece", "seen", "change"])
 
     kind = "piece int, seen bigint, change binary"
     changes = encoded.select("ids").mapInArrow(run, kind).withColumn("part", F.spark_partition_id() % 64)
-    sums = by_group(changes, ["piece", "part"], total, kind)
-    got = by_group(sums, ["piece"], total, kind).toArrow().sort_by("piece")  # the size of the model
+    sums = by_group(changes, ["piece", "part"], mean, kind)
+    got = by_group(sums, ["piece"], mean, kind).toArrow().sort_by("piece")  # the size of the model
     if not got.num_rows:
         return np.zeros_like(model.flat)
-    flat = np.concatenate([np.frombuffer(b, np.float32) for b in got["change"].to_pylist()])
-    return flat / np.float32(got["seen"][0].as_py())
+    return np.concatenate([np.frombuffer(b, np.float16) for b in got["change"].to_pylist()]).astype(np.float32)
 
 
 def fit(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
