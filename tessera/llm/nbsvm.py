@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import ALNUM, LOWER, SLICE_BYTES, SOLID, Scratch, hash_spans, mix, slices, strings, words
+from tessera.llm.textkit import ALNUM, LOWER, SLICE_BYTES, SOLID, Scratch, buffer_of, hash_spans, mix, slices, strings, words
 
 BITS = 18
 MAX_ROWS = 6000
@@ -121,18 +121,19 @@ class Model:
 def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, costs: np.ndarray, epochs: int = 15, seed: int = 7) -> tuple[np.ndarray, float]:
     """min |w|^2/2 + sum of costs * max(0, 1 - y (w x + b)) over its dual; x has values[bins], scaled to length one, and a constant for the bias."""
     w, bias, a = np.zeros(len(values)), 0.0, np.zeros(len(rows))
-    xs = [values[r] for r in rows]
-    xs = [x / max(np.sqrt((x * x).sum()), 1e-6) for x in xs]
-    q = np.array([(x * x).sum() + 1 for x in xs])
+    squares = np.array([(values[r] ** 2).sum() for r in rows])
+    scale = 1 / np.maximum(np.sqrt(squares), 1e-6)  # rows are scaled as they are read: no second copy of them is held
+    q = squares * scale * scale + 1
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            gap = y[i] * (w[rows[i]] @ xs[i] + bias) - 1
+            x = values[rows[i]] * scale[i]
+            gap = y[i] * (w[rows[i]] @ x + bias) - 1
             new = min(max(a[i] - gap / q[i], 0.0), costs[i])
             step = (new - a[i]) * y[i]
             if step:
-                w[rows[i]] += step * xs[i]
+                w[rows[i]] += step * x
                 bias += step
                 moved = max(moved, abs(step))
                 a[i] = new
@@ -170,10 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_byte
     if (sizes.select(F.sum("size")).first()[0] or 0) > max_bytes:
         running = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
         found = found.join(F.broadcast(sizes.withColumn("upto", running).where(F.col("upto") <= max_bytes).select("doc_id")), "doc_id")
-    got = found.toArrow().sort_by([("doc_id", "ascending"), ("bins", "ascending")])
+    got = found.orderBy("doc_id", "bins").toArrow()
     scratch.drop()
-    rows = [np.frombuffer(b, "<i4").astype(np.int64) for b in got["bins"].to_pylist()]
-    return fit(rows, got["label"].to_numpy())
+    data, at = buffer_of(got["bins"].combine_chunks())
+    labels_ = got["label"].to_numpy()
+    del got
+    return fit([data[a:b].view("<i4") for a, b in zip(at, at[1:])], labels_)
 
 
 def score(text: Column, model: Model) -> Column:
