@@ -29,7 +29,10 @@ def _store(spark, sf_dir) -> dict:
 _EV = """ev AS (SELECT o_orderkey AS id, o_custkey AS document_id, c_nationkey AS source_id, o_orderkey % 60 AS chunk_id, (o_orderkey % 7)::int AS rank, o_orderstatus = 'F' AS gone, c_acctbal < 0 AS filed, c_name AS title FROM orders JOIN customer ON c_custkey = o_custkey),
 li AS (SELECT DISTINCT l_orderkey AS event_id, l_partkey AS entity_id FROM lineitem),
 en AS (SELECT event_id, count(*)::bigint AS n, md5(string_agg(p_name || ':' || p_partkey, '|' ORDER BY p_brand, p_name, p_partkey)) AS names FROM li JOIN part ON p_partkey = entity_id GROUP BY event_id)"""
-_NAMES = F.md5(F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["name"], e["id"])), "|").cast("binary"))
+
+
+def _names():
+    return F.md5(F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["name"], e["id"])), "|").cast("binary"))
 
 
 @query(f"""WITH {_EV} SELECT ev.id, n_name AS source, title, url AS heading, coalesce(n, 0)::bigint AS n_entities, coalesce(names, md5('')) AS names
@@ -37,7 +40,7 @@ FROM ev JOIN nation ON n_nationkey = source_id LEFT JOIN pages ON page_id = chun
 def event_details(spark, sf_dir):
     s = _store(spark, sf_dir)
     out = details.event_details(s["events"], s["sources"], s["documents"], s["chunks"], s["links"], s["entities"])
-    return out.select("id", F.col("source_name").alias("source"), F.col("document_title").alias("title"), F.col("chunk_heading").alias("heading"), F.size("entities").cast("long").alias("n_entities"), _NAMES.alias("names"))
+    return out.select("id", F.col("source_name").alias("source"), F.col("document_title").alias("title"), F.col("chunk_heading").alias("heading"), F.size("entities").cast("long").alias("n_entities"), _names().alias("names"))
 
 
 @query(f"""WITH {_EV} SELECT p_partkey AS id, n_name AS source, count(*)::bigint AS event_count, md5(string_agg(rank || ':' || ev.id, '|' ORDER BY rank, ev.id)) AS events
