@@ -66,6 +66,28 @@ def test_stages(spark, docs, labels, items, tmp_path, stage, empty):
     assert n <= len(ROWS) and (n == 0) == empty
 
 
+def test_what_each_stage_drops(spark, tmp_path):
+    """Which rows go, and what is left of the others, stage by stage."""
+    words = [f"w{i}" for i in range(200)]
+    good = lambda k: " ".join(words[k : k + 40])
+    item = " ".join(f"bench{i}" for i in range(20))
+    stages = dict(corpus_pipeline.STAGES)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    junk = lambda i: f"$$ buy {i} ## now {i} !! " * 5
+    labelled = [(i, good(i % 100)) for i in range(0, 60)] + [(i, junk(i)) for i in range(100, 160)]
+    spark.createDataFrame([(i, int(i < 100), 0) for i, _ in labelled], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), F.lit(0).alias("__got"))
+    run = lambda name, rows: {r["doc_id"]: (r["text"], r["n_chars"]) for r in stages[name](spark, frame(rows), str(tmp_path)).collect()}
+    kept = run("quality", [*labelled, (200, good(150)), (201, junk(7))])
+    assert {i for i in kept if i < 100} == set(range(60)) and 200 in kept and not [i for i in kept if 100 <= i < 160 or i == 201]
+    kept = run("lines", [(1, "a b\nc d\ne f"), (2, "c d\ne f"), (3, "x\nc d\ne f\ny"), (4, ""), (5, None)])
+    assert kept == {1: ("a b\nc d\ne f", 11), 3: ("x\ny", 3), 4: ("", 0), 5: (None, None)}
+    kept = run("near_copies", [(1, good(0)), (2, good(0)), (3, good(0) + " end"), (4, good(90)), (5, ""), (6, None)])
+    assert set(kept) == {1, 4, 5, 6}
+    kept = run("benchmark_free", [(1, good(0)), (2, good(0) + " " + item), (3, item.upper()), (4, None), (5, " ".join(item.split()[:12]))])
+    assert set(kept) == {1, 4, 5}
+
+
 def test_vectors(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, float("nan")]), (4, [1.0, 2.0]), (5, [2.0, 4.0]), (None, [1.0, 2.0]), (6, [1.0, None]), (7, [1.0, 2.0, 3.0]), (8, []), (9, [float("inf"), 1.0]), (10, [1e-300, 2e-300]), (11, [2.0, -1.0])]
     v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("node", F.lit(1))
