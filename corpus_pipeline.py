@@ -1,7 +1,9 @@
 """From raw documents to token ids: quality, repeated lines, near copies, benchmark passages, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
-All but the last return the columns of documents.
+All but the last return the columns of documents.  In every stage null texts count as
+empty, rows with null ids are kept or dropped by their text alone, and empty tables give
+empty tables.
 """
 
 from __future__ import annotations
@@ -15,13 +17,19 @@ from tessera.llm.textkit import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from the labelled ones among them, does not reject."""
+    """Documents that the quality classifier, learned from the labelled ones among them, does not reject.
+
+    A score of 0.5, as all get without labels of both kinds, is no rejection.  Rows that repeat a text score alike.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~nbsvm.held_out(F.col("doc_id"), 3, 1))
     return docs.where(nbsvm.score(F.col("text"), nbsvm.train(docs, labels)) >= 0.5)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without runs of lines that came earlier; a document of which nothing is left goes."""
+    """Texts without runs of lines that came earlier, by doc_id; a document of which nothing is left goes.
+
+    Rows that share an id do not see each other's lines; one that had no line, null texts too, stays as it is.
+    """
     got = line_dedup.dedup(docs).where("n_deleted = 0 or text rlike '[^ \\\\t\\\\r\\\\n]'")
     return got.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
@@ -33,12 +41,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with benchmark passages."""
+    """Documents of which benchmark passages cover less than a twentieth of the words.
+
+    Rows that repeat id and text go or stay together; texts and items without words match nothing.
+    """
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, decoded_sha256 (of the bytes that the ids decode to)."""
+    """doc_id, lang, source, n_tokens, ids, decoded_sha256 (of the bytes that the ids decode to) of every row; no ids for null and empty texts."""
     out = docs.select("doc_id", "lang", "source", byte_bpe.encode_checked(F.col("text")).alias("got"))
     return out.select("doc_id", "lang", "source", F.size("got.ids").cast("long").alias("n_tokens"), "got.ids", "got.decoded_sha256")
 
