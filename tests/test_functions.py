@@ -1,6 +1,7 @@
 """Literal cases of the text, vector, chunking, manifest, merge and file functions."""
 
 import io
+import re
 import zipfile
 
 import pytest
@@ -41,6 +42,10 @@ def test_entity_families(spark):
     assert got["quoted phrase"] == "subject" and got["2024-03-15"] in ("time", "work") and got["$1,234,567.89"] == "metric" and got["23%"] == "metric" and "国发〔2024〕12号" in got
 
 
+def test_capitalised_names_end_where_ascii_words_end(spark):
+    assert [e["name"] for e in one(spark, T.named_entities(F.lit("der Schpfö, Über Anna-Maria_ Group")))] == ["Schpf", "Anna", "Group"]
+
+
 def test_event(spark):
     e = one(spark, T.extract_event(F.lit("doc"), F.lit("# Findings"), F.lit("An audit finding on Payment System. More text follows here.")))
     assert e["title"] == "Findings" and e["category"] == "audit_finding" and any(x["name"] == "Payment System" and x["type"] == "product" for x in e["entities"])
@@ -85,6 +90,36 @@ def test_chunking(spark):
     assert "\n\n".join(r["content"] for r in sorted(packs, key=lambda r: r["rank"])) == docs.where("doc_id = 2").first()["text"]
 
 
+def test_sections_and_packs_against_brute_force(spark):
+    texts = ["", "# a", "x\n## b \n\ny\n#c\n###### d\n", "\r\n# e\r\nz", None, "\n".join(f"# {i}" if i % 7 == 0 else "w" * (i % 90) for i in range(3000))]
+
+    def cut(text):
+        out = [["Introduction", []]]
+        for line in (text or "").replace("\r\n", "\n").split("\n"):
+            m = re.match(chunking.HEADING, line)
+            out.append([m[2].strip(), [line]]) if m else out[-1][1].append(line)
+        made = [(h, b[0] if h != "Introduction" or b and re.match(chunking.HEADING, b[0]) else None, b) for h, b in out]
+        joined = [(h, "\n".join(x for x in ([first, "\n".join(b[1:]).strip()] if first else ["\n".join(b).strip()]) if x).strip()) for h, first, b in made]
+        return [x for x in joined if x[1]]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in chunking.heading_sections(docs).orderBy("doc_id", "rank").collect():
+        got.setdefault(r["doc_id"], []).append((r["heading"], r["content"]))
+    assert got == {i: cut(t) for i, t in enumerate(texts) if cut(t)}
+    sizes = [[], [5], [400, 1], [i * 37 % 120 for i in range(2500)]]
+
+    def packed(ns):
+        total, pack, out = 0, -1, []
+        for n in ns:
+            pack, total = (pack + 1, n) if pack < 0 or total + n > 300 else (pack, total + n)
+            out.append(pack)
+        return out
+
+    got = spark.createDataFrame(list(enumerate(sizes)), "i int, n array<int>").select("i", chunking.pack(F.col("n"), 300).alias("p")).collect()
+    assert {r["i"]: r["p"] for r in got} == {i: packed(n) for i, n in enumerate(sizes)}
+
+
 def test_manifest_diff(spark):
     kind = "rel_path string, size_bytes bigint, mtime_ms bigint, inode bigint, sha1 string, last_event string"
     old = spark.createDataFrame([("same", 1, 1, 1, "a", "synced"), ("hash", 1, 1, 1, "a", "synced"), ("gone", 1, 1, 1, "a", "synced"), ("bare", None, None, None, None, "failed"), ("time", 1, 1, 1, None, "synced"), ("kept", 1, 1, 1, None, "synced"), ("dead", 1, 1, 1, "a", "deleted")], kind)
