@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import threading
+import time
 from collections.abc import Callable
+from concurrent.futures import Future
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.manifest import upsert
+from tessera.functions.text import cap_for_embedding
+from tessera.operators.manifest import claim, upsert
 from tessera.operators.rows import first_of
+from tessera.plans.storage import checkpointed
 
 
 def watch(spark: SparkSession, root: str, glob: str = "*", per_trigger: int = 1000) -> DataFrame:
@@ -30,33 +36,143 @@ def rate_limited(events: DataFrame, key: str, at: str, most: int, width: str = "
     return counts.where(F.col("n") > most).select(key, F.col("w.start").alias("started"), "n", (F.col("n") - most).alias("over"))
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: list[Column], checkpoint: str, overwrite: list[str] | None = None):
-    """A query that folds each micro-batch, last row of a key, into the table at path (a new version directory per batch).
+#: Parts of a folded table by the hash of its keys; a batch rewrites those that it touches.
+BUCKETS = 64
 
-    A version is written in full before the pointer moves, and batches that were applied
-    are recognised by their number, so a restart repeats nothing.
+
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: list[Column], checkpoint: str, overwrite: list[str] | None = None, buckets: int = BUCKETS):
+    """A query that folds each micro-batch, last row of a key, into the table at path (read by `folded`).
+
+    The table lies in `buckets` parts by the hash of its keys, which stay as they were unless
+    the batch has a row for them.  A log entry, moved into place after its parts are written,
+    names the version of each part, so readers see whole batches and a restart repeats
+    nothing.  Parts that an entry replaced are removed by the entry after it.
     """
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = first_of(batch, keys, *order)
-        version = current(spark, path)
-        if version is not None and version >= number:
+        spark, log = batch.sparkSession, _Log(batch.sparkSession, path)
+        before = log.newest()
+        if before is not None and before["number"] >= number:
             return
-        old = last.limit(0) if version is None else spark.read.parquet(f"{path}/v={version}")
-        upsert(old, last, keys, overwrite).write.mode("overwrite").parquet(f"{path}/v={number}")
+        parts = before["parts"] if before else {}
+        batch = batch.persist()
+        try:
+            touched = [str(r[0]) for r in batch.select(place.alias("b")).distinct().collect()]  # at most `buckets` rows
+            if not touched:
+                return
+            last, replaced = first_of(batch, keys, *order), [parts[b] for b in touched if b in parts]
+            old = spark.read.parquet(*[f"{path}/{p}" for p in replaced]) if replaced else last.limit(0)
+            made = upsert(old, last, keys, overwrite).withColumn("__bucket", place)
+            made.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/v={number}")
+        finally:
+            batch.unpersist()
+        log.append({"number": number, "parts": parts | {b: f"v={number}/__bucket={b}" for b in touched}, "replaced": replaced})
+        log.remove(before["replaced"] if before else [])
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
 
 
-def current(spark: SparkSession, path: str) -> int | None:
-    """The newest complete version of a table folded by upsert_stream."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    done = [int(s.getPath().getName().removeprefix("v=")) for s in fs.listStatus(p) if s.getPath().getName().startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max(done, default=None)
+def folded(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that upsert_stream folds, as of its last whole batch; None before the first."""
+    newest = _Log(spark, path).newest()
+    return spark.read.parquet(*[f"{path}/{p}" for p in newest["parts"].values()]) if newest else None
+
+
+class _Log:
+    """The entries of a folded table: one JSON file a batch, through the file system of its path."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        sc = spark.sparkContext
+        self.path, self.at = path, sc._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.at(path).getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        folder = self.at(f"{self.path}/_log")
+        names = [s.getPath().getName() for s in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def newest(self) -> dict | None:
+        numbers = self._numbers()
+        if not numbers:
+            return None
+        stream = self.fs.open(self.at(f"{self.path}/_log/{numbers[-1]}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def append(self, entry: dict) -> None:
+        written = self.at(f"{self.path}/_log/.{entry['number']}.json")
+        stream = self.fs.create(written, True)
+        try:
+            stream.write(bytearray(json.dumps(entry).encode()))
+        finally:
+            stream.close()
+        if not self.fs.rename(written, self.at(f"{self.path}/_log/{entry['number']}.json")):
+            raise OSError(f"log entry {entry['number']} of {self.path} is there already")
+
+    def remove(self, parts: list[str]) -> None:
+        for part in parts:
+            self.fs.delete(self.at(f"{self.path}/{part}"), True)
+        for number in self._numbers()[:-2]:
+            self.fs.delete(self.at(f"{self.path}/_log/{number}.json"), False)
+
+
+class Breaker:
+    """Keeps calls from a service that failed `opens_at` times in a row for `cooldown` seconds; then one more failure closes it off again."""
+
+    def __init__(self, opens_at: int = 3, cooldown: float = 300, clock: Callable[[], float] = time.monotonic) -> None:
+        self.opens_at, self.cooldown, self.clock = opens_at, cooldown, clock
+        self.failures, self.until = 0, None
+
+    @property
+    def is_open(self) -> bool:
+        if self.until is not None and self.clock() >= self.until:
+            self.until = None
+        return self.until is not None
+
+    def call(self, f: Callable, otherwise: Callable):
+        """f(), or otherwise() while open and where f fails."""
+        if self.is_open:
+            return otherwise()
+        try:
+            got = f()
+        except Exception:  # noqa: BLE001 - whatever a remote service raises
+            self.failures += 1
+            if self.failures >= self.opens_at:
+                self.until = self.clock() + self.cooldown
+            return otherwise()
+        self.failures, self.until = 0, None
+        return got
+
+
+class SingleFlight:
+    """Callers that ask for a key while it is being worked on wait for that work and share its result or error."""
+
+    def __init__(self) -> None:
+        self._lock, self._running = threading.Lock(), {}
+
+    def do(self, key, f: Callable):
+        with self._lock:
+            mine = key not in self._running
+            future = self._running.setdefault(key, Future())
+        if not mine:
+            return future.result()
+        try:
+            future.set_result(f())
+        except BaseException as e:  # noqa: BLE001 - handed to all callers
+            future.set_exception(e)
+        finally:
+            with self._lock:
+                del self._running[key]
+        return future.result()
+
+
+def progress(streaming_query) -> list[dict]:
+    """For each recent batch of a query its number, input rows and the milliseconds of each stage."""
+    told = [json.loads(p.json) if hasattr(p, "json") else p for p in streaming_query.recentProgress]
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": dict(p["durationMs"])} for p in told]
 
 
 def circuit(results: DataFrame, key: str, at: str, failed: Column, opens_at: int = 3) -> DataFrame:
@@ -66,24 +182,61 @@ def circuit(results: DataFrame, key: str, at: str, failed: Column, opens_at: int
     return streaks(results, key, [at], failed).where(F.col("n") >= opens_at)
 
 
-def embed_batches(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], key: str = "chunk_id", text: str = "text", size: int = 64) -> DataFrame:
-    """key, embedding: texts embedded in batches by an injected function; a batch that fails is tried text by text (200 characters), then as zeros."""
+#: Tokens that an embedding model takes, and characters of the second try.
+MOST_TOKENS, RETRY_CHARS = 510, 200
+
+
+def within_tokens(text: str, count: Callable[[str], int], most: int = MOST_TOKENS) -> str:
+    """The longest prefix of at most that many tokens; a text of no more characters is not counted."""
+    if len(text) <= most or count(text) <= most:
+        return text
+    low, high = 0, len(text)
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if count(text[:mid]) <= most else (low, mid)
+    return text[:low]
+
+
+def embed_batches(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], key: str = "chunk_id", text: str = "text", size: int = 64, dimension: int | None = None, count: Callable[[str], int] | None = None) -> DataFrame:
+    """key, embedding: texts embedded in batches by an injected function, cut to 510 tokens where a counter is given.
+
+    A batch that fails is tried text by text (200 characters); what fails again has zeros of
+    the dimension, or null where none is given.  Null texts count as empty.
+    """
     import pandas as pd
 
     def run(batches):
         for b in batches:
             for lo in range(0, len(b), size):
                 part = b.iloc[lo : lo + size]
+                given = [t or "" for t in part[text]]
+                given = [within_tokens(t, count) for t in given] if count else given
                 try:
-                    vectors = embed(part[text].tolist())
+                    vectors = embed(given)
                 except Exception:  # noqa: BLE001 - whatever a remote service raises
                     vectors = []
-                    for t in part[text]:
+                    for t in given:
                         try:
-                            vectors += embed([t[:200]])
+                            vectors += embed([t[:RETRY_CHARS]])
                         except Exception:  # noqa: BLE001
-                            vectors.append([0.0])
+                            vectors.append(None if dimension is None else [0.0] * dimension)
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": vectors})
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<double>")
+
+
+def embed_round(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], n: int, now: Column, **options) -> tuple[DataFrame, DataFrame]:
+    """(id and embedding of up to n pending chunks, chunks after that): one round of a loop of leases.
+
+    chunks: id, heading, content, status, locked_at.  Claimed chunks become embedded, or
+    failed without a vector, and are unlocked; both results come from one checkpoint, so the
+    service is asked once.
+    """
+    claimed = claim(chunks, n, now)
+    texts = claimed.select("id", cap_for_embedding(F.concat_ws("\n", F.coalesce("heading", F.lit("")), "content")).alias("text"))
+    made = checkpointed(embed_batches(texts, embed, "id", **options))
+    done = made.select("id", F.col("embedding").isNotNull().alias("__done"))
+    state = F.when(F.col("__done"), "embedded").when(~F.col("__done"), "failed").otherwise(F.col("status"))
+    after = chunks.join(done, "id", "left").withColumn("status", state).withColumn("locked_at", F.when(F.col("__done").isNull(), F.col("locked_at")))
+    return made.where("embedding is not null"), after.drop("__done")

@@ -2,6 +2,7 @@
 
 import io
 import re
+import threading
 import zipfile
 
 import pytest
@@ -217,12 +218,18 @@ def test_stream_upserts_and_debounces(spark, tmp_path):
     source.mkdir()
     (source / "1.json").write_text('{"k": "a", "n": 1}\n{"k": "a", "n": 2}\n{"k": "b", "n": 1}\n')
     stream = spark.readStream.schema("k string, n int").json(str(source))
-    run = lambda: folders.upsert_stream(stream, str(target), ["k"], [F.col("n").desc()], str(tmp_path / "cp"), ["n"]).trigger(availableNow=True).start().awaitTermination()
-    run()
-    (source / "2.json").write_text('{"k": "b", "n": 7}\n{"k": "c", "n": 1}\n')
-    run()
-    rows_now = spark.read.parquet(f"{target}/v={folders.current(spark, str(target))}").collect()
-    assert {tuple(r) for r in rows_now} == {("a", 2), ("b", 7), ("c", 1)}
+    run = lambda: folders.upsert_stream(stream, str(target), ["k"], [F.col("n").desc()], str(tmp_path / "cp"), ["n"], buckets=4).trigger(availableNow=True).start()
+    assert folders.folded(spark, str(target)) is None
+    run().awaitTermination()
+    for i, lines in enumerate(('{"k": "b", "n": 7}\n{"k": "c", "n": 1}\n', '{"k": "c", "n": 3}\n', "")):
+        (source / f"{i + 2}.json").write_text(lines)
+        told = run()
+        told.awaitTermination()
+        assert all(p["ms"] for p in folders.progress(told))
+    assert {tuple(r) for r in folders.folded(spark, str(target)).collect()} == {("a", 2), ("b", 7), ("c", 3)}
+    log = folders._Log(spark, str(target)).newest()
+    kept = {str(p.relative_to(target)) for p in target.glob("v=*/__bucket=*")}
+    assert kept >= set(log["parts"].values()) and kept <= set(log["parts"].values()) | set(log["replaced"])
     bursts = spark.sql("select * from values ('f', timestamp'2024-01-01 00:00:00'), ('f', timestamp'2024-01-01 00:00:00.5'), ('f', timestamp'2024-01-01 00:00:05') t(f, at)")
     assert sorted(r["n"] for r in folders.debounce(bursts, "f", "at").collect()) == [1, 2]
 
@@ -234,7 +241,55 @@ def test_embedding_fallback(spark):
         return [[float(len(t))] for t in texts]
 
     got = dict(folders.embed_batches(spark.createDataFrame([("1", "xy"), ("2", "bad")], "chunk_id string, text string").coalesce(1), embed).collect())
-    assert got == {"1": [2.0], "2": [0.0]}
+    assert got == {"1": [2.0], "2": None}
+    got = dict(folders.embed_batches(spark.createDataFrame([("1", "a bad one"), ("2", None), ("3", "x " * 400)], "chunk_id string, text string").coalesce(1), embed, dimension=2, count=lambda t: len(t.split())).collect())
+    assert got == {"1": [0.0, 0.0], "2": [0.0], "3": [200.0]}
+    assert folders.within_tokens("x " * 800, lambda t: len(t.split())).split() == ["x"] * 510
+    chunks = spark.sql("select * from values (1, 'h', 'good', 'pending', null), (2, 'h', 'bad', 'pending', null), (3, 'h', 'late', 'pending', timestamp'2024-01-01 00:09:00'), (4, 'h', 'more', 'pending', null) t(id, heading, content, status, locked_at)")
+    vectors, after = folders.embed_round(chunks, embed, 2, F.lit("2024-01-01 00:10:00").cast("timestamp"))
+    assert [(r["id"], r["embedding"]) for r in vectors.collect()] == [(1, [6.0])]
+    assert {(r["id"], r["status"], r["locked_at"] is None) for r in after.collect()} == {(1, "embedded", True), (2, "failed", True), (3, "pending", False), (4, "pending", True)}
+
+
+def test_breaker_and_single_flight():
+    now = [0.0]
+    b = folders.Breaker(cooldown=10, clock=lambda: now[0])
+    asked = []
+
+    def bad():
+        asked.append(now[0])
+        raise RuntimeError("no")
+
+    assert [b.call(bad, lambda: "other") for _ in range(5)] == ["other"] * 5 and len(asked) == 3 and b.is_open
+    now[0] = 10
+    assert b.call(bad, lambda: "other") == "other" and len(asked) == 4 and b.is_open
+    now[0] = 20
+    assert b.call(lambda: "fine", lambda: "other") == "fine" and not b.is_open and b.failures == 0
+
+    flights, begun, go, runs = folders.SingleFlight(), threading.Event(), threading.Event(), []
+
+    def work():
+        runs.append(1)
+        begun.set()
+        go.wait(10)
+        return "done"
+
+    got = []
+    first = threading.Thread(target=lambda: got.append(flights.do("k", work)))
+    first.start()
+    begun.wait(10)
+    others = [threading.Thread(target=lambda: got.append(flights.do("k", work))) for _ in range(3)]
+    for t in others:
+        t.start()
+    while not all(t.is_alive() for t in others):
+        pass
+    go.set()
+    for t in (first, *others):
+        t.join(10)
+    assert got == ["done"] * 4
+    with pytest.raises(RuntimeError):
+        flights.do("k", bad)
+    assert flights.do("k", lambda: 1) == 1
 
 
 def test_lists_of_csv_cells():
