@@ -11,11 +11,14 @@ one.
 Each step of a word's path is a softmax over the node's children.  Its features are the node,
 and the node with the last word of the vocabulary before (which skips others); at the root
 also the one before that (a skip feature) and the two words before together.  Features are
-hashed to `BINS` rows of weights.  Weights are trained by distributed gradient updates: in
+hashed to a table of rows of weights that grows with the corpus: one for each `BIN_TOKENS`
+training tokens, as a power of two from `BINS` to `MOST_BINS` (a task holds four copies, 32 MB
+each at most).  Weights are trained by distributed gradient updates: in
 each of `ROUNDS` rounds every task takes AdaGrad steps over minibatches of its share of the
 training tokens, from the weights of the round before; the tasks' changes, weighted by their
 tokens, are summed in two levels and applied.  A round uses another share of the documents;
-together they use each training document once.  Weights therefore depend, a little, on how
+together they use each training document once.  A task takes about `TASK_TOKENS` tokens of a
+round where there are enough, so what tasks send stays in proportion to the corpus.  Weights therefore depend, a little, on how
 the documents are dealt to tasks; counts and base scores do not.
 
 Counts cover all training tokens.  The table of counts stays distributed: only tokens
@@ -24,7 +27,7 @@ meet their counts in a join whose keys are rare by that bound.
 
 Null texts count as empty: one end.  Rows that repeat an id are scored each.  Rows with
 null ids count as training rows.  Tokens are known by 64-bit hashes.  Memory of a task
-follows the model (4 MB), not the corpus.
+follows the model (4 to 32 MB), not the corpus.
 """
 
 from __future__ import annotations
@@ -47,7 +50,8 @@ BRANCHES = 16
 #: Children of the root that have one, two and three more levels below them; one more is for all other tokens.
 SHALLOW, MIDDLE, DEEP = 5, 5, 5
 VOCABULARY = SHALLOW * BRANCHES + MIDDLE * BRANCHES**2 + DEEP * BRANCHES**3
-BINS = 1 << 16
+BINS, MOST_BINS, BIN_TOKENS = 1 << 16, 1 << 19, 1 << 10
+TASK_TOKENS = 8_000_000
 ROUNDS, BATCH, RATE = 2, 32768, 0.3
 START = 65535
 END = np.uint64(0x9D5C8E7A1B3F2461)
@@ -173,23 +177,28 @@ def tree(words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return depth, node, child, nodes
 
 
-def _hash(feature: int, *parts: np.ndarray) -> np.ndarray:
-    """A row of the weights, as uint16, for each combination of parts."""
+def bins_for(total: int) -> int:
+    """Rows of hashed weights for a corpus of that many training tokens."""
+    return min(MOST_BINS, max(BINS, 1 << max(0, total // BIN_TOKENS - 1).bit_length()))
+
+
+def _hash(feature: int, *parts: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """A row of the weights (a power of two of them, 2^16 or more) for each combination of parts."""
     h = np.uint32(feature * 0x9E3779B1 & 0xFFFFFFFF)
     for p in parts:
         h = (h ^ p.astype(np.uint32)) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(13)
-    return ((h * np.uint32(0xC2B2AE35)) >> np.uint32(16)).astype(np.uint16)
+    return ((h * np.uint32(0xC2B2AE35)) >> np.uint32(33 - bins.bit_length())).astype(np.uint16 if bins == 1 << 16 else np.uint32)
 
 
 class Model:
     """Weights as one float32 vector with views: a bias for each node's children, and the hashed rows."""
 
-    def __init__(self, word_counts: np.ndarray, other: float) -> None:
-        """word_counts: of ids 1, 2, ... by falling count; other: the count of all other tokens."""
-        self.words = m = len(word_counts)
+    def __init__(self, word_counts: np.ndarray, other: float, bins: int = BINS) -> None:
+        """word_counts: of ids 1, 2, ... by falling count; other: the count of all other tokens; bins: hashed rows."""
+        self.words, self.bins = (m := len(word_counts)), bins
         self.depth, self.node, self.child, self.n_nodes = tree(m)
-        self.flat = np.zeros((self.n_nodes + BINS) * BRANCHES, np.float32)
+        self.flat = np.zeros((self.n_nodes + bins) * BRANCHES, np.float32)
         counts = np.concatenate(([max(other, 0.5)], np.maximum(word_counts, 0.5)))
         mass = np.zeros(self.n_nodes * BRANCHES)
         for step in range(4):
@@ -220,8 +229,8 @@ class Model:
         p2 = np.where(place - 2 >= begin, ids[np.maximum(place - 2, 0)], START).astype(np.uint32)
         return one, two, (p1 << np.uint32(16)) | p2
 
-    def step(self, ids, one, two, pair, views, grad=None) -> np.ndarray:
-        """Natural log probability of each token's path; adds the gradient of their sum to grad."""
+    def step(self, ids, one, two, pair, views, grad=None, touched: list | None = None) -> np.ndarray:
+        """Natural log probability of each token's path; adds the gradient of their sum to grad, and the rows of both its views that it changed to touched."""
         bias, weights = views
         n, depth = len(ids), self.depth[ids]
         of, node, child = [np.arange(n)], [np.zeros(n, np.int64)], [self.child[ids, 0]]
@@ -229,7 +238,7 @@ class Model:
             on = np.flatnonzero(depth > step)
             of.append(on), node.append(self.node[ids[on], step]), child.append(self.child[ids[on], step])
         of, node, child = np.concatenate(of), np.concatenate(node), np.concatenate(child)
-        near, skip, both = _hash(1, node, one[of]), _hash(2, two), _hash(3, pair)
+        near, skip, both = _hash(1, node, one[of], bins=self.bins), _hash(2, two, bins=self.bins), _hash(3, pair, bins=self.bins)
         z = weights.take(near, axis=0)
         z += bias.take(node, axis=0)
         z[:n] += weights.take(skip, axis=0)
@@ -243,17 +252,28 @@ class Model:
         if grad is not None:
             z *= (-1 / total)[:, None]
             z[every, child] += 1
-            _scatter(grad[0], node.astype(np.uint16), z, every)
-            _scatter(grad[1], np.concatenate((near, skip, both)), z, np.concatenate((every, every[:n], every[:n])))
+            nodes = _scatter(grad[0], node.astype(np.uint16), z, every)
+            rows = _scatter(grad[1], np.concatenate((near, skip, both)), z, np.concatenate((every, every[:n], every[:n])))
+            if touched is not None:
+                touched += [nodes, rows]
         return out
 
 
-def _scatter(table: np.ndarray, key: np.ndarray, g: np.ndarray, of: np.ndarray) -> None:
-    """table[key] += g[of], with repeated keys."""
-    order = np.argsort(key, kind="stable")
+def _order(key: np.ndarray) -> np.ndarray:
+    """A stable order by key, by radix: half of a wide key at a time."""
+    order = np.argsort(key.astype(np.uint16), kind="stable")
+    return order if key.itemsize == 2 else order.take(np.argsort((key >> np.uint32(16)).astype(np.uint16).take(order), kind="stable"))
+
+
+def _scatter(table: np.ndarray, key: np.ndarray, g: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """table[key] += g[of], with repeated keys; the rows that it changed."""
+    if not len(key):
+        return key
+    order = _order(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     table[key[first]] += np.add.reduceat(g.take(of.take(order), axis=0), first, axis=0)
+    return key[first]
 
 
 def _documents(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -270,22 +290,26 @@ def _documents(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         i = j
 
 
-def train_round(encoded: DataFrame, model: Model) -> np.ndarray:
-    """The mean change of the weights by the tasks' steps over encoded (ids)."""
+def train_round(encoded: DataFrame, model: Model, tasks: int) -> np.ndarray:
+    """The mean change of the weights by the steps of that many tasks at most over encoded (ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = model.flat.copy()
         squares, grad = np.ones_like(flat), np.zeros_like(flat)
-        views, grads, seen = model.views(flat), model.views(grad), 0
+        views, grads, sums, seen = model.views(flat), model.views(grad), model.views(squares), 0
         for batch in batches:
             for _, ids, at in _documents(batch.column(0)):
                 one, two, pair = model.contexts(ids, at)
                 for lo in range(0, len(ids), BATCH):
                     part = slice(lo, lo + BATCH)
-                    grad[:] = 0
-                    model.step(ids[part], one[part], two[part], pair[part], views, grads)
-                    squares += grad * grad
-                    flat += RATE * grad / np.sqrt(squares)
+                    touched: list[np.ndarray] = []
+                    model.step(ids[part], one[part], two[part], pair[part], views, grads, touched)
+                    for weights, slopes, total, rows in zip(views, grads, sums, touched):
+                        g = slopes.take(rows, axis=0)
+                        square = total.take(rows, axis=0) + g * g
+                        total[rows] = square
+                        weights[rows] += RATE * g / np.sqrt(square)
+                        slopes[rows] = 0
                 seen += len(ids)
         if seen:
             change = (flat - model.flat).astype(np.float16)  # what a task learns needs no more digits
@@ -299,7 +323,7 @@ def train_round(encoded: DataFrame, model: Model) -> np.ndarray:
         return pa.RecordBatch.from_arrays([rows["piece"].combine_chunks()[:1], pa.array([sum(seen)], pa.int64()), pa.array([both.astype(np.float16).tobytes()], pa.binary())], ["piece", "seen", "change"])
 
     kind = "piece int, seen bigint, change binary"
-    changes = encoded.select("ids").mapInArrow(run, kind).withColumn("part", F.spark_partition_id() % 64)
+    changes = encoded.select("ids").coalesce(tasks).mapInArrow(run, kind).withColumn("part", F.spark_partition_id() % 64)
     sums = by_group(changes, ["piece", "part"], mean, kind)
     got = by_group(sums, ["piece"], mean, kind).toArrow().sort_by("piece")  # the size of the model
     if not got.num_rows:
@@ -310,10 +334,11 @@ def train_round(encoded: DataFrame, model: Model) -> np.ndarray:
 def fit(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
     top = np.argsort(np.where(lex.ids > 0, lex.ids, 1 << 20))[: int((lex.ids > 0).sum())]
     counts = lex.counts[top].astype(float)
-    model = Model(counts, float(lex.total - counts.sum()))
+    model = Model(counts, float(lex.total - counts.sum()), bins_for(lex.total))
+    tasks = max(2 * encoded.sparkSession.sparkContext.defaultParallelism, -(-lex.total // (rounds * TASK_TOKENS)))
     known = encoded.where("not held_out")
     for r in range(rounds):
-        model.flat = model.flat + train_round(known.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == r), model)
+        model.flat = model.flat + train_round(known.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == r), model, tasks)
     return model
 
 

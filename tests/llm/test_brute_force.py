@@ -491,6 +491,27 @@ def test_language_model_against_plain_loops():
         assert np.allclose(own, wanted, atol=1e-3)
 
 
+def test_language_model_grows_with_the_corpus():
+    """Rows of weights follow the training tokens, and a wide table gives the same sums as loops."""
+    got = [maxent_lm.bins_for(n) for n in (0, 1, 4_000_000, 70_000_000, 125_000_000, 7 * 10**9, 10**13)]
+    assert got == [1 << 16, 1 << 16, 1 << 16, 1 << 17, 1 << 17, 1 << 19, 1 << 19]
+    rng = np.random.default_rng(5)
+    key = rng.integers(0, 1 << 18, 5000).astype(np.uint32)
+    key[::7] = key[0]
+    g, of = rng.normal(size=(300, 16)).astype(np.float32), rng.integers(0, 300, 5000)
+    table, want = np.zeros((1 << 18, 16), np.float32), np.zeros((1 << 18, 16))
+    rows = maxent_lm._scatter(table, key, g, of)
+    np.add.at(want, key, g[of])
+    assert np.allclose(table, want, atol=1e-3) and rows.tolist() == np.unique(key).tolist()
+    model = maxent_lm.Model(np.arange(400, 0, -1).astype(float), 30.0, 1 << 18)
+    ids, at = rng.integers(0, 401, 200).astype(np.uint16), np.array([0, 200])
+    grad, touched = np.zeros_like(model.flat), []
+    model.step(ids, *model.contexts(ids, at), model.views(), model.views(grad), touched)
+    for own, changed in zip(model.views(grad), touched):
+        assert set(np.flatnonzero(np.abs(own).sum(axis=1))) <= set(changed.tolist())
+    assert touched[1].max() >= 1 << 16
+
+
 def test_language_model_learns_what_follows_what(spark):
     """Texts that walk a ring of words: the model beats the base by far on held-out ones, and its score is that of its own steps."""
     names = [f"w{i}" for i in range(50)]
