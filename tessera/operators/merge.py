@@ -76,3 +76,40 @@ def ring_buffer(logs: DataFrame, after: int | None = None, most: int = 500) -> D
 def key_lookup(keys: DataFrame, secret: str) -> DataFrame:
     """The enabled, unrevoked API key of a secret, by its SHA-256."""
     return keys.where((F.col("hash") == F.sha2(F.lit(secret).cast("binary"), 256)) & F.col("enabled") & F.col("revoked_at").isNull())
+
+
+def merge_stores(ours: dict[str, DataFrame], theirs: dict[str, DataFrame], new_id=lambda c: F.concat(F.lit("m-"), c)) -> dict[str, DataFrame]:
+    """documents, chunks, events, entities and links of our store with another's merged in; ids become strings.
+
+    Their document takes the place of our live one of the same rel_path only if it is strictly
+    newer, and then ours goes with its chunks, events and links; else what hangs on theirs hangs
+    on ours.  Entities of one name and type are one.  Their rows get new ids, chunks and links
+    without a parent go, events stay without a document.  Every step is a join on a key.
+
+    documents: id, rel_path, updated_at, archived_at; chunks, events: id, document_id; entities:
+    id, name, type; links: event_id, entity_id.  Other columns of ours and theirs must agree.
+    """
+    text = lambda t: {k: df.withColumns({c: F.col(c).cast("string") for c in df.columns if c == "id" or c.endswith("_id")}) for k, df in t.items()}
+    ours, theirs = text(ours), text(theirs)
+    live = ours["documents"].where("archived_at is null").select("rel_path", F.col("id").alias("__mine"), F.col("updated_at").alias("__at"))
+    met = theirs["documents"].join(live, "rel_path", "left").withColumn("__stay", F.col("__mine").isNotNull() & (F.col("__at") >= F.col("updated_at")))
+    met = met.withColumn("__new", F.when(F.col("__stay"), F.col("__mine")).otherwise(new_id(F.col("id"))))
+    replaced = met.where("__mine is not null and not __stay").select(F.col("__mine").alias("document_id"))
+    ids = met.select(F.col("id").alias("document_id"), F.col("__new").alias("__d"))
+    brought = met.where("not __stay").withColumn("id", F.col("__new")).select(*ours["documents"].columns)
+    out = {"documents": ours["documents"].join(replaced, F.col("id") == replaced["document_id"], "left_anti").unionByName(brought)}
+    for name, how in (("chunks", "inner"), ("events", "left")):
+        if name in ours:
+            theirs_now = theirs[name].join(ids, "document_id", how).withColumns({"document_id": F.col("__d"), "id": new_id(F.col("id"))}).drop("__d")
+            out[name] = ours[name].join(replaced, "document_id", "left_anti").unionByName(theirs_now)
+    own = ours["entities"].groupBy("name", "type").agg(F.min("id").alias("__own"))
+    first = theirs["entities"].groupBy("name", "type").agg(F.min("id").alias("__first")).join(own, ["name", "type"], "left")
+    named = theirs["entities"].join(first, ["name", "type"]).withColumn("__e", F.coalesce("__own", new_id(F.col("__first"))))
+    fresh = named.where("__own is null and id = __first").withColumn("id", F.col("__e")).select(*ours["entities"].columns)
+    out["entities"] = ours["entities"].unionByName(fresh)
+    gone = ours["events"].join(replaced, "document_id", "left_semi").select(F.col("id").alias("event_id"))
+    known = theirs["events"].select(F.col("id").alias("event_id")).distinct()
+    moved = theirs["links"].join(known, "event_id", "left_semi").join(named.select(F.col("id").alias("entity_id"), "__e"), "entity_id")
+    moved = moved.withColumns({"event_id": new_id(F.col("event_id")), "entity_id": F.col("__e")}).drop("__e").dropDuplicates(["event_id", "entity_id"])
+    out["links"] = ours["links"].join(gone, "event_id", "left_anti").unionByName(moved)
+    return out

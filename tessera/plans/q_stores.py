@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.functions import model_output as M
@@ -87,3 +89,32 @@ def global_ranks(spark, sf_dir):
 @query("SELECT c_custkey FROM customer WHERE c_acctbal >= 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def optional_filters(spark, sf_dir):
     return rows.filters(table(spark, sf_dir, "customer"), rows.one_of("c_mktsegment", ["BUILDING", "MACHINERY"]), rows.one_of("c_nationkey", None), F.col("c_acctbal") >= 5000).select("c_custkey")
+
+
+@query("""WITH d AS (SELECT c_custkey AS k, c_custkey % 3 AS r, c_acctbal >= 5000 AS newer FROM customer), gone AS (SELECT k FROM d WHERE r = 2 AND NOT newer),
+ids AS (SELECT k, CASE WHEN r = 2 AND newer THEN k::varchar ELSE 'm-' || k END AS id FROM d WHERE r <> 1),
+own AS (SELECT p_name, p_brand, min(p_partkey::varchar) AS id FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL), fresh AS (SELECT p_name, p_brand, 'm-' || min(p_partkey::varchar) AS id FROM part GROUP BY ALL),
+names AS (SELECT p_partkey, coalesce(o.id, f.id) AS id FROM part p JOIN fresh f ON f.p_name = p.p_name AND f.p_brand = p.p_brand LEFT JOIN own o ON o.p_name = p.p_name AND o.p_brand = p.p_brand)
+SELECT 'document' AS kind, k::varchar AS id, NULL AS other FROM d WHERE r <> 0 AND k NOT IN (FROM gone) UNION ALL SELECT 'document', id, NULL FROM ids WHERE starts_with(id, 'm-')
+UNION ALL SELECT 'event', o_orderkey::varchar, o_custkey::varchar FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey NOT IN (FROM gone) UNION ALL SELECT 'event', 'm-' || o_orderkey, ids.id FROM orders LEFT JOIN ids ON k = o_custkey WHERE o_orderkey % 2 = 0
+UNION ALL SELECT 'chunk', o_orderkey::varchar, o_custkey::varchar FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey NOT IN (FROM gone) UNION ALL SELECT 'chunk', 'm-' || o_orderkey, ids.id FROM orders JOIN ids ON k = o_custkey WHERE o_orderkey % 2 = 0
+UNION ALL SELECT 'entity', p_partkey::varchar, NULL FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT DISTINCT 'entity', id, NULL FROM names WHERE starts_with(id, 'm-')
+UNION ALL SELECT DISTINCT 'link', l_orderkey::varchar, l_partkey::varchar FROM lineitem WHERE l_orderkey % 2 = 1 AND l_partkey % 2 = 0 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM gone))
+UNION ALL SELECT DISTINCT 'link', 'm-' || l_orderkey, n.id FROM lineitem JOIN names n ON n.p_partkey = l_partkey WHERE l_orderkey % 2 = 0""")
+def merged_stores(spark, sf_dir):
+    """Ours: two thirds of the customers as documents, odd orders, even parts; theirs: another two thirds, even orders, all parts."""
+    c, o, p, l = (table(spark, sf_dir, t) for t in ("customer", "orders", "part", "lineitem"))
+
+    def store(docs, at, odd: int, parts, links):
+        hung = o.where(F.col("o_orderkey") % 2 == odd).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"))
+        return {
+            "documents": docs.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("rel_path"), at.alias("updated_at"), F.lit(None).cast("string").alias("archived_at")),
+            "events": hung, "chunks": hung, "entities": parts.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type")),
+            "links": links.where(F.col("l_orderkey") % 2 == odd).select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("entity_id")).distinct(),
+        }
+
+    ours = store(c.where("c_custkey % 3 <> 0"), F.col("c_acctbal"), 1, p.where("p_partkey % 2 = 0"), l.where("l_partkey % 2 = 0"))
+    got = merge.merge_stores(ours, store(c.where("c_custkey % 3 <> 1"), F.lit(5000.0), 0, p, l))
+    shown = {"documents": ("document", "id", None), "events": ("event", "id", "document_id"), "chunks": ("chunk", "id", "document_id"), "entities": ("entity", "id", None), "links": ("link", "event_id", "entity_id")}
+    parts = [got[t].select(F.lit(kind).alias("kind"), F.col(a).alias("id"), (F.col(b) if b else F.lit(None).cast("string")).alias("other")) for t, (kind, a, b) in shown.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
