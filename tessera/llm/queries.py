@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, decontamination, embedding_dedup, license_scan, line_dedup, maxent_lm, nbsvm, ngram_join, secrets, substring_dedup
+from tessera.llm import byte_bpe, decontamination, embedding_dedup, license_scan, line_dedup, maxent_lm, nbsvm, ngram_join, secrets, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_maxent_scores, op4_secret_scan, op5_substring_dedup, op6_embedding_dedup, op7_license_scan, op8_ngram_join, op9_byte_bpe, op10_decontamination)}
+def op11_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_maxent_scores, op4_secret_scan, op5_substring_dedup, op6_embedding_dedup, op7_license_scan, op8_ngram_join, op9_byte_bpe, op10_decontamination, op11_shuffle_shards)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op10_decontamination": decontamination.ORACLE}
