@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, decontamination, divergence, embedding_dedup, license_scan, line_dedup, maxent_lm, nbsvm, ngram_join, secrets, sharding, substring_dedup
+from tessera.llm import byte_bpe, collocations, decontamination, divergence, embedding_dedup, license_scan, line_dedup, maxent_lm, nbsvm, ngram_join, secrets, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_maxent_scores, op4_secret_scan, op5_substring_dedup, op6_embedding_dedup, op7_license_scan, op8_ngram_join, op9_byte_bpe, op10_decontamination, op11_shuffle_shards, op12_source_divergence)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_maxent_scores, op4_secret_scan, op5_substring_dedup, op6_embedding_dedup, op7_license_scan, op8_ngram_join, op9_byte_bpe, op10_decontamination, op11_shuffle_shards, op12_source_divergence, op13_collocations)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op10_decontamination": decontamination.ORACLE, "op12_source_divergence": divergence.ORACLE}
+ORACLE: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op10_decontamination": decontamination.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_collocations": collocations.ORACLE}
