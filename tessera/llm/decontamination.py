@@ -14,7 +14,8 @@ texts only where the starts (20 bytes each) are too large for a broadcast.  In i
 words at a start are compared with the window by 128 bits of hashes.
 
 Null texts and items have no words.  Rows that repeat both id and text share a result.
-An item with fewer than n words, but some, is one window.
+An item with fewer than n words, but some, is one window.  Only A-Z are folded: other letters
+in either case are different, wherever they stand in a word.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.native_text import ascii_lower, folded_words, held, if_small, unused, words
+from tessera.llm.native_text import ascii_lower, held, if_small, unused, words
 from tessera.llm.textkit import Scratch
 
 WINDOW = 13
@@ -39,24 +40,24 @@ def _hashes(window: Column) -> list[Column]:
 
 
 def windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """window (words joined by blanks), x, y (its hashes), folded (its words in lower case beyond ASCII too), items (ids as strings): the distinct windows."""
+    """window (words joined by blanks), x, y (its hashes), words, items (ids as strings): the distinct windows."""
     own = items.select(F.col("item_id").cast("string").alias("item"), words(ascii_lower(F.col("text"))).alias("own")).where(F.size("own") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("own") - (n - 1), F.lit(1)))
     cut = own.select("item", F.explode(F.transform(starts, lambda s: F.slice("own", s, n))).alias("cut"))
     per = cut.select("item", F.array_join("cut", " ").alias("window")).groupBy("window").agg(F.collect_set("item").alias("items"))
-    return per.select("*", *_hashes(F.col("window")), F.split(F.lower("window"), " ").alias("folded"))
+    return per.select("*", *_hashes(F.col("window")), F.split("window", " ").alias("words"))
 
 
 def frequencies(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """term, n: how often each term of the windows occurs in the documents, if it does."""
-    terms = wins.select(F.explode("folded").alias("term")).distinct()
-    tokens = docs.select(F.explode(folded_words(F.col("text"))).alias("term"))
+    terms = wins.select(F.explode("words").alias("term")).distinct()
+    tokens = docs.select(F.explode(words(ascii_lower(F.col("text")))).alias("term"))
     return tokens.join(if_small(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, text_hash, at, term: every place of the terms."""
-    tokens = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(folded_words(F.col("text"))).alias("at", "term"))
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(words(ascii_lower(F.col("text")))).alias("at", "term"))
     return tokens.join(if_small(terms, BROADCAST_ROWS), "term")
 
 
@@ -67,7 +68,7 @@ def _same_document(left: str = "", right: str = "__") -> Column:
 def phrase_starts(docs: DataFrame, wins: DataFrame, scratch: Scratch, lists: int = LISTS) -> DataFrame:
     """doc_id, text_hash, window, start: places where the lists of the window's rarest terms agree."""
     often = scratch.keep(frequencies(docs, wins), "often")
-    at = wins.select("window", F.posexplode("folded").alias("offset", "term")).join(often, "term", "left")
+    at = wins.select("window", F.posexplode("words").alias("offset", "term")).join(often, "term", "left")
     ranked = at.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("rank"))
     ranked = scratch.keep(ranked.where("rank[0].n > 0").select("window", F.slice("rank", 1, lists).alias("rank")), "ranked")
     listed = scratch.keep(postings(docs, ranked.select(F.explode("rank.term").alias("term")).distinct()), "postings")
@@ -89,7 +90,7 @@ def near_starts(docs: DataFrame, wins: DataFrame, scratch: Scratch, share: float
     has one in reach is asked.  Words that no document holds count among them.
     """
     often = scratch.keep(frequencies(docs, wins), "near_often")
-    each = wins.select("window", F.size("folded").alias("length"), F.explode(F.array_distinct("folded")).alias("term")).join(often, "term", "left")
+    each = wins.select("window", F.size("words").alias("length"), F.explode(F.array_distinct("words")).alias("term")).join(often, "term", "left")
     ranked = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("rank"), F.first("length").alias("length"))
     spare = F.floor((1 - share) * F.size("rank") + 1e-9).cast("int")
     chosen = ranked.select("window", "length", F.explode(F.slice("rank", F.lit(1), F.least(spare + 1, F.size("rank")))).alias("one")).where("one.n > 0")
@@ -115,7 +116,7 @@ def _same_words(own: Column, c: Column) -> Column:
 
 def _close(own: Column, c: Column, share: float, slack: int) -> Column:
     """Whether the share of the window's distinct words is there, from `slack` before to `slack` after."""
-    low, wanted = F.greatest(c["start"] - slack, F.lit(0)), F.array_distinct(c["folded"])
+    low, wanted = F.greatest(c["start"] - slack, F.lit(0)), F.array_distinct(c["words"])
     around = F.slice(own, low + 1, c["start"] + c["length"] + slack - low)
     return (c["start"] < F.size(own)) & (F.size(F.array_intersect(wanted, around)) / F.size(wanted) >= share - 1e-9)
 
@@ -130,12 +131,12 @@ def matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, proximity: float
     docs = docs.select("doc_id", "text")
     wins = scratch.keep(windows(items, n), "windows")
 
-    known = wins.select("x", "y", F.size("folded").alias("length"), "window", "folded", "items")
+    known = wins.select("x", "y", F.size("words").alias("length"), "window", "words", "items")
 
     def told(asked: DataFrame, own: Column, test, kind: str) -> DataFrame:
         found = held(own, lambda words_: F.filter("asked", lambda c: test(words_, c)))
         one = asked.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(found).alias("c")).select("doc_id", "text_hash", "c.start", "c.x", "c.y")
-        full = one.join(if_small(known.drop("folded"), BROADCAST_ROWS), ["x", "y"])
+        full = one.join(if_small(known.drop("words"), BROADCAST_ROWS), ["x", "y"])
         return full.select("doc_id", "text_hash", "start", "length", "window", "items", F.lit(kind).alias("kind"))
 
     def full(starts: DataFrame, *more: str) -> DataFrame:
@@ -146,8 +147,8 @@ def matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, proximity: float
     found = told(asked, words(ascii_lower(F.col("text"))), _same_words, "phrase")
     if proximity is None:
         return found
-    asked = _asked(docs, full(near_starts(docs, wins, scratch, proximity, slack), "folded"), F.struct(*one, "folded"), 24 + 16 * n, scratch, "near")
-    near = told(asked, folded_words(F.col("text")), lambda own, c: _close(own, c, proximity, slack), "near")
+    asked = _asked(docs, full(near_starts(docs, wins, scratch, proximity, slack), "words"), F.struct(*one, "words"), 24 + 16 * n, scratch, "near")
+    near = told(asked, words(ascii_lower(F.col("text"))), lambda own, c: _close(own, c, proximity, slack), "near")
     at = found.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "text_hash", "window", "start")])
     same_place = _same_document() & (F.col("window") == F.col("__window")) & (F.abs(F.col("start") - F.col("__start")) < F.col("length"))
     return found.unionByName(near.join(at, same_place, "left_anti"))

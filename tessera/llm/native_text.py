@@ -21,11 +21,6 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(text, SEPARATORS), ""), F.array().cast("array<string>"))
 
 
-def folded_words(text: Column) -> Column:
-    """words() of the text in lower case beyond ASCII too: equal words stay equal and keep their places, so it serves to find candidates."""
-    return words(F.lower(text))
-
-
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if a count finds at most that many rows; else as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

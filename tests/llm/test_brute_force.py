@@ -358,6 +358,29 @@ def test_posting_lists_hold_the_rarest_terms_only(spark):
     assert got == {(1, 2)} and listed == {("c", 1, 4), ("b", 1, 3), ("b", 2, 1), ("b", 2, 3)}
 
 
+def test_only_ascii_letters_are_folded(spark):
+    """Folding beyond ASCII depends on what stands around a letter (a final sigma), so equal words would part."""
+    tail = " " + " ".join(f"w{i}" for i in range(11))
+    items = [(1, "ΟΔΟΣ ΑΛΦΑ" + tail), (2, "ΟΔΟΣ:ΑΛΦΑ" + tail.upper()), (3, "İSTANBUL STRASSE" + tail), (4, "ß é" + tail), (5, "x ΑΣ")]
+    texts = ["ΟΔΟΣ.ΑΛΦΑ" + tail, "οδος αλφα" + tail, "İstanbul-strasse" + tail, "SS É" + tail, "ß,É" + tail, "y x ΑΣ.ΑΣΑ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        w, hit, of = words(t), set(), set()
+        for item, body in items:
+            own = words(body)
+            for win in [own[j : j + 13] for j in range(max(1, len(own) - 12))]:
+                for s in range(len(w) - len(win) + 1):
+                    if w[s : s + len(win)] == win:
+                        hit |= set(range(s, s + len(win)))
+                        of.add(item)
+        want[i] = (len(w), len(hit), len(of))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.contamination_digests(docs, table).collect()}
+    assert got == want and want[0] == (13, 13, 2) and want[5] == (4, 2, 1)
+    assert {r["doc_id"] for r in decontamination.decontaminate(docs, table).collect()} == {i for i, (n, hit, _) in want.items() if not (hit and 20 * hit >= n)}
+
+
 def test_proximity(spark):
     item = prose(13)
     near = item.split()
