@@ -50,7 +50,7 @@ def log_factorial(n: Column) -> Column:
     x = n.cast("double")
     series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
     small = F.array(*[F.lit(math.log(math.factorial(k))) for k in range(10)])
-    return F.when(x < 10, F.get(small, n.cast("int"))).otherwise(series)
+    return F.when(x < 10, F.get(small, F.least(n, F.lit(9)).cast("int"))).otherwise(series)
 
 
 def hypergeometric(good: Column, bad: Column, drawn: Column, *seed: Column) -> Column:

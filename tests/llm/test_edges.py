@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import byte_bpe, decontamination, embedding_dedup, license_scan, line_dedup, maxent_lm, nbsvm, ngram_join, secrets, substring_dedup
+from tessera.llm import byte_bpe, collocations, decontamination, divergence, embedding_dedup, license_scan, line_dedup, maxent_lm, nbsvm, ngram_join, secrets, sharding, substring_dedup
 
 LONG = "word one two three four five six seven. " * 400 + "x" * 5_000
 ROWS = [(1, None), (2, ""), (3, "   \n\n"), (4, LONG), (5, "alpha beta gamma delta epsilon zeta eta"), (5, "alpha beta gamma delta epsilon zeta eta"), (6, "alpha beta gamma delta epsilon zeta eta"), (None, "alpha beta gamma delta epsilon zeta eta"), (None, None), (7, "é ß 漢字 😀"), (8, "All rights reserved. token = abcdef123456")]
@@ -35,6 +35,7 @@ CASES = {
     "ngrams": lambda d, l, i: ngram_join.join(d),
     "bpe": lambda d, l, i: byte_bpe.token_digests(d),
     "benchmark": lambda d, l, i: decontamination.contamination_digests(d, i),
+    "shards": lambda d, l, i: sharding.shard_table(d),
 }
 
 
@@ -88,6 +89,24 @@ def test_what_each_stage_drops(spark, tmp_path):
     assert set(kept) == {1, 4, 5}
 
 
+def test_divergence_of_nulls_and_repeats(spark, docs):
+    assert divergence.source_report(docs).collect() == []  # one source, 30 documents for a term
+    odd = spark.createDataFrame([(None, None, None), ("a", None, None), ("A b", "", "s"), ("a b", "", "s"), (None, "en", "x"), ("1 2", "en", "y")], "text string, lang string, source string").withColumn("term", F.lit(1)).withColumn("n", F.lit(2))
+    got = divergence.divergence(odd, min_docs=2)
+    # a: 1 of 1 in source '', 2 of 4 in source s; b: 0 and 2; N 1 and 4, V 2
+    p = lambda c, n: 1 + 10**9 * (c + 5) // (n + 10)
+    value = abs(p(1, 1) - p(2, 4)) + abs(p(0, 1) - p(2, 4))
+    assert sorted(map(tuple, got["pairs"].collect())) == [("", "", "s", value), ("en", "x", "y", 0)]
+    assert divergence.source_report(odd.where("false")).collect() == []
+
+
+def test_collocations_of_nulls_and_repeats(spark, docs):
+    assert collocations.collocations(docs).count() > 0  # the long text repeats its words 400 times
+    odd = spark.createDataFrame([(None, None), ("a b", None), ("A\t b.a b", None), ("", "en"), ("x,y;x:y!x?y", "en")], "text string, lang string").withColumn("k", F.lit(1)).withColumn("phrase", F.lit(2))
+    assert [tuple(r) for r in collocations.collocations(odd, least=2).collect()] == [("und", 1, "a b", 3, 3, 3, 6, 2000)]
+    assert collocations.collocations(odd.where("false")).collect() == []
+
+
 def test_vectors(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, float("nan")]), (4, [1.0, 2.0]), (5, [2.0, 4.0]), (None, [1.0, 2.0]), (6, [1.0, None]), (7, [1.0, 2.0, 3.0]), (8, []), (9, [float("inf"), 1.0]), (10, [1e-300, 2e-300]), (11, [2.0, -1.0])]
     v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("node", F.lit(1))
