@@ -160,7 +160,7 @@ def answers(spark, sf_dir):
 # --- search ------------------------------------------------------------------
 
 _ASKED = ("src1", "the", "tion")
-_LIVE = """ids AS (SELECT doc_id AS k, text, source, lang, embedding::double[] AS v, list_cosine_similarity(embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)) AS cos FROM documents JOIN embeddings ON vec_id = doc_id),
+_LIVE = """ids AS (SELECT doc_id AS k, text, source, lang, embedding::double[] AS v, list_cosine_similarity(embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)) AS cos FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 ev AS (SELECT * FROM ids WHERE k NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND source <> 'src2'),
 li AS (SELECT k AS event_id, source AS entity_id FROM ev UNION SELECT k, 'b' || k % 97 FROM ev),
 names AS (SELECT DISTINCT entity_id FROM li),
@@ -175,8 +175,8 @@ _RERANK = " + ".join(f"(CASE WHEN contains(lower(concat_ws(' ', lang, '', text))
 
 
 def _searchable(spark, sf_dir):
-    """Documents as events of their source and of one of 97 groups; toxic ones and those of one source are archived."""
-    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text", "source", "lang").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), "embedding"), "k")
+    """Documents, with or without a vector, as events of their source and of one of 97 groups; toxic ones and those of one source are archived."""
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text", "source", "lang").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), "embedding"), "k", "left")
     events = ids.select(F.col("k").alias("event_id"), F.col("k").alias("document_id"), F.col("source").alias("source_id"), F.lit(None).cast("string").alias("deleted_at"), F.col("k").alias("chunk_id"), F.col("lang").alias("title"), F.lit("").alias("summary"), F.col("text").alias("content"), F.col("embedding").alias("title_vector"), F.col("embedding").alias("content_vector"))
     group = F.concat(F.lit("b"), F.col("k") % 97)
     links = ids.select(F.col("k").alias("event_id"), F.explode(F.array("source", group)).alias("entity_id"))
@@ -194,7 +194,7 @@ def _sections(found):
     return found[0].select("chunk_id", "place", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_LIVE} coarse AS (SELECT * FROM ev WHERE k IN (FROM seeds) OR k IN (FROM one) ORDER BY cos DESC, k LIMIT 100),
+@query(f"""WITH {_LIVE} coarse AS (SELECT * FROM ev WHERE cos IS NOT NULL AND (k IN (FROM seeds) OR k IN (FROM one)) ORDER BY cos DESC, k LIMIT 100),
 best AS (SELECT k, cos, {_RERANK} + cos AS r FROM coarse ORDER BY r DESC, k LIMIT 10)
 SELECT k AS chunk_id, (row_number() OVER (ORDER BY r DESC, k) - 1)::int AS place, round(cos, 6) AS score FROM best""")
 def multi_route_search(spark, sf_dir):
@@ -202,8 +202,8 @@ def multi_route_search(spark, sf_dir):
     return _sections(S.multi_search(**_searchable(spark, sf_dir), top_k=10))
 
 
-@query(f"""WITH {_LIVE} fseeds AS (SELECT event_id FROM li WHERE entity_id IN (FROM bytext) UNION SELECT event_id FROM titled), ranked AS (SELECT * FROM ev WHERE k IN (FROM fseeds) OR k IN (SELECT event_id FROM li WHERE entity_id IN (SELECT entity_id FROM li WHERE event_id IN (FROM fseeds) AND entity_id NOT IN (FROM bytext))) ORDER BY cos DESC, k LIMIT 100),
-best AS (SELECT k, cos, row_number() OVER (ORDER BY cos DESC, k) - 1 AS place FROM ranked ORDER BY cos DESC, k LIMIT 5), more AS (SELECT k, cos FROM ev WHERE k NOT IN (SELECT k FROM best) ORDER BY cos DESC, k LIMIT 3)
+@query(f"""WITH {_LIVE} fseeds AS (SELECT event_id FROM li WHERE entity_id IN (FROM bytext) UNION SELECT event_id FROM titled), ranked AS (SELECT * FROM ev WHERE cos IS NOT NULL AND (k IN (FROM fseeds) OR k IN (SELECT event_id FROM li WHERE entity_id IN (SELECT entity_id FROM li WHERE event_id IN (FROM fseeds) AND entity_id NOT IN (FROM bytext)))) ORDER BY cos DESC, k LIMIT 100),
+best AS (SELECT k, cos, row_number() OVER (ORDER BY cos DESC, k) - 1 AS place FROM ranked ORDER BY cos DESC, k LIMIT 5), more AS (SELECT k, cos FROM ev WHERE cos IS NOT NULL AND k NOT IN (SELECT k FROM best) ORDER BY cos DESC, k LIMIT 3)
 SELECT k AS chunk_id, place::int AS place, round(cos, 6) AS score FROM best UNION ALL SELECT k, (4 + row_number() OVER (ORDER BY cos DESC, k))::int, round(cos, 6) FROM more""")
 def multi_route_search_fast(spark, sf_dir):
     """Entities by text alone; a reranker that answers nothing leaves the coarse order; vector hits fill up."""
@@ -232,7 +232,7 @@ def expand_one_then_target(spark, sf_dir):
     return _expanded(spark, sf_dir, "multi1")
 
 
-@query(f"""WITH {_CHAIN} a AS (SELECT k FROM ev WHERE k IN (FROM s0) OR k IN (FROM p1) ORDER BY cos DESC, k LIMIT 5), e2 AS (SELECT DISTINCT entity_id FROM g WHERE event_id IN (FROM a) AND entity_id NOT IN (FROM e1)),
+@query(f"""WITH {_CHAIN} a AS (SELECT k FROM ev WHERE cos IS NOT NULL AND (k IN (FROM s0) OR k IN (FROM p1)) ORDER BY cos DESC, k LIMIT 5), e2 AS (SELECT DISTINCT entity_id FROM g WHERE event_id IN (FROM a) AND entity_id NOT IN (FROM e1)),
 p2 AS (SELECT DISTINCT event_id FROM g WHERE entity_id IN (FROM e2) AND event_id NOT IN (FROM s0) AND event_id NOT IN (FROM p1)) SELECT event_id, 1 AS part FROM p1 UNION ALL SELECT event_id, 2 FROM p2""")
 def expand_reseeded(spark, sf_dir):
     return _expanded(spark, sf_dir, "hopllm")

@@ -79,18 +79,19 @@ def entity_name_recall(spark, sf_dir):
     return recall.entities_by_names(table(spark, sf_dir, "part"), "p_name", ["cold", "Blue"]).select("p_partkey")
 
 
-_SECTIONS = """c AS (SELECT doc_id, e.embedding, d.text, d.n_chars FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"""
+_SECTIONS = """c AS (SELECT doc_id, e.embedding, d.text, d.n_chars FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
 
 @query(f"""WITH {_SECTIONS}, q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),
-v AS (SELECT doc_id, list_cosine_similarity(embedding::double[], qv::double[]) AS v FROM c, q ORDER BY v DESC, doc_id LIMIT 40),
+v AS (SELECT doc_id, list_cosine_similarity(embedding::double[], qv::double[]) AS v FROM c, q WHERE embedding IS NOT NULL ORDER BY v DESC, doc_id LIMIT 40),
 k AS (SELECT doc_id, m / 9.0 AS w FROM (SELECT doc_id, n_chars, {" + ".join(f"(CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END)" for w in WORDS)} AS m FROM c) WHERE m > 0 ORDER BY m DESC, n_chars, doc_id LIMIT 40),
 h AS (SELECT doc_id, coalesce(v, w * 0.6) AS score FROM v FULL JOIN k USING (doc_id)),
 r AS (SELECT h.doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, h.doc_id) AS n FROM h JOIN documents d ON d.doc_id = h.doc_id)
 SELECT doc_id, round(score, 6) AS score FROM r WHERE n <= 3 ORDER BY r.score DESC, doc_id LIMIT 10""")
 def hybrid_search(spark, sf_dir):
+    """Documents without a vector too: the keyword route asks all of them."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.lit("").alias("heading"), F.col("text").alias("content"), F.col("n_chars").alias("rank"))
-    chunks = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+    chunks = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
     out = recall.hybrid(chunks, _query_vector(spark, sf_dir), list(WORDS), 10)
     return out.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
