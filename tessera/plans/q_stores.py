@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tessera.functions import model_output as M
-from tessera.operators import ingest, manifest, merge, rows, stats
-from tessera.plans.registry import query, table
+from tessera.operators import ingest, manifest, merge, rows, sequence, stats
+from tessera.plans import q_text  # noqa: F401 - its SQL is used below
+from tessera.plans.registry import ORACLE, query, table
+from tessera.plans.storage import new_folder
 from tessera.sources import files
 
 
@@ -80,10 +82,28 @@ def run_totals(spark, sf_dir):
     return stats.run_totals(runs)
 
 
-@query("SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY lang, n_chars, doc_id) - 1)::int AS place FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY source, lang, n_chars, doc_id) - 1 AS place FROM documents")
 def global_ranks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), "doc_id", "lang", F.col("n_chars").alias("rank"), F.col("doc_id").alias("pos"))
-    return ingest.global_ranks(d, "lang").select(F.col("source_id").alias("source"), "doc_id", "place")
+    return sequence.global_ranks(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), "source", "lang", "n_chars", "doc_id").select("doc_id", "place")
+
+
+@query("""WITH RECURSIVE d AS (SELECT doc_id, ceil(length(text) / 2)::bigint AS n, row_number() OVER (ORDER BY lang, doc_id) AS i FROM documents),
+w AS (SELECT i, doc_id, n AS s, 0::bigint AS batch FROM d WHERE i = 1 UNION ALL SELECT d.i, d.doc_id, CASE WHEN s + n > 2000 THEN n ELSE s + n END, batch + (s + n > 2000)::bigint FROM w JOIN d ON d.i = w.i + 1)
+SELECT doc_id, batch FROM w""")
+def token_batches(spark, sf_dir):
+    """Texts for an embedding service: batches of at most 2,000 estimated tokens over the whole table."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("size"))
+    return sequence.budget_batches(d, F.ceil(F.col("size") / 2), 2000, "lang", "doc_id").select("doc_id", "batch")
+
+
+@query(f"SELECT * FROM ({ORACLE['chunk_documents']}) WHERE doc_id % 10 <> 0")
+def ingested_chunks(spark, sf_dir):
+    """Two commits of a store: all documents, a tenth of them in another state; then that tenth as it is, and another tenth removed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), "text")
+    store = ingest.open_store(spark, new_folder(spark, "store"), "bigint", 4)
+    ingest.ingest_batch(store, d.withColumn("text", F.when(F.col("doc_id") % 10 == 1, F.concat(F.lit("# Old\n"), "text")).otherwise(F.col("text"))))
+    version = ingest.ingest_batch(store, d.where("doc_id % 10 = 1"), d.where("doc_id % 10 = 0"))
+    return store.read("chunks", version).select("doc_id", "rank", "heading", F.length("content").alias("size"), F.md5(F.col("content").cast("binary")).alias("content"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal >= 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
