@@ -11,7 +11,7 @@ from tessera.operators import ingest, manifest, merge, rows, sequence, stats
 from tessera.plans import q_text  # noqa: F401 - its SQL is used below
 from tessera.plans.registry import ORACLE, query, table
 from tessera.plans.storage import new_folder
-from tessera.sources import files
+from tessera.sources import files, readers, tree
 
 
 @query("SELECT event_id, user_id FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 500) WHERE event_id > 9700")
@@ -96,6 +96,21 @@ def token_batches(spark, sf_dir):
     return sequence.budget_batches(d, F.ceil(F.col("size") / 2), 2000, "lang", "doc_id").select("doc_id", "batch")
 
 
+@query("SELECT lang, source, count(*) AS n_lines, md5(string_agg(md5(text), chr(10) ORDER BY doc_id) || chr(10)) AS content FROM documents GROUP BY ALL")
+def files_read_back(spark, sf_dir):
+    """The hashes of each language's and source's texts written as a file, listed as a tree, read by the reader that takes it."""
+    d, out = table(spark, sf_dir, "documents"), new_folder(spark, "files")
+    lines = d.select(F.col("lang").alias("l"), F.col("source").alias("s"), "doc_id", F.md5(F.col("text").cast("binary")).alias("value")).repartition("l", "s").sortWithinPartitions("l", "s", "doc_id")
+    lines.select("value", "l", "s").write.partitionBy("l", "s").option("maxRecordsPerFile", 0).text(out)
+    listed, _ = tree.list_tree(spark, out, ["txt"])
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(out)
+    name = lambda path: F.element_at(F.split(path, "/"), -1)
+    found = found.join(listed.select("name"), name(F.col("path")) == F.col("name"), "left_semi")
+    got = readers.read_files(found)
+    part = lambda k: F.regexp_extract("path", f"/{k}=([^/]*)/", 1)
+    return got.select(part("l").alias("lang"), part("s").alias("source"), F.regexp_count("text", F.lit("\n")).cast("bigint").alias("n_lines"), F.md5(F.col("text").cast("binary")).alias("content"))
+
+
 @query(f"SELECT * FROM ({ORACLE['chunk_documents']}) WHERE doc_id % 10 <> 0")
 def ingested_chunks(spark, sf_dir):
     """Two commits of a store: all documents, a tenth of them in another state; then that tenth as it is, and another tenth removed."""
