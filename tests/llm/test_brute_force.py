@@ -195,6 +195,31 @@ def test_winnowing_thins_positions(spark):
         assert 0.8 * 2 / (w + 1) < len(at) / 3000 < 1.2 * 2 / (w + 1) and max(np.diff(at)) <= w
 
 
+def test_a_match_is_extended_over_the_lines_around_it(spark):
+    """One match deletes as many lines as it extends over, past the window that chose its position; far fewer rows than windows do it."""
+    shared = [f"shared {i} {RNG.random()}" for i in range(600)]
+    docs = [(d, "\n".join([f"own {d} {i}" for i in range(5)] + shared + [f"end {d}"])) for d in range(1, 4)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for w in (2, 5, 10):
+        scratch = textkit.Scratch(spark)
+        got = line_dedup.repeated_lines(df, w, 0, scratch).collect()
+        assert {r["doc_id"] for r in got} == {2, 3} and len(got) < 2 * 600 * 2.6 / (w + 1)
+        widths = [r["high"] - r["low"] + 1 for r in got]
+        assert max(widths) == 2 * w - 1 and min(widths) >= w
+        for d in (2, 3):
+            lines = set().union(*(range(r["low"], r["high"] + 1) for r in got if r["doc_id"] == d))
+            assert lines == set(range(5, 605))
+        assert spark.read.parquet(scratch.paths["matches"]).where("span is not null").count() <= 6 * w  # only windows over an end of the run
+
+
+def test_rows_of_one_id_have_their_own_lines(spark):
+    rows = [(1, "a\nb\nc"), (2, "x\na\nb"), (2, "b\nc\ny\na\nb"), (2, "q\nr"), (3, "q\nr\nb\nc"), (None, "a\nb"), (4, "l" * 300), (5, "k\n" + "l" * 300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.dedup(df).collect())
+    assert got == [(0, "a\nb"), (1, "a\nb\nc"), (2, "q\nr"), (2, "x"), (2, "y"), (3, ""), (4, "l" * 300), (5, "k")]
+    assert sorted(r["text"] for r in line_dedup.dedup(df, 2, 0).where("doc_id > 3").collect()) == ["k\n" + "l" * 300, "l" * 300]
+
+
 def test_bpe_equals_the_library(spark, texts):
     tiktoken, tokens = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     with open(tokens.path("byte_bpe_50k.tiktoken"), "rb") as f:
