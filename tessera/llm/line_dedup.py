@@ -35,6 +35,8 @@ from tessera.llm.textkit import Scratch, hash_spans, mix, slices, strings
 
 WINDOW = 2
 LONG_LINE = 200
+#: Most bytes of the table of lines to delete that is broadcast; beyond it the texts are shuffled to theirs.
+BROADCAST_BYTES = 32 << 20
 
 
 def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,6 +214,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) ->
 
     mine = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     got = kept.asNondeterministic()(docs["text"], F.col(f"{gone_name}.low"), F.col(f"{gone_name}.high"))  # so that a filter above does not run it again
+    held_bytes = seen.select(F.sum(F.size(f"{gone_name}.low") * 16 + 64)).first()[0] or 0
+    seen = F.broadcast(seen) if held_bytes <= BROADCAST_BYTES else seen.hint("merge")
     same = (docs["doc_id"] == F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_hash))
     joined = docs.join(seen, same, "left").select(*[docs[c] for c in mine], got.alias(got_name))
     return joined.select(*[F.col(f"{got_name}.text").alias("text") if c == "text" else c for c in mine], f"{got_name}.n_lines", f"{got_name}.n_deleted")
