@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vector as V
 from tessera.operators import graph, recall
+from tessera.operators.gram_index import GramIndex, either_contains
 from tessera.operators.rows import diversify, in_order, minus, ordered_union
-from tessera.plans.registry import query, table
+from tessera.operators.vector_index import VectorIndex
+from tessera.plans.registry import ORACLE, query, table
+from tessera.plans.storage import new_folder
 
 WORDS = ("tion", "the", "und")
 _COS = "list_cosine_similarity(e.embedding::double[], q.embedding::double[])"
@@ -68,6 +71,30 @@ def keyword_search(spark, sf_dir):
     return out.select("doc_id", "match_count", F.round("score", 6).alias("score"))
 
 
+@query(ORACLE["keyword_search"])
+def indexed_keyword_search(spark, sf_dir):
+    """The same through a stored index of character grams; only texts that may hold a word are read."""
+    index = GramIndex.build(table(spark, sf_dir, "documents"), new_folder(spark, "grams"), "doc_id", ["source", "text"])
+    return index.search(list(WORDS), 50, "source", "text", "n_chars", "doc_id").select("doc_id", "match_count", F.round("score", 6).alias("score"))
+
+
+@query(ORACLE["cosine_topk"])
+def indexed_topk(spark, sf_dir):
+    """The same through a stored index of cells; only cells that may hold one of the best are read."""
+    index = VectorIndex.build(table(spark, sf_dir, "embeddings"), new_folder(spark, "cells"), "vec_id", "embedding")
+    return index.search(_query_vector(spark, sf_dir), 20)[0].select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH a AS (SELECT DISTINCT source AS mine FROM documents UNION SELECT DISTINCT lang FROM documents UNION SELECT DISTINCT c_mktsegment FROM customer UNION SELECT DISTINCT p_name FROM part UNION SELECT n_name FROM nation),
+b AS (SELECT DISTINCT p_name AS theirs FROM part UNION SELECT DISTINCT source FROM documents UNION SELECT r_name FROM region) SELECT mine, theirs FROM a, b WHERE contains(lower(mine), lower(theirs)) OR contains(lower(theirs), lower(mine))""")
+def name_containment(spark, sf_dir):
+    """Names of which one holds the other, by their rarest grams: languages and sources, market segments, parts, nations; parts, sources, regions."""
+    names = lambda t, c, to: table(spark, sf_dir, t).select(F.col(c).alias(to))
+    a = names("documents", "source", "mine").union(names("documents", "lang", "mine")).union(names("customer", "c_mktsegment", "mine")).union(names("part", "p_name", "mine")).union(names("nation", "n_name", "mine")).distinct()
+    b = names("part", "p_name", "theirs").union(names("documents", "source", "theirs")).union(names("region", "r_name", "theirs")).distinct()
+    return either_contains(a, b, "mine", "theirs")
+
+
 @query("""SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'cold widget' THEN 1.2 WHEN contains(lower(p_name), 'cold widget') THEN 1.0 ELSE 0.6 END::double AS score FROM part
 WHERE contains(lower(p_name), 'cold widget') OR (length(p_name) > 0 AND contains('cold widget', lower(p_name))) ORDER BY score DESC, p_name, p_partkey LIMIT 1000000""")
 def entity_text_recall(spark, sf_dir):
