@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph, recall
 from tessera.operators.rows import clamp, first_of, live
-from tessera.plans.storage import checkpointed
+from tessera.plans.timing import Stages
 
 
 @dataclass
@@ -67,7 +67,7 @@ def expand(seeds: DataFrame, known: DataFrame, links: DataFrame, events: DataFra
     return first, second.select("event_id")
 
 
-def multi_search(events: DataFrame, entities: DataFrame, links: DataFrame, chunks: DataFrame, query: str, query_vector: list[float], options: Options = Options(), top_k: int | None = None, rerank=recall.rerank_fast) -> tuple[DataFrame, DataFrame]:
+def multi_search(events: DataFrame, entities: DataFrame, links: DataFrame, chunks: DataFrame, query: str, query_vector: list[float], options: Options = Options(), top_k: int | None = None, rerank=recall.rerank_fast, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
     """(sections: chunk_id, place, score; trace: stage, place, event_id, score).
 
     events, entities and links hold what is live (see `live_tables`).  Entities are recalled
@@ -75,7 +75,9 @@ def multi_search(events: DataFrame, entities: DataFrame, links: DataFrame, chunk
     the expansion starts; all are ranked by content cosine, reranked (an empty answer of
     `rerank` leaves the coarse order), and the sections of the best follow in that order with
     the event's coarse score, filled up with vector hits.  Without seeds it is the hybrid search.
+    stages, if given, is told the rows and milliseconds of entities, seeds, coarse and rerank.
     """
+    kept = (stages or Stages()).kept
     spark, k = events.sparkSession, clamp(top_k, 1, MOST_RESULTS, MOST_RESULTS)
     best_k, n_sections = (k if v is None else clamp(v, 1, MOST_RESULTS, k) for v in (options.rerank_top_k, options.max_sections))
     known = recall.entities_by_text(entities, "name", query, options.entity_top_k).select("entity_id")
@@ -83,9 +85,9 @@ def multi_search(events: DataFrame, entities: DataFrame, links: DataFrame, chunk
         known = known.unionByName(recall.by_vector(entities, "vector", query_vector, options.entity_top_k, options.entity_similarity, "name").select("entity_id"))
     elif options.mode != "fast":
         raise ValueError(f"unknown mode: {options.mode}")
-    known = checkpointed(known.distinct())  # at most twice entity_top_k
+    known = kept(known.distinct(), "entities")  # at most twice entity_top_k
     titled = recall.by_vector(events, "title_vector", query_vector, options.multi_top_k, options.title_similarity, "event_id").select("event_id", "score")
-    seeds = checkpointed(graph.events_of(known, links).unionByName(titled.select("event_id")).distinct())
+    seeds = kept(graph.events_of(known, links).unionByName(titled.select("event_id")).distinct(), "seeds")
     if seeds.isEmpty():
         out = recall.hybrid(chunks, query_vector, recall.query_tokens(spark, query), n_sections)
         return _placed(out, "score").select("chunk_id", "place", "score"), spark.createDataFrame([], TRACE)
@@ -97,8 +99,8 @@ def multi_search(events: DataFrame, entities: DataFrame, links: DataFrame, chunk
         coarse = _placed(near(seeds.unionByName(first), options.max_events_a), "score")
         if options.max_events_b > 0:
             coarse = coarse.unionByName(_placed(near(second, options.max_events_b), "score").withColumn("place", F.col("place") + options.max_events_a))
-    coarse = checkpointed(coarse)  # at most max_events rows
-    best = checkpointed(rerank(coarse, query, best_k, "event_id"))
+    coarse = kept(coarse, "coarse")  # at most max_events rows
+    best = kept(rerank(coarse, query, best_k, "event_id"), "rerank")
     if best.isEmpty():
         best = coarse.orderBy("place").limit(best_k).withColumn("rerank_score", -F.col("place").cast("double"))
     ranked = _placed(best, "rerank_score")
