@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.rows import first_of
@@ -73,6 +73,27 @@ def ring_buffer(logs: DataFrame, after: int | None = None, most: int = 500) -> D
     return last if after is None else last.where(F.col("seq") > after)
 
 
+#: Ids of imported records that are remembered.
+REMEMBERED = 1000
+
+
+def import_logs(logs: DataFrame, seen: DataFrame, incoming: DataFrame, most: int = 500, remembered: int = REMEMBERED) -> tuple[DataFrame, DataFrame]:
+    """(the ring of logs with incoming records (id, at and others) that are new, numbered on from its last seq; the ids remembered after that).
+
+    seen: id, at of records imported before.  A record whose id is remembered, or came earlier
+    in the batch, is left out.  A batch of more than `remembered` ids is judged by what was
+    remembered before it.
+    """
+    fresh = first_of(incoming.join(seen.select("id"), "id", "left_anti"), ["id"], "at")
+    fresh = fresh.orderBy(F.col("at").desc(), F.col("id").desc()).limit(max(most, remembered))
+    last = logs.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
+    place = F.row_number().over(Window.orderBy("at", "id"))  # at most the ring's or the memory's size
+    numbered = fresh.withColumn("seq", place.cast("bigint")).join(F.broadcast(last), how="cross").withColumn("seq", F.col("seq") + F.col("last")).drop("last")
+    ring = ring_buffer(logs.unionByName(numbered.select(*logs.columns)), most=most)
+    memory = seen.select("id", "at").unionByName(fresh.select("id", "at")).orderBy(F.col("at").desc(), F.col("id").desc()).limit(remembered)
+    return ring, memory
+
+
 def key_lookup(keys: DataFrame, secret: str) -> DataFrame:
     """The enabled, unrevoked API key of a secret, by its SHA-256."""
     return keys.where((F.col("hash") == F.sha2(F.lit(secret).cast("binary"), 256)) & F.col("enabled") & F.col("revoked_at").isNull())

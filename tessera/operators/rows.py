@@ -40,10 +40,14 @@ def missing(requested: DataFrame, sources: DataFrame, tenant: str | None = None)
 
 
 def require_sources(requested: DataFrame, sources: DataFrame, tenant: str | None = None) -> None:
-    """ValueError that names up to ten missing ids."""
+    """ValueError that names up to ten missing ids, and the ten newest live sources (id, name, created_at) to choose from."""
     gone = [r["id"] for r in missing(requested, sources, tenant).orderBy("id").limit(10).collect()]
-    if gone:
-        raise ValueError(f"sources not found: {', '.join(map(str, gone))}")
+    if not gone:
+        return
+    there = filters(sources.where("archived_at is null"), None if tenant is None else F.col("tenant_id") == tenant)
+    newest = there.orderBy(F.col("created_at").desc_nulls_last(), "id").limit(10).select("id", "name").collect()
+    choice = "; ".join(f"{r['id']} ({r['name']})" for r in newest)
+    raise ValueError(f"sources not found: {', '.join(map(str, gone))}. " + (f"Live sources, newest first: {choice}" if newest else "There is no live source"))
 
 
 # --- sets --------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import model_output as M
-from tessera.operators import details, rows, stats
+from tessera.operators import details, graph, pages, rows, stats
 from tessera.plans import search as S
 from tessera.plans.q_retrieval import _query_vector
 from tessera.plans.registry import query, table
@@ -236,3 +236,87 @@ def expand_one_then_target(spark, sf_dir):
 p2 AS (SELECT DISTINCT event_id FROM g WHERE entity_id IN (FROM e2) AND event_id NOT IN (FROM s0) AND event_id NOT IN (FROM p1)) SELECT event_id, 1 AS part FROM p1 UNION ALL SELECT event_id, 2 FROM p2""")
 def expand_reseeded(spark, sf_dir):
     return _expanded(spark, sf_dir, "hopllm")
+
+
+# --- pages -------------------------------------------------------------------
+
+_FILES = """f AS (SELECT o_orderkey, o_orderdate AS seen, lpad(o_orderkey::varchar, 9, '0') AS path, CASE WHEN o_orderpriority = '5-LOW' THEN 'deleted' ELSE 'synced' END AS status FROM orders WHERE o_orderstatus = 'F'),
+e AS (SELECT l_orderkey AS k, count(*) AS n, count_if(l_returnflag = 'R') AS fallback FROM lineitem GROUP BY 1)"""
+_PAGE = "SELECT path, coalesce(n, 0)::bigint AS event_count, coalesce(fallback, 0)::bigint AS fallback_event_count, (SELECT count(*) FROM f WHERE status <> 'deleted')::bigint AS total FROM f LEFT JOIN e ON k = o_orderkey WHERE status <> 'deleted'"
+
+
+def _pages(spark, sf_dir, **options):
+    """Orders of one status as files; line items as their events."""
+    o = table(spark, sf_dir, "orders")
+    manifest = o.select(F.col("o_orderstatus").alias("folder_id"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("rel_path"), F.col("o_orderdate").alias("last_seen_at"), F.when(F.col("o_orderpriority") == "5-LOW", "deleted").otherwise("synced").alias("last_event"), F.col("o_orderkey").alias("document_id"))
+    events = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_returnflag") == "R", "regex-fallback").alias("extraction_source"))
+    return pages.manifest_page(manifest, events, "F", **options)
+
+
+def _paged(got):
+    return got.rows.select(F.col("rel_path").alias("path"), "event_count", "fallback_event_count", F.lit(got.total).cast("bigint").alias("total"))
+
+
+@query(f"WITH {_FILES} {_PAGE} ORDER BY seen DESC, path DESC LIMIT 500 OFFSET 500")
+def manifest_page_recent(spark, sf_dir):
+    """The second page by the cursor of the first; more than 500 rows are not given."""
+    return _paged(_pages(spark, sf_dir, limit=900, cursor=_pages(spark, sf_dir, limit=500, include_total=False).next_cursor))
+
+
+@query(f"WITH {_FILES} {_PAGE} ORDER BY path LIMIT 50 OFFSET 120")
+def manifest_page_by_path(spark, sf_dir):
+    return _paged(_pages(spark, sf_dir, sort="path", offset=120))
+
+
+@query("SELECT event_id, 20::bigint AS prev_offset, 200::bigint AS page_limit FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 200 OFFSET 220")
+def runs_page(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("folder_id"), F.col("ts").alias("started_at"), F.col("event_id").alias("id"))
+    got = pages.runs_page(runs, "error", limit=1000, offset=220)
+    return got.rows.select(F.col("id").alias("event_id"), F.lit(got.prev_offset).cast("bigint").alias("prev_offset"), F.lit(got.limit).cast("bigint").alias("page_limit"))
+
+
+_GRAPH = """l AS (SELECT DISTINCT l_orderkey AS v, l_partkey AS e FROM lineitem), c AS (SELECT p_partkey AS e, p_name AS name, count(v) AS n FROM part LEFT JOIN l ON e = p_partkey GROUP BY ALL),
+se AS (SELECT e FROM (SELECT e FROM c ORDER BY n DESC, name, e LIMIT 8) UNION SELECT e FROM c WHERE e % 100 = 7 UNION SELECT e FROM l WHERE v % 500 = 1), sv AS (SELECT v FROM l WHERE e % 100 = 7)"""
+
+
+def _graph(spark, sf_dir):
+    """Orders as events of their parts; every hundredth part and every five-hundredth order is open."""
+    events = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("title"), F.col("o_custkey").alias("rank"))
+    entities = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("entity_id"))
+    return graph.visible_graph(events, entities, links, entities.where("entity_id % 100 = 7"), events.where("event_id % 500 = 1"))
+
+
+@query(f"""WITH {_GRAPH}, nodes AS (SELECT 'entity' AS kind, e::varchar AS id, name AS label, -n AS a, name AS b, e % 100 = 7 AS open FROM c WHERE e IN (FROM se)
+UNION ALL SELECT 'event', o_orderkey::varchar, o_orderpriority, o_custkey, '', o_orderkey % 500 = 1 FROM orders WHERE o_orderkey IN (FROM sv))
+SELECT kind, id, label, open, (row_number() OVER (ORDER BY kind, a, b, id) - 1)::int AS place FROM nodes""")
+def graph_nodes_in_order(spark, sf_dir):
+    return _graph(spark, sf_dir)[0]
+
+
+@query(f"WITH {_GRAPH} SELECT e AS entity_id, v AS event_id, v % 500 = 1 AND e % 100 <> 7 AS from_event, v % 500 = 1 OR e % 100 = 7 AS marked FROM l WHERE e IN (FROM se) AND v IN (FROM sv)")
+def graph_edges(spark, sf_dir):
+    return _graph(spark, sf_dir)[1]
+
+
+@query("SELECT l_orderkey AS event_id, string_agg(DISTINCT l_partkey::varchar, ',' ORDER BY l_partkey::varchar) AS entities FROM lineitem GROUP BY 1 UNION ALL SELECT o_orderkey, '' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def graph_event_nodes(spark, sf_dir):
+    """Each event of a project's graph with its entities."""
+    events = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"))
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("entity_id"))
+    nodes = graph.project_graph(events, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id")), links)[1]
+    return nodes.select("event_id", F.array_join(F.array_sort(F.transform("entity_ids", lambda e: e.cast("string"))), ",").alias("entities"))
+
+
+_NO_SEEDS = " + ".join(f"(CASE WHEN contains(lower(text), '{t}') THEN 1 ELSE 0 END)" for t in ("zzq", "tion", "zzq tion"))
+
+
+@query(f"""WITH {_LIVE.split("li AS")[0].rstrip().rstrip(",")}, v AS (SELECT k, cos AS v FROM ev WHERE cos IS NOT NULL ORDER BY cos DESC, k LIMIT 40), q AS (SELECT k, m / 9.0 AS w FROM (SELECT k, {_NO_SEEDS} AS m FROM ev) WHERE m > 0 ORDER BY m DESC, k LIMIT 40),
+h AS (SELECT k, coalesce(v, w * 0.6) AS score FROM v FULL JOIN q USING (k)), r AS (SELECT k, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, k) AS n FROM h JOIN ev USING (k)),
+b AS (SELECT * FROM r WHERE n <= 3 ORDER BY score DESC, k LIMIT 10) SELECT k AS chunk_id, (row_number() OVER (ORDER BY score DESC, k) - 1)::int AS place, round(score, 6) AS score FROM b""")
+def multi_route_search_without_seeds(spark, sf_dir):
+    """No entity and no title answers: the hybrid search over all chunks, those without a vector too."""
+    given = _searchable(spark, sf_dir) | {"query": "zzq tion"}
+    given["entities"] = given["entities"].where("false")
+    given["chunks"] = given["chunks"].withColumn("rank", F.col("chunk_id"))
+    return _sections(S.multi_search(**given, options=S.Options(title_similarity=2.0), top_k=10))

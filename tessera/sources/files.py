@@ -178,17 +178,39 @@ def pptx_markdown(raw: bytes) -> str:
 
 
 def docx_markdown(raw: bytes) -> str:
-    """Paragraphs, headings by their style's level."""
+    """Paragraphs, headings by their style's level, list items by their depth, tables (each cell's paragraphs on one line)."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+    def text_of(node) -> str:
+        return "".join({f"{w}t": x.text or "", f"{w}tab": "\t", f"{w}br": " "}.get(x.tag, "") for x in node.iter()).strip()
+
+    def paragraph(p) -> tuple[str, bool]:
+        """(markdown, whether it is a list item)"""
+        text, about = text_of(p), p.find(f"{w}pPr")
+        if not text or about is None:
+            return text, False
+        style, number = about.find(f"{w}pStyle"), about.find(f"{w}numPr")
+        if style is not None and (level := re.match(r"(?i)heading\s*(\d)", style.get(f"{w}val", ""))):
+            return f"{'#' * int(level[1])} {text}", False
+        if number is None:
+            return text, False
+        depth = number.find(f"{w}ilvl")
+        return "  " * int(depth.get(f"{w}val", "0") if depth is not None else 0) + f"- {text}", True
+
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        out = []
-        for p in ElementTree.fromstring(z.read("word/document.xml")).iter(f"{w}p"):
-            text = "".join(t.text or "" for t in p.iter(f"{w}t")).strip()
-            style = p.find(f"{w}pPr/{w}pStyle")
-            level = re.match(r"(?i)heading\s*(\d)", style.get(f"{w}val", "")) if style is not None else None
-            if text:
-                out.append(f"{'#' * int(level[1])} {text}" if level else text)
-        return "\n\n".join(out) + "\n" if out else ""
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
+    blocks: list[tuple[str, bool]] = []
+    for node in body if body is not None else ():
+        if node.tag == f"{w}p" and (got := paragraph(node))[0]:
+            blocks.append(got)
+        elif node.tag == f"{w}tbl":
+            rows = [[" ".join(filter(None, (text_of(p) for p in cell.iter(f"{w}p")))) for cell in row.findall(f"{w}tc")] for row in node.findall(f"{w}tr")]
+            if any(map(any, rows)):
+                blocks.append((markdown_table(rows).rstrip(), False))
+    out = ""
+    for i, (text, item) in enumerate(blocks):
+        out += ("" if not i else "\n" if item and blocks[i - 1][1] else "\n\n") + text
+    return out + "\n" if out else ""
 
 
 def lines_of_runs(runs: DataFrame) -> DataFrame:
