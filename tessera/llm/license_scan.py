@@ -173,26 +173,47 @@ def rivals(templates: dict[str, str]) -> dict[str, list[str]]:
     return out
 
 
+def _pairs(spark: SparkSession, templates: dict[str, str]) -> DataFrame | None:
+    """template, rival, own_size, rival_size: the rivals of each template and both classes; None without any."""
+    size = lambda name: class_of(len(_python_words(templates[name])))[0]
+    rows = [(name, o, size(name), size(o)) for name, close in sorted(rivals(templates).items()) for o in close]
+    return spark.createDataFrame(rows, "template string, rival string, own_size int, rival_size int") if rows else None
+
+
 def best_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, text_hash, hits: array of the matches that no rival of theirs beats in an overlapping window, by containment and then by length."""
-    close = rivals(templates)
-    found = matches(docs, templates)
-    if close:
-        known = docs.sparkSession.createDataFrame(sorted(close.items()), "template string, rivals array<string>")
-        found = found.join(F.broadcast(known), "template", "left")
-    else:
-        found = found.withColumn("rivals", F.array().cast("array<string>"))
-    per = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("template", "n", "size", "at", "containment", F.coalesce("rivals", F.array().cast("array<string>")).alias("rivals"))).alias("all"))
-
-    def beaten(h: Column) -> Column:
-        def by(o: Column) -> Column:
-            meet = (o["at"] < h["at"] + 2 * h["size"]) & (h["at"] < o["at"] + 2 * o["size"])
-            better = (o["containment"] > h["containment"]) | ((o["containment"] == h["containment"]) & (o["n"] > h["n"]))
-            return meet & better & F.array_contains(h["rivals"], o["template"])
-
-        return F.exists("all", by)
-
-    return per.select("doc_id", "text_hash", F.filter("all", lambda h: ~beaten(h)).alias("hits"))
+    """doc_id, text_hash, hits: array of the matches that no rival of theirs beats in an overlapping window, by containment and then by length.
+
+    Windows of a class begin at multiples of its size, so a window meets four of the same or a
+    larger class at most.  Of two rivals the one of the smaller class asks those places of the
+    other for a match: the work follows the matches, however many one text has.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(matches(docs, templates), "found")
+    pairs = _pairs(docs.sparkSession, templates)
+    hit = F.struct("template", "n", "size", "at", "containment")
+    if pairs is None:
+        return found.groupBy("doc_id", "text_hash").agg(F.collect_list(hit).alias("hits"))
+    pairs = F.broadcast(pairs)  # as many as the library has
+    place = ["doc_id", "text_hash", "template", "at"]
+    other = found.select(*[F.col(c).alias(f"other_{c}") for c in (*place, "n", "containment")])
+
+    def met(mine: DataFrame, size: Column, wanted: Column, its_size: Column) -> DataFrame:
+        """mine with the matches of the template `wanted`, of a class as large or larger, in windows that overlap."""
+        first = F.floor((F.col("at") - 2 * its_size) / its_size + 1) * its_size
+        places = F.filter(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (first + i * its_size).cast("int")), lambda a: (a > F.col("at") - 2 * its_size) & (a < F.col("at") + 2 * size))
+        asked = mine.withColumn("wanted_at", F.explode(places)).withColumn("wanted", wanted)
+        same = F.col("doc_id").eqNullSafe(F.col("other_doc_id")) & F.col("text_hash").eqNullSafe(F.col("other_text_hash")) & (F.col("wanted") == F.col("other_template")) & (F.col("wanted_at") == F.col("other_at"))
+        return asked.join(other, same)
+
+    better = lambda c, n, than_c, than_n: (F.col(c) > F.col(than_c)) | ((F.col(c) == F.col(than_c)) & (F.col(n) > F.col(than_n)))
+    up = met(found.join(pairs.where("rival_size >= own_size"), "template"), F.col("own_size"), F.col("rival"), F.col("rival_size"))
+    beaten = up.where(better("other_containment", "other_n", "containment", "n")).select(*place)
+    # the larger one is asked by its smaller rivals
+    down = met(found.join(pairs.where("rival_size < own_size").select(F.col("template").alias("larger"), F.col("rival").alias("template"), F.col("own_size").alias("larger_size"), F.col("rival_size").alias("small")), "template"), F.col("small"), F.col("larger"), F.col("larger_size"))
+    beaten = beaten.unionByName(down.where(better("containment", "n", "other_containment", "other_n")).select(*[F.col(f"other_{c}").alias(c) for c in place])).distinct()
+    lost = beaten.select(*[F.col(c).alias(f"lost_{c}") for c in place])
+    same = F.col("doc_id").eqNullSafe(F.col("lost_doc_id")) & F.col("text_hash").eqNullSafe(F.col("lost_text_hash")) & (F.col("template") == F.col("lost_template")) & (F.col("at") == F.col("lost_at"))
+    return found.join(lost, same, "left_anti").groupBy("doc_id", "text_hash").agg(F.collect_list(hit).alias("hits"))
 
 
 def report(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

@@ -334,6 +334,34 @@ def test_license_windows_against_all_windows(spark):
     assert got == want and len(want) > 40
 
 
+def test_rivals_against_all_hits_of_a_text(spark):
+    """A match stays unless a rival's match in an overlapping window is better; every hit of a text against every other."""
+    names = [n for n in license_scan.TEMPLATES if n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "all-rights-reserved", "MIT/notice-0", "MIT/notice-1", "Apache-2.0/header", "GPL-3.0/program/header", "GPL-2.0/program/header", "AGPL-3.0/program/header") or n.endswith("/notice-2")]
+    templates = {n: license_scan.TEMPLATES[n] for n in names}
+    texts = []
+    for _ in range(12):
+        parts = [x for n in RNG.sample(names, 4) for x in (prose(RNG.randint(0, 30)), templates[n])]
+        texts.append(" ".join(parts + [templates["MIT/notice-0"]] * RNG.randint(0, 9)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    close = license_scan.rivals(templates)
+    hits = [r.asDict() for r in license_scan.matches(df, templates).collect()]
+    want = set()
+    for h in hits:
+        beaten = any(o["doc_id"] == h["doc_id"] and o["template"] in close.get(h["template"], ()) and o["at"] < h["at"] + 2 * h["size"] and h["at"] < o["at"] + 2 * o["size"] and (o["containment"], o["n"]) > (h["containment"], h["n"]) for o in hits)
+        if not beaten:
+            want.add((h["doc_id"], h["template"], h["at"]))
+    got = {(r["doc_id"], x["template"], x["at"]) for r in license_scan.best_matches(df, templates).collect() for x in r["hits"]}
+    assert got == want and close and len(want) < len(hits)
+
+
+def test_a_text_of_many_licenses(spark):
+    """500 mentions in one text: as many hits, no pairs of them."""
+    text = "\n".join(f"This software is released under the MIT License and nothing else is said in line {i}." for i in range(500))
+    docs = spark.createDataFrame([(1, text), (2, "MIT License"), (3, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_licenses"], r["licenses"]) for r in license_scan.report(docs).collect()}
+    assert got[1] == (1, "MIT/notice-0") and got[3] == (0, "")
+
+
 def test_license_notices_headers_and_whole_texts(spark):
     agpl = license_scan.TEMPLATES["AGPL-3.0/program/header"]
     cases = {
