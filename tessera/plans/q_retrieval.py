@@ -57,6 +57,13 @@ def vector_normalize(spark, sf_dir):
     return v.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(F.get(V.normalize(F.col("embedding")), F.lit(0)), 6).alias("first_component"), V.preview(F.col("embedding"))["dimension"].alias("dimension"))
 
 
+@query("""SELECT vec_id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS component FROM (SELECT vec_id, unnest(embedding::double[]) AS x, generate_subscripts(embedding, 1)::int - 1 AS i FROM embeddings)""")
+def unit_components(spark, sf_dir):
+    """Every component of every vector at unit length."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.normalize(F.col("embedding"))).alias("i", "x"))
+    return v.select("vec_id", "i", F.round("x", 6).alias("component"))
+
+
 @query("SELECT vec_id, '[' || array_to_string(list_transform(embedding::double[], lambda x: printf('%.8f', x)), ',') || ']' AS literal FROM embeddings")
 def vector_literal(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", V.literal(F.col("embedding")).alias("literal"))

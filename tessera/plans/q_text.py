@@ -158,3 +158,38 @@ def csv_table(spark, sf_dir):
     content = F.concat(F.lit("name;key\r\n\"a|"), "r_name", F.lit("\";"), F.col("r_regionkey").cast("string"), F.lit("\r\n")).cast("binary")
     got = files.convert(r.select(F.concat(F.lit("/in/"), F.col("r_regionkey").cast("string"), F.lit(".csv")).alias("path"), content.alias("content")))
     return got.select(F.regexp_extract("path", r"(\d+)\.csv", 1).cast(r.schema["r_regionkey"].dataType).alias("r_regionkey"), "text")
+
+
+# --- texts made to differ in what a function looks at --------------------------
+
+_ODD = """d AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN translate(text, 'aeiou', repeat(chr(65533), 5)) WHEN 1 THEN translate(text, 'aeiot', repeat(chr(7), 5)) WHEN 2 THEN 'E-SafeNet ' || text WHEN 3 THEN translate(lower(text), 'abcdefghijklmnopqrstuvwxyz ', 'αβγδεζηθικλμνξοπρστυφχψωςϊϋ') WHEN 4 THEN translate(text, 'aeinrst', '审计报告系统的') ELSE text END AS t FROM documents)"""
+
+
+def _odd(spark, sf_dir):
+    """Texts with replacement or control characters for vowels, with a mark of encryption, in Greek letters, with Chinese characters for common letters, and as they are."""
+    t, k = F.col("text"), F.col("doc_id") % 6
+    made = F.when(k == 0, F.translate(t, "aeiou", "\ufffd" * 5)).when(k == 1, F.translate(t, "aeiot", "\x07" * 5)).when(k == 2, F.concat(F.lit("E-SafeNet "), t))
+    made = made.when(k == 3, F.translate(F.lower(t), "abcdefghijklmnopqrstuvwxyz ", "αβγδεζηθικλμνξοπρστυφχψωςϊϋ")).when(k == 4, F.translate(t, "aeinrst", "审计报告系统的")).otherwise(t)
+    return table(spark, sf_dir, "documents").select("doc_id", made.alias("t"))
+
+
+@query(rf"""WITH {_ODD}, n AS (SELECT doc_id, t, length(t) AS n, length(t) - length(replace(t, chr(65533), '')) AS lost, len(list_filter(string_split(t, ''), lambda c: ord(c) < 32 AND ord(c) NOT IN (9, 10, 13))) AS control,
+len(list_filter(string_split(t, ''), lambda c: ord(c) BETWEEN 32 AND 126 OR ord(c) BETWEEN 12288 AND 12351 OR ord(c) BETWEEN 19968 AND 40959 OR ord(c) BETWEEN 65280 AND 65519)) AS plain FROM d)
+SELECT doc_id, contains(t, 'E-SafeNet') OR (contains(lower(t), 'lock') AND control > 0) OR lost / n > 0.05 OR control / n > 0.1 OR plain / n < 0.2 AS garbled FROM n""")
+def garbled_texts(spark, sf_dir):
+    return _odd(spark, sf_dir).select("doc_id", T.is_garbled(F.col("t")).alias("garbled"))
+
+
+@query(rf"""WITH {_ODD} SELECT doc_id, len(list_filter(string_split(t, ''), lambda c: ord(c) BETWEEN 19968 AND 40959)) > 2 * len(regexp_extract_all(t, '[A-Za-z]{{2,}}')) AS chinese FROM d""")
+def mostly_chinese(spark, sf_dir):
+    return _odd(spark, sf_dir).select("doc_id", T.is_mostly_chinese(F.col("t")).alias("chinese"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(string_split(replace(replace(text, chr(10), ' '), '"', ' '), ' ')) AS w, generate_subscripts(string_split(replace(replace(text, chr(10), ' '), '"', ' '), ' '), 1) AS i FROM documents)
+SELECT doc_id, md5(string_agg(CASE WHEN i % 5 = 0 THEN '[redacted-path]' WHEN i % 5 = 1 THEN '[redacted-path]' ELSE w END, ' ' ORDER BY i)) AS redacted FROM w GROUP BY 1""")
+def redacted_everywhere(spark, sf_dir):
+    """A drive's or a share's path in the place of two of five words."""
+    at = F.split(F.regexp_replace("text", "[\n\"]", " "), " ", -1)
+    path = lambda w, i: F.when((i + 1) % 5 == 0, F.concat(F.lit("C:\\dir\\f"), i.cast("string"), F.lit(".txt"))).when((i + 1) % 5 == 1, F.concat(F.lit("\\\\host\\share\\"), i.cast("string"))).otherwise(w)
+    made = F.array_join(F.transform(at, path), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact_paths(made).cast("binary")).alias("redacted"))
