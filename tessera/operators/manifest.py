@@ -133,3 +133,31 @@ def archive(df: DataFrame, where: Column, now: Column) -> DataFrame:
 
 def restore(df: DataFrame, where: Column) -> DataFrame:
     return df.withColumn("archived_at", F.when(where, None).otherwise(F.col("archived_at")))
+
+
+def update_documents(documents: DataFrame, sources: DataFrame, updates: DataFrame, tenant: str, now: Column) -> DataFrame:
+    """documents with the updates (id, title, metadata) of those whose source is the tenant's; all others stay.
+
+    A blank or null title keeps the old one; metadata is merged, the new values win, and is
+    left as it is where none is given; updated_at is set.  One update an id.
+    """
+    own = sources.where(F.col("tenant_id") == tenant).select(F.col("id").alias("source_id"), F.lit(True).alias("__own")).distinct()
+    new = updates.select("id", F.trim("title").alias("__title"), F.col("metadata").alias("__metadata"), F.lit(True).alias("__new"))
+    both = documents.join(new, "id", "left").join(own, "source_id", "left")
+    hit = F.coalesce(F.col("__own") & F.col("__new"), F.lit(False))
+    values = {
+        "title": F.when(hit, F.coalesce(F.nullif("__title", F.lit("")), "title")).otherwise(F.col("title")),
+        "metadata": F.when(hit & F.col("__metadata").isNotNull(), merge_metadata(F.col("metadata"), F.col("__metadata"))).otherwise(F.col("metadata")),
+        "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
+    }
+    return both.withColumns(values).select(*documents.columns)
+
+
+def record_skipped(manifest: DataFrame, files: DataFrame, reason: Column, keys: list[str]) -> DataFrame:
+    """manifest with a row, state synced, for each file that has a reason to be skipped; the reason is its last error.
+
+    files: the keys, size_bytes, mtime_ms, inode, sha1, and what the reason looks at.  Files without a reason change nothing.
+    """
+    skipped = files.withColumn("last_error", reason).where("last_error is not null").withColumn("last_event", F.lit("synced"))
+    given = [c for c in ("size_bytes", "mtime_ms", "inode", "sha1", "last_error", "last_event") if c in skipped.columns]
+    return upsert(manifest, skipped.select(*keys, *given), keys, ["last_error", "last_event"])

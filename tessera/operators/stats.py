@@ -75,3 +75,12 @@ def streaks(df: DataFrame, key: str, order: list[str], failed: Column) -> DataFr
     w = Window.partitionBy(key).orderBy(*order)
     island = F.sum(F.when(failed, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("__i", island).where(failed).groupBy(key, "__i").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("n")).drop("__i")
+
+
+def to_stop(checks: DataFrame, key: str, order: list[str], failed: Column, after: int = 3) -> DataFrame:
+    """key, n: what has failed `after` times or more in a row up to its last check, and how often."""
+    from pyspark.sql import Window
+
+    newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+    fine = F.sum(F.when(failed, 0).otherwise(1)).over(newest.rowsBetween(Window.unboundedPreceding, 0))  # good checks since
+    return checks.withColumn("__fine", fine).where("__fine = 0").groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= after)

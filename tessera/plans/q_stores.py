@@ -153,3 +153,45 @@ def merged_stores(spark, sf_dir):
     shown = {"documents": ("document", "id", None), "events": ("event", "id", "document_id"), "chunks": ("chunk", "id", "document_id"), "entities": ("entity", "id", None), "links": ("link", "event_id", "entity_id")}
     parts = [got[t].select(F.lit(kind).alias("kind"), F.col(a).alias("id"), (F.col(b) if b else F.lit(None).cast("string")).alias("other")) for t, (kind, a, b) in shown.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 1 AND n_regionkey = 1 THEN 'new ' || c_custkey ELSE c_name END AS title, CASE WHEN c_custkey % 2 = 1 AND n_regionkey = 1 THEN 'a=1,b=3,c=4' ELSE 'a=1,b=2' END AS metadata, n_regionkey = 1 AND c_custkey % 2 = 1 AS touched FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def updated_documents(spark, sf_dir):
+    """Customers as documents of nations as sources of regions as tenants: every second gets metadata, every fourth a title, if it is of region 1."""
+    c = table(spark, sf_dir, "customer")
+    pairs = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
+    documents = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("source_id"), F.col("c_name").alias("title"), pairs("a", "1", "b", "2").alias("metadata"), F.lit(0).alias("updated_at"))
+    sources = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("tenant_id"))
+    updates = c.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 == 1, F.concat(F.lit(" new "), "c_custkey")).otherwise("  ").alias("title"), pairs("b", "3", "c", "4").alias("metadata"))
+    got = manifest.update_documents(documents, sources, updates, "1", F.lit(1))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return got.select("id", "title", told.alias("metadata"), (F.col("updated_at") == 1).alias("touched"))
+
+
+@query("""WITH m AS (SELECT DISTINCT c_nationkey AS p, c_custkey AS s, CASE WHEN c_custkey % 3 = 0 THEN 'upload' ELSE 'folder' END AS kind FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0), o AS (SELECT o_custkey AS s, count(*) AS n FROM orders GROUP BY 1),
+l AS (SELECT o_custkey AS s, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT n_nationkey AS project_id, coalesce(sum(o.n) FILTER (kind = 'folder'), 0)::bigint AS cached_documents, coalesce(sum(o.n) FILTER (kind = 'upload'), 0)::bigint AS cached_upload_documents,
+coalesce(sum(l.n) FILTER (kind = 'folder'), 0)::bigint AS cached_chunks, coalesce(sum(l.n) FILTER (kind = 'upload'), 0)::bigint AS cached_upload_chunks FROM nation LEFT JOIN m ON p = n_nationkey LEFT JOIN o ON o.s = m.s LEFT JOIN l ON l.s = m.s GROUP BY 1""")
+def project_counts(spark, sf_dir):
+    """Nations as projects, customers as their folders and uploads, orders as documents, line items as chunks."""
+    c = F.col("c_custkey")
+    members = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project_id"), c.alias("source_id"), F.when(c % 3 == 0, "upload").otherwise("folder").alias("source_type"), (c % 2 == 0).alias("enabled"))
+    o = table(spark, sf_dir, "orders")
+    items = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("source_id")), "l_orderkey").select("source_id")
+    projects = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id"))
+    got = ingest.project_counts(projects, members, {"documents": o.select(F.col("o_custkey").alias("source_id")), "chunks": items}, F.current_timestamp())
+    return got.drop("cached_updated_at")
+
+
+@query("""WITH f AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) SELECT doc_id AS rel_path, CASE WHEN n > 2000 THEN 'synced' ELSE 'pending' END AS last_event, CASE WHEN n > 2000 THEN 'skipped: ' || n || ' bytes over 2000' WHEN doc_id % 2 = 0 THEN 'old' END AS last_error,
+CASE WHEN n > 2000 THEN n ELSE -1 END::bigint AS size_bytes FROM f WHERE doc_id % 2 = 0 OR n > 2000""")
+def skipped_in_manifest(spark, sf_dir):
+    """Every second file is in the manifest; too large ones are put there as synced, with the reason."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rel_path"), F.octet_length("text").cast("bigint").alias("size_bytes"))
+    old = d.where("rel_path % 2 = 0").select("rel_path", F.lit(-1).cast("bigint").alias("size_bytes"), F.lit("pending").alias("last_event"), F.lit("old").alias("last_error"))
+    return manifest.record_skipped(old, d, files.skip_reason(F.col("size_bytes"), 2000, 5000), ["rel_path"])
+
+
+@query("""WITH e AS (SELECT user_id, event_type IN ('error', 'click') AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events), g AS (SELECT user_id, coalesce(min(n) FILTER (NOT bad), count(*) + 1) - 1 AS n FROM e GROUP BY 1) SELECT user_id, n::bigint AS n FROM g WHERE n >= 2""")
+def folders_to_stop(spark, sf_dir):
+    """Users whose last two events or more are failures."""
+    return stats.to_stop(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type").isin("error", "click"), 2)

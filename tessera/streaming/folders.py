@@ -240,3 +240,27 @@ def embed_round(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]
     state = F.when(F.col("__done"), "embedded").when(~F.col("__done"), "failed").otherwise(F.col("status"))
     after = chunks.join(done, "id", "left").withColumn("status", state).withColumn("locked_at", F.when(F.col("__done").isNull(), F.col("locked_at")))
     return made.where("embedding is not null"), after.drop("__done")
+
+
+def embed_pending(read: Callable[[], DataFrame], write: Callable[[DataFrame, DataFrame], None], embed: Callable[[list[str]], list[list[float]]], n: int = 256, rounds: int | None = None, wait: float = 2.0, clock: Callable[[], Column] = F.current_timestamp, sleep: Callable[[float], None] = time.sleep, **options) -> int:
+    """Rounds of embed_round until no chunk is pending and free, or `rounds` were made; the chunks worked on.
+
+    read gives the chunks as they are; write takes a round's vectors and the chunks after it,
+    and should commit both as one (see sources.store).  With `rounds` None it goes on for
+    good and waits where there is nothing to do, as a service does.
+    """
+    done = made = 0
+    while rounds is None or made < rounds:
+        made += 1
+        chunks = read()
+        vectors, after = embed_round(chunks, embed, n, clock(), **options)
+        after = checkpointed(after)
+        worked = after.join(chunks.select("id", F.col("status").alias("__was")), "id").where("status <> __was").count()
+        if not worked:
+            if rounds is not None:
+                break
+            sleep(wait)
+            continue
+        write(vectors, after)
+        done += worked
+    return done
