@@ -20,7 +20,7 @@ from tessera.functions import vector as V
 from tessera.operators import recall
 
 #: Vectors that the centroids are fitted to, and cells, at most.
-SAMPLE, MOST_CELLS = 20_000, 4096
+SAMPLE, MOST_CELLS = 8192, 1024
 PROBES = 4
 
 
@@ -39,9 +39,11 @@ class VectorIndex:
         cells = max(1, min(cells or math.isqrt(n), MOST_CELLS))
         unit = V.normalize(F.col(vector).cast("array<double>"))
         sample = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), key)).limit(SAMPLE).select(unit.alias("v"))
-        rows = [r["v"] for r in sample.collect()]  # bounded by SAMPLE
-        width = max(map(len, rows), default=0, key=lambda k: sum(len(r) == k for r in rows)) if rows else 0
-        x = np.array([r for r in rows if len(r) == width and np.isfinite(r).all() and any(r)] or np.zeros((0, width)))
+        v = sample.toArrow()["v"].combine_chunks()  # bounded by SAMPLE
+        sizes, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(zero_copy_only=False)
+        width = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+        x = flat[np.repeat(sizes == width, sizes)].reshape(-1, width) if width else np.zeros((0, 0))
+        x = x[np.isfinite(x).all(axis=1) & x.any(axis=1)] if width else x
         out._save_centroids(_k_means(x, min(cells, max(1, len(x))), seed))
         out._append(df)
         return out
