@@ -257,10 +257,10 @@ def _paged(got):
     return got.rows.select(F.col("rel_path").alias("path"), "event_count", "fallback_event_count", F.lit(got.total).cast("bigint").alias("total"))
 
 
-@query(f"WITH {_FILES} {_PAGE} ORDER BY seen DESC, path DESC LIMIT 500 OFFSET 500")
+@query(f"WITH {_FILES} {_PAGE} ORDER BY seen DESC, path DESC LIMIT 500 OFFSET 100")
 def manifest_page_recent(spark, sf_dir):
-    """The second page by the cursor of the first; more than 500 rows are not given."""
-    return _paged(_pages(spark, sf_dir, limit=900, cursor=_pages(spark, sf_dir, limit=500, include_total=False).next_cursor))
+    """What follows a page of 100 by its cursor; more than 500 rows are not given."""
+    return _paged(_pages(spark, sf_dir, limit=900, cursor=_pages(spark, sf_dir, limit=100, include_total=False).next_cursor))
 
 
 @query(f"WITH {_FILES} {_PAGE} ORDER BY path LIMIT 50 OFFSET 120")

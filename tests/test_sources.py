@@ -2,7 +2,6 @@
 
 import os
 import sqlite3
-import sys
 import time
 
 import pytest
@@ -10,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators import manifest, merge
 from tessera.sources import readers, sqlite, tree
-from tessera.streaming import states  # noqa: F401
 
 
 def _write(root, files):
