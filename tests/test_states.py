@@ -3,6 +3,7 @@
 import random
 from collections import OrderedDict, defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,36 @@ def test_queues_of_a_whole_table(spark):
     want = sorted((folder, *o) for folder, rows in by.items() for o in _queue(rows, 20, 2))
     got = sorted(tuple(r) for r in QUERIES["folder_queues"](spark, sf).collect())
     assert got == want and {o[4] for o in got} >= {"started", "replaced"}
+
+
+class _Kept:
+    """A state variable in memory that counts what is asked of it."""
+
+    calls = 0
+
+    def __init__(self):
+        self.kept = {}
+
+    def __getattr__(self, name):
+        kept = self.kept
+        _Kept.calls += 1
+        return {
+            "updateValue": kept.__setitem__, "removeKey": kept.__delitem__, "iterator": lambda: iter(list(kept.items())), "containsKey": kept.__contains__,
+            "getValue": kept.get, "update": lambda v: kept.__setitem__((), v), "exists": lambda: () in kept, "get": lambda: kept[()],
+        }[name]
+
+
+def test_a_batch_asks_the_state_store_by_the_size_of_the_queue():
+    """Some calls for a batch of thousands of rows, over several batches, frames out of order."""
+    rng = random.Random(5)
+    rows = [(f"p{rng.randint(0, 60)}", i, "finished" if i % 3 == 0 else "updated") for i in range(24_000)]
+    queue, got, _Kept.calls = states.FolderQueue(20, 2), [], 0
+    queue.waiting, queue.places, queue.running, queue.sizes = (_Kept() for _ in range(4))
+    for part in (rows[:9_000], rows[9_000:9_010], rows[9_010:]):
+        mixed = rng.sample(part, len(part))
+        frames = [pd.DataFrame([("f", *r) for r in mixed[i : i + 2_500]], columns=["folder_id", "rel_path", "seq", "kind"]) for i in range(0, len(mixed), 2_500)]
+        for frame in queue.handleInputRows(("f",), iter(frames), None):
+            got += [tuple(r)[1:] for r in frame.itertuples(index=False)]
+        assert queue.places.kept == {(v[0],): k for k, v in queue.waiting.kept.items()}
+    assert got == _queue(rows, 20, 2)
+    assert _Kept.calls < 500
