@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,8 +52,13 @@ def parse(json: Column) -> Column:
 
 
 def literal(v: Column) -> Column:
-    """[a,b,...] with eight decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(_d(v), lambda x: F.format_string("%.8f", x)), ","), F.lit("]"))
+    """[a,b,...] with eight decimals, rounded from the exact value with ties to even, as C's printf does (format_string takes ties up); nulls are left out."""
+
+    @F.pandas_udf("string")
+    def run(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda x: None if x is None else "[" + ",".join(["%.8f" % c for c in x.tolist()]) + "]")
+
+    return run(F.filter(_d(v), lambda x: x.isNotNull()))
 
 
 def preview(v: Column, n: int = 8) -> Column:

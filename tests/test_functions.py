@@ -76,6 +76,9 @@ def test_vectors(spark):
     assert one(spark, V.cosine_shared(a(1, 0), a(1, 0, 5))) == 1
     assert one(spark, V.normalize(a(3, 4))) == [0.6, 0.8] and one(spark, V.normalize(a(0, 0))) == [0, 0]
     assert one(spark, V.literal(a(0.5, 1))) == "[0.50000000,1.00000000]"
+    ties = a(0.001953125, 0.005859375, -0.001953125, -0.0, 5e-9, float("nan"), float("-inf"))  # printf of C: ties of the exact value to even
+    assert one(spark, V.literal(ties)) == "[0.00195312,0.00585938,-0.00195312,-0.00000000,0.00000001,nan,-inf]"
+    assert one(spark, V.literal(F.array(F.lit(1.0), F.lit(None)))) == "[1.00000000]" and one(spark, V.literal(F.lit(None).cast("array<double>"))) is None
     assert one(spark, V.parse(F.lit("[1, 2.5]"))) == [1.0, 2.5] and one(spark, V.parse(F.lit("[1, null]"))) is None
 
 
