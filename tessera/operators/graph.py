@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.sequence import global_ranks
+
 MOST_HOPS = 10
 
 
@@ -111,12 +113,13 @@ def visible_subgraph(edges: DataFrame, open_entities: DataFrame, open_events: Da
 SHOWN_FIRST = 8
 
 
-def visible_graph(events: DataFrame, entities: DataFrame, links: DataFrame, open_entities: DataFrame, open_events: DataFrame, first: int = SHOWN_FIRST) -> tuple[DataFrame, DataFrame]:
+def visible_graph(events: DataFrame, entities: DataFrame, links: DataFrame, open_entities: DataFrame, open_events: DataFrame, first: int = SHOWN_FIRST, places: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes: kind, id, label, place, open; edges: entity_id, event_id, from_event, marked) of what is to be seen.
 
     To be seen are the `first` entities with the most events, open nodes and their neighbours.
     Entities come first, by events (most first), name and id; then events by rank and id.  An
     edge between two nodes leads from the event where that alone is open, and is marked where either is.
+    Places come from sorted ranges that are written once; without `places` the nodes have none.
     """
     nodes, _, edges = project_graph(events, entities, links)
     order = [F.col("event_count").desc(), F.col("name"), F.col("entity_id")]
@@ -128,8 +131,10 @@ def visible_graph(events: DataFrame, entities: DataFrame, links: DataFrame, open
     text = lambda c: F.col(c).cast("string")
     first_ = shown.select(F.lit("entity").alias("kind"), text("entity_id").alias("id"), F.col("name").alias("label"), (-F.col("event_count")).alias("__a"), F.col("name").alias("__b"), "open")
     then = told.select(F.lit("event").alias("kind"), text("event_id").alias("id"), F.col("title").alias("label"), F.col("rank").cast("bigint").alias("__a"), F.lit("").alias("__b"), "open")
-    place = F.row_number().over(Window.orderBy("kind", "__a", "__b", "id")) - 1  # what a screen shows
-    out = first_.unionByName(then).withColumn("place", place).select("kind", "id", "label", "place", F.coalesce("open", F.lit(False)).alias("open"))
+    out, shown_as = first_.unionByName(then), ["kind", "id", "label", F.coalesce("open", F.lit(False)).alias("open")]
+    if places:
+        out, shown_as = global_ranks(out, "kind", "__a", "__b", "id"), [*shown_as[:3], F.col("place").cast("int").alias("place"), shown_as[3]]
+    out = out.select(*shown_as)
     there = edges.join(shown.select("entity_id", F.coalesce("open", F.lit(False)).alias("__e")), "entity_id").join(told.select("event_id", F.coalesce("open", F.lit(False)).alias("__v")), "event_id")
     return out, there.select("entity_id", "event_id", (F.col("__v") & ~F.col("__e")).alias("from_event"), (F.col("__v") | F.col("__e")).alias("marked"))
 

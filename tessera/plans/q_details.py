@@ -279,12 +279,12 @@ _GRAPH = """l AS (SELECT DISTINCT l_orderkey AS v, l_partkey AS e FROM lineitem)
 se AS (SELECT e FROM (SELECT e FROM c ORDER BY n DESC, name, e LIMIT 8) UNION SELECT e FROM c WHERE e % 100 = 7 UNION SELECT e FROM l WHERE v % 500 = 1), sv AS (SELECT v FROM l WHERE e % 100 = 7)"""
 
 
-def _graph(spark, sf_dir):
+def _graph(spark, sf_dir, places=True):
     """Orders as events of their parts; every hundredth part and every five-hundredth order is open."""
     events = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("title"), F.col("o_custkey").alias("rank"))
     entities = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
     links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("entity_id"))
-    return graph.visible_graph(events, entities, links, entities.where("entity_id % 100 = 7"), events.where("event_id % 500 = 1"))
+    return graph.visible_graph(events, entities, links, entities.where("entity_id % 100 = 7"), events.where("event_id % 500 = 1"), places=places)
 
 
 @query(f"""WITH {_GRAPH}, nodes AS (SELECT 'entity' AS kind, e::varchar AS id, name AS label, -n AS a, name AS b, e % 100 = 7 AS open FROM c WHERE e IN (FROM se)
@@ -296,7 +296,7 @@ def graph_nodes_in_order(spark, sf_dir):
 
 @query(f"WITH {_GRAPH} SELECT e AS entity_id, v AS event_id, v % 500 = 1 AND e % 100 <> 7 AS from_event, v % 500 = 1 OR e % 100 = 7 AS marked FROM l WHERE e IN (FROM se) AND v IN (FROM sv)")
 def graph_edges(spark, sf_dir):
-    return _graph(spark, sf_dir)[1]
+    return _graph(spark, sf_dir, places=False)[1]
 
 
 @query("SELECT l_orderkey AS event_id, string_agg(DISTINCT l_partkey::varchar, ',' ORDER BY l_partkey::varchar) AS entities FROM lineitem GROUP BY 1 UNION ALL SELECT o_orderkey, '' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")

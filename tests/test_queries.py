@@ -50,3 +50,8 @@ def test_bigrams_of_whole_texts(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_no_task_holds_all_nodes_of_a_graph(spark):
+    plan = QUERIES["graph_nodes_in_order"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
