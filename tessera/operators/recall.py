@@ -56,12 +56,21 @@ def query_tokens(spark, query: str) -> list[str]:
     return [t.lower() for t in row["t"]]
 
 
+def keyword_hits(tokens: list[str], heading: str = "heading", content: str = "content") -> Column:
+    """2 for each token in the heading and 1 for each in the content."""
+    head, body = F.lower(F.coalesce(F.col(heading), F.lit(""))), F.lower(F.col(content))
+    return sum((F.when(head.contains(t), 2).otherwise(0) + F.when(body.contains(t), 1).otherwise(0) for t in tokens), F.lit(0))
+
+
+def best_hits(hits: DataFrame, tokens: list[str], k: int, rank: str = "rank", *ties: str) -> DataFrame:
+    """At most 50 rows of greatest match_count, then by rank, with their score."""
+    return hits.orderBy(F.col("match_count").desc(), rank, *ties).limit(min(k, 50)).withColumn("score", F.col("match_count") / (3.0 * max(1, len(tokens))))
+
+
 def by_keywords(chunks: DataFrame, tokens: list[str], k: int, heading: str = "heading", content: str = "content", rank: str = "rank", *ties: str) -> DataFrame:
     """match_count (2 for a token in the heading, 1 in the content) and score = match_count / (3 tokens); best first, then by rank."""
-    head, body = F.lower(F.coalesce(F.col(heading), F.lit(""))), F.lower(F.col(content))
-    hits = sum((F.when(head.contains(t), 2).otherwise(0) + F.when(body.contains(t), 1).otherwise(0) for t in tokens), F.lit(0))
-    found = chunks.withColumn("match_count", hits).where("match_count > 0")
-    return found.orderBy(F.col("match_count").desc(), rank, *ties).limit(min(k, 50)).withColumn("score", F.col("match_count") / (3.0 * max(1, len(tokens))))
+    found = chunks.withColumn("match_count", keyword_hits(tokens, heading, content)).where("match_count > 0")
+    return best_hits(found, tokens, k, rank, *ties)
 
 
 def merge_hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, key: str) -> DataFrame:

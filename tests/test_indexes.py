@@ -1,12 +1,13 @@
 """Indexes of grams and vectors against scans, with what they read."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import recall
+from tessera.operators import gram_index, recall
 from tessera.operators.gram_index import GramIndex, contains_join, either_contains
 from tessera.operators.vector_index import VectorIndex
 
@@ -36,6 +37,43 @@ def test_a_gram_search_reads_few_rows(spark, docs, tmp_path):
     assert "PartitionFilters: [block" in plan or "PartitionFilters: [isnotnull(block" in plan or "block#" in plan.split("PartitionFilters")[1][:40]
 
 
+def test_postings_are_the_grams_of_each_row(spark):
+    """Texts of one row are kept apart; zeros, characters of four bytes and more than 100,000 different ones."""
+    rows = [["aaa\0", "b"], ["", ""], ["ab\n系😀", "aaa"], ["", "\0"], [RNG.choice("ab") * n + "系" for n in (1, 400)]]
+    wide = [[chr(c) for c in range(lo, lo + 30_000)] for lo in (0x10000, 0x20000, 0x30000, 0x40000, 0x50000)]
+    for given in (rows, [[], []], [["".join(w), "ab"] for w in wide]):
+        grams, at, found = gram_index._postings(given)
+        got = [(g, int(i)) for g, lo, hi in zip(grams, at, at[1:]) for i in found[lo:hi]]
+        padded = [[t + gram_index.END * 2 for t in row] for row in given]
+        assert len(got) == len(set(got)) and set(got) == {(t[k : k + 3], i) for i, row in enumerate(padded) for t in row for k in range(len(t) - 2)}
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    asked = {(g, r["i"]) for r in df.select("i", gram_index.grams(F.col("a")).alias("a"), gram_index.grams(F.col("b")).alias("b")).collect() for g in (*r["a"], *r["b"])}
+    names, at, found = gram_index._postings(rows)
+    assert asked == {(g, int(i)) for g, lo, hi in zip(names, at, at[1:]) for i in found[lo:hi]}
+
+
+def test_lists_are_cut_by_characters_and_blocks(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(gram_index, "MOST_CHARS", 90)
+    batch = docs.where("id < 60").selectExpr("cast(id div 25 as int) as block", "id", "lower(heading) as a", "lower(content) as b").orderBy("id").toArrow().to_batches()
+    lists = [r for b in gram_index._lists(batch) for r in b.to_pylist()]
+    assert {r["block"] for r in lists} == {0, 1, 2} and all(r["n"] == len(r["keys"]) > 0 for r in lists)
+    got = [(r["gram"], r["block"], k) for r in lists for k in r["keys"]]
+    want = docs.where("id < 60").select("id", F.explode(F.array_union(gram_index.grams(F.lower("heading")), gram_index.grams(F.lower("content")))).alias("g"))
+    assert sorted(got) == sorted((r["g"], r["id"] // 25, r["id"]) for r in want.collect())
+
+
+def test_the_rows_of_one_block_are_written_by_many_tasks_and_no_text_is_shuffled_in_a_search(spark, docs, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which puts so few rows into one task
+    try:
+        index = GramIndex.build(docs, f"{tmp_path}/i", "id", ["heading", "content"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [f for f in os.listdir(f"{tmp_path}/i/rows/block=0") if f.endswith(".parquet")]
+    assert [d for d in os.listdir(f"{tmp_path}/i/rows") if d.startswith("block=")] == ["block=0"] and len(files) > 1
+    plan = index.search(["audit"], 5, "heading", "content", "rank", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "match_count" in plan.split("Join LeftSemi")[1].split("\n")[1]  # counted below the join
+
+
 def test_containment_both_ways(spark):
     a = ["cold", "Cold Widget", "of", "x", "", None, "系统", "大系统平台", "ABC", "abc"]
     b = ["a cold widget here", "COLD", "loaf of", "ox", "ox", "系统", "b", "", None, "abc"]
