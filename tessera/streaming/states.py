@@ -11,6 +11,7 @@ from __future__ import annotations
 import contextlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -37,20 +38,13 @@ def state_store(spark: SparkSession):
         spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
-def _given(value):
-    """None for what pandas has for null."""
-    return None if value is None or value is pd.NaT or value != value else value
-
-
-def _rows(frames: Iterator[pd.DataFrame], *order: str) -> list:
-    frames = [f for f in frames if len(f)]
-    return list(pd.concat(frames).sort_values(list(order), kind="stable").itertuples(index=False)) if frames else []
-
-
 # --- states of files -----------------------------------------------------
 
 REQUEST = "folder_id string, rel_path string, at timestamp, seq bigint, to string, document_id string, sha1 string, error string"
 MOVES = "folder_id string, rel_path string, at_us bigint, seq bigint, to string, moved boolean, status string, document_id string, sha1 string, last_error string, n_moved bigint"
+_FILE = "folder_id string, rel_path string"
+#: Groups of files whose states a task works on together.
+SHARDS = 1024
 _STATE = "status string, document_id string, sha1 string, last_error string, started_us bigint, n_moved bigint"
 
 
@@ -77,33 +71,68 @@ def moved(state: tuple | None, to: str, at_us: int, document_id, sha1, error, re
 
 
 class FileStates(StatefulProcessor):
-    """The state of one file; a timer gives up a sync that has not ended when the watermark is `minutes` past its start."""
+    """The states of a shard's files; a timer gives up syncs that have not ended when the watermark is `minutes` past their start.
+
+    A batch takes the state of each file that it has a row for from the state store once and
+    writes it back once.  Files that are syncing are kept by themselves with the time of their
+    end, and the shard has a timer for the first of them.
+    """
 
     def __init__(self, minutes: int = REAP_MINUTES) -> None:
         self.reap_us = minutes * 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("state", _STATE)
+        self.handle = handle
+        self.states = handle.getMapState("states", _FILE, _STATE)
+        self.syncing = handle.getMapState("syncing", _FILE, "until_ms bigint")
+        self.timer = handle.getValueState("timer", "at_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, out = self.state.get() if self.state.exists() else None, []
-        for r in _rows(rows, "at_us", "seq"):
-            at_us = int(r.at_us)
-            state, did = moved(state and tuple(state), r.to, at_us, _given(r.document_id), _given(r.sha1), _given(r.error), self.reap_us)
-            if did and r.to == "syncing":
-                self.handle.registerTimer((at_us + self.reap_us) // 1000 + 1)
-            out.append((*key, at_us, r.seq, r.to, did, *state[:4], state[5]))
+        out, soonest = [], None
+        for (_, *file), asked in _by_file(rows):
+            file = tuple(file)
+            before, started = self.states.getValue(file), False
+            state = before = before and tuple(before)
+            for _, _, _, at_us, seq, to, document_id, sha1, error in asked:
+                state, did = moved(state, to, at_us, _given(document_id), _given(sha1), _given(error), self.reap_us)
+                started |= did and to == "syncing"
+                out.append((*file, at_us, _given(seq), to, did, *state[:4], state[5]))
+            self.states.updateValue(file, state)
+            if state[0] != "syncing":
+                if before and before[0] == "syncing":
+                    self.syncing.removeKey(file)
+            elif started:
+                until = (state[4] + self.reap_us) // 1000 + 1
+                self.syncing.updateValue(file, (until,))
+                soonest = until if soonest is None else min(soonest, until)
+            if len(out) >= SLICE:
+                yield _moves(out)
+                out = []
+        self._wake(soonest)
         if out:
-            self.state.update(tuple(state))
-            yield pd.DataFrame(out, columns=_names(MOVES))
+            yield _moves(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now_ms = expiredTimerInfo.getExpiryTimeInMs()
-        state = tuple(self.state.get()) if self.state.exists() else None
-        if state and state[0] == "syncing" and now_ms * 1000 - state[4] > self.reap_us:
-            state = ("pending", None, *state[2:])
-            self.state.update(state)
-            yield pd.DataFrame([(*key, now_ms * 1000, None, "pending", True, *state[:4], state[5])], columns=_names(MOVES)).astype({"seq": "Int64"})
+        now_ms, out, soonest = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), [], None
+        for file, (until,) in [(tuple(k), v) for k, v in self.syncing.iterator()]:
+            if until > now_ms:
+                soonest = until if soonest is None else min(soonest, until)
+                continue
+            state = ("pending", None, *tuple(self.states.getValue(file))[2:])
+            self.states.updateValue(file, state)
+            self.syncing.removeKey(file)
+            out.append((*file, until * 1000, None, "pending", True, *state[:4], state[5]))
+        if self.timer.exists() and self.timer.get()[0] <= now_ms:
+            self.timer.clear()
+        self._wake(soonest)
+        if out:
+            yield _moves(out)
+
+    def _wake(self, at_ms: int | None) -> None:
+        """A timer at that time, unless there is one before it."""
+        if at_ms is not None and not (self.timer.exists() and self.timer.get()[0] <= at_ms):
+            self.handle.registerTimer(at_ms)
+            self.timer.update((at_ms,))
 
     def close(self) -> None:
         pass
@@ -113,12 +142,36 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def file_states(requests: DataFrame, minutes: int = REAP_MINUTES, late: str = "0 seconds") -> DataFrame:
+def _given(value):
+    """None for what pandas has for null."""
+    return None if value is None or value is pd.NaT or value != value else value
+
+
+def _by_file(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """(number, folder_id, rel_path) of each file and its rows, from these three on, by (at_us, seq)."""
+    frames = [f for f in frames if len(f)]
+    if not frames:
+        return
+    asked = pd.concat(frames, ignore_index=True)
+    asked["number"] = asked.groupby(["folder_id", "rel_path"], sort=False, dropna=False).ngroup()
+    asked = asked.sort_values(["number", "at_us", "seq"], kind="stable")
+    columns = [asked[c].tolist() for c in ("number", "folder_id", "rel_path", "at_us", "seq", "to", "document_id", "sha1", "error")]
+    columns[1:3] = ([_given(x) for x in c] for c in columns[1:3])
+    yield from groupby(zip(*columns), key=lambda r: r[:3])
+
+
+def _moves(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_names(MOVES)).astype({"seq": "Int64"})
+
+
+def file_states(requests: DataFrame, minutes: int = REAP_MINUTES, late: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
     """MOVES of a stream of REQUEST rows, with at: one for each request, moved or refused, and one (without seq) for each sync given up.
 
-    Start the query within `state_store`.
+    The files are dealt to `shards` by the hash of their names, which a checkpoint fixes; a task
+    takes a shard's rows of a batch at once.  Start the query within `state_store`.
     """
-    keyed = requests.withWatermark("at", late).withColumn("at_us", F.unix_micros("at")).groupBy("folder_id", "rel_path")
+    shard = F.pmod(F.xxhash64("folder_id", "rel_path"), F.lit(shards))
+    keyed = requests.withWatermark("at", late).withColumn("at_us", F.unix_micros("at")).withColumn("shard", shard).groupBy("shard")
     return keyed.transformWithStateInPandas(FileStates(minutes), MOVES, "Update", "EventTime").withColumn("at", F.timestamp_micros("at_us")).drop("at_us")
 
 

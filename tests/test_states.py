@@ -2,6 +2,7 @@
 
 import random
 from collections import OrderedDict, defaultdict
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -151,3 +152,43 @@ def test_a_batch_asks_the_state_store_by_the_size_of_the_queue():
         assert queue.places.kept == {(v[0],): k for k, v in queue.waiting.kept.items()}
     assert got == _queue(rows, 20, 2)
     assert _Kept.calls < 500
+
+
+class _Cleared(_Kept):
+    def clear(self):
+        self.kept.clear()
+
+
+def test_a_batch_asks_for_a_file_once_and_sets_one_timer_for_a_shard():
+    """Hundreds of files in a shard, over several batches, frames out of order, timers between batches."""
+    rng, zero = random.Random(7), 1_700_000_000_000
+    rows = [(f"p{rng.randint(0, 200)}", m, m, rng.choice(list(TRANSITIONS))) for m in range(6_000)]
+    shard, timers = states.FileStates(), set()
+    shard.states, shard.syncing, shard.timer = kept = [_Cleared() for _ in range(3)]
+    shard.handle = SimpleNamespace(registerTimer=timers.add)
+    for part in (rows[:3_000], rows[3_000:3_010], rows[3_010:]):
+        mixed = rng.sample([("f", p, (zero + m * 60_000) * 1000, s, to, f"d{s}", f"h{s}", f"e{s}") for p, m, s, to in part], len(part))
+        frames = [pd.DataFrame(mixed[i : i + 700], columns=["folder_id", "rel_path", "at_us", "seq", "to", "document_id", "sha1", "error"]) for i in range(0, len(mixed), 700)]
+        _Kept.calls, before = 0, len(timers)
+        assert sum(len(f) for f in shard.handleInputRows((0,), iter(frames), None)) == len(part)
+        assert _Kept.calls <= 3 * len({r[0] for r in part}) + 4 and len(timers) <= before + 1
+        now = zero + part[-1][1] * 60_000
+        for at in sorted(t for t in timers if t <= now):
+            timers.discard(at)
+            list(shard.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), SimpleNamespace(getExpiryTimeInMs=lambda: at)))
+        held, syncing, timer = (k.kept for k in kept)
+        want = _by_hand(rows[: part[-1][1] + 1], part[-1][1])
+        assert {p: (*v[:4], v[5]) for (_, p), v in held.items()} == want
+        assert {p for _, p in syncing} == {p for p, v in want.items() if v[0] == "syncing"}
+        assert not syncing or (timer[()][0] <= min(v for v, in syncing.values()) and timer[()][0] in timers)
+
+
+def test_files_without_a_name_and_requests_without_a_number_have_states(spark, tmp_path):
+    rows = [(None, 0, 1, "pending"), (None, 1, 2, "syncing"), ("a", 0, None, "pending"), ("a", 1, 4, "syncing"), ("b", 500, 5, "pending")]
+    _requests(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    moves = states.file_states(spark.readStream.schema(states.REQUEST).parquet(f"{tmp_path}/in"), shards=1)
+    with states.state_store(spark):
+        moves.writeStream.format("memory").queryName("moves").outputMode("update").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = [(r["rel_path"], r["seq"], r["to"], r["moved"], r["n_moved"]) for r in spark.table("moves").collect()]
+    given_up = [(None, None, "pending", True, 2), ("a", None, "pending", True, 2)]
+    assert sorted(got, key=str) == sorted([(None, 1, "pending", True, 1), (None, 2, "syncing", True, 2), ("a", None, "pending", True, 1), ("a", 4, "syncing", True, 2), ("b", 5, "pending", True, 1), *given_up], key=str)
