@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,29 @@ def test_what_each_stage_drops(spark, tmp_path):
     assert set(kept) == {1, 4, 5}
 
 
+def test_stages_hand_texts_on_in_bounded_batches(spark, monkeypatch):
+    """200 texts of 100 kB were one batch of 20 MB; a session that sets a bound of its own keeps it."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded_sha256: string>")
+    def told(texts: pa.Array) -> pa.Array:
+        return pa.array([{"ids": [texts.nbytes], "decoded_sha256": ""}] * len(texts), pa.struct([("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())]))
+
+    monkeypatch.setattr(corpus_pipeline.byte_bpe, "encode_checked", told)
+    docs = spark.range(200, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.repeat(F.lit("0123456789"), 10_000).alias("text"))
+    largest = lambda: corpus_pipeline.tokens(spark, docs, "").agg(F.max(F.col("ids")[0]), F.count("*")).first()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for key in corpus_pipeline.BATCHES:
+        spark.conf.unset(key)
+    most, n = largest()
+    assert n == 200 and most < 6 << 20
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) == 512
+    try:
+        spark.conf.set(name, str(1 << 20))
+        assert largest()[0] < 2 << 20 and spark.conf.get(name) == str(1 << 20)
+    finally:
+        spark.conf.unset(name)
+
+
 def test_divergence_of_nulls_and_repeats(spark, docs):
     assert divergence.source_report(docs).collect() == []  # one source, 30 documents for a term
     odd = spark.createDataFrame([(None, None, None), ("a", None, None), ("A b", "", "s"), ("a b", "", "s"), (None, "en", "x"), ("1 2", "en", "y")], "text string, lang string, source string").withColumn("term", F.lit(1)).withColumn("n", F.lit(2))
